@@ -10,22 +10,20 @@ from pyspark.sql import functions as F
 from playtally.schema import COUNTERS, METRICS, MINUTE_METRICS
 
 
-def _of_type(name: str) -> Column:
-    return F.col("event_type") == F.lit(name)
-
-
-def usable(event_type: str, payload: str) -> Column:
+def usable(event_type: str, payload: str) -> str:
     """The payload of events of one type; NULL when absent or negative."""
-    value = F.col(payload).cast("bigint")
-    return F.when(_of_type(event_type) & (value >= 0), value)
+    return (
+        f"CASE WHEN event_type = '{event_type}' AND {payload} >= 0"
+        f" THEN CAST({payload} AS BIGINT) END"
+    )
 
 
-def _tally(event_type: str) -> Column:
-    return F.count(F.when(_of_type(event_type), F.lit(1)))
+def _tally(event_type: str) -> str:
+    return f"count_if(event_type = '{event_type}')"
 
 
-def _total(value: Column) -> Column:
-    return F.coalesce(F.sum(value), F.lit(0).cast("bigint"))
+def _total(value: str) -> str:
+    return f"coalesce(sum({value}), 0L)"
 
 
 def counter_aggs() -> list[Column]:
@@ -39,57 +37,61 @@ def counter_aggs() -> list[Column]:
     watch = usable("playback_end", "watch_time_ms")
     bitrate = usable("bitrate_change", "bitrate_kbps")
     folds = {
-        "total_events": F.count(F.lit(1)),
+        "total_events": "count(1)",
         "total_views": _tally("video_start"),
-        "startup_samples": F.count(startup),
+        "startup_samples": f"count({startup})",
         "startup_time_ms_sum": _total(startup),
         "buffer_count": _tally("buffer_start"),
-        "buffer_samples": F.count(stall),
+        "buffer_samples": f"count({stall})",
         "buffer_duration_ms_sum": _total(stall),
         "error_count": _tally("drm_error"),
         "watch_time_ms_sum": _total(watch),
-        "bitrate_samples": F.count(bitrate),
+        "bitrate_samples": f"count({bitrate})",
         "bitrate_kbps_sum": _total(bitrate),
     }
-    return [folds[name].alias(name) for name in COUNTERS]
+    return [F.expr(f"{folds[name]} AS {name}") for name in COUNTERS]
 
 
 def merge_aggs() -> list[Column]:
     """Aggregates that add counter rows together."""
-    return [_total(F.col(name)).alias(name) for name in COUNTERS]
+    return [F.expr(f"{_total(name)} AS {name}") for name in COUNTERS]
 
 
 def zero_counters() -> list[Column]:
-    return [F.lit(0).cast("bigint").alias(name) for name in COUNTERS]
+    return [F.expr(f"0L AS {name}") for name in COUNTERS]
 
 
-def _ratio(numerator: str, denominator: str) -> Column:
-    n = F.col(denominator)
-    return F.when(n > 0, F.col(numerator).cast("double") / n.cast("double")).otherwise(F.lit(0.0))
+def _ratio(numerator: str, denominator: str) -> str:
+    return (
+        f"CASE WHEN {denominator} > 0"
+        f" THEN CAST({numerator} AS DOUBLE) / CAST({denominator} AS DOUBLE) ELSE 0.0D END"
+    )
 
 
-def derived() -> dict[str, Column]:
-    """Measures computed on read; 0.0, never NULL, when there is no sample."""
-    return {
-        "startup_avg_ms": _ratio("startup_time_ms_sum", "startup_samples"),
-        # Stalls that ended here, not stalls that began here.
-        "buffer_avg_ms": _ratio("buffer_duration_ms_sum", "buffer_samples"),
-        "buffer_ratio_per_view": _ratio("buffer_count", "total_views"),
-        "watch_time_ms": F.col("watch_time_ms_sum"),
-        "watch_time_min": F.col("watch_time_ms_sum").cast("double") / F.lit(60_000.0),
-        "bitrate_avg_kbps": _ratio("bitrate_kbps_sum", "bitrate_samples"),
-    }
+# Measures computed on read; 0.0, never NULL, when there is no sample.
+DERIVED = {
+    "startup_avg_ms": _ratio("startup_time_ms_sum", "startup_samples"),
+    # Stalls that ended here, not stalls that began here.
+    "buffer_avg_ms": _ratio("buffer_duration_ms_sum", "buffer_samples"),
+    "buffer_ratio_per_view": _ratio("buffer_count", "total_views"),
+    "watch_time_ms": "watch_time_ms_sum",
+    "watch_time_min": "CAST(watch_time_ms_sum AS DOUBLE) / 60000.0D",
+    "bitrate_avg_kbps": _ratio("bitrate_kbps_sum", "bitrate_samples"),
+}
+
+
+def derived(*names: str) -> list[Column]:
+    return [F.expr(f"{DERIVED[name]} AS {name}") for name in names]
 
 
 def error_rate() -> Column:
-    return _ratio("error_count", "total_events").alias("error_rate")
+    return F.expr(f"{_ratio('error_count', 'total_events')} AS error_rate")
 
 
 def metric_columns(with_ratio: bool = True) -> list[Column]:
     """The published metrics of one counter row, in contract order."""
-    extra = derived()
     names = (METRICS if with_ratio else MINUTE_METRICS).names
-    return [(extra[n] if n in extra else F.col(n)).alias(n) for n in names]
+    return [F.expr(f"{DERIVED.get(n, n)} AS {n}") for n in names]
 
 
 def as_metrics(

@@ -28,6 +28,22 @@ CALENDAR = (("y", 1970, 9999), ("mo", 1, 12), ("d", 1, 31), ("h", 0, 23), ("mi",
 
 SECTIONS = {"players": "player", "devices": "device"}
 
+# Typed form of a document whose members all have the right JSON types.
+_M = "m:struct<{}>".format(",".join(f"{c}:bigint" for c in COUNTERS))
+_TYPED_DOC = (
+    "struct<version:bigint,minutes:array<struct<{},{m}>>,players:array<struct<name:string,{m}>>,"
+    "devices:array<struct<name:string,{m}>>>"
+).format(",".join(f"{name}:bigint" for name, _, _ in CALENDAR), m=_M)
+
+# JSON type of such a document; members come in alphabetical order.
+_M_TYPE = rf"m: OBJECT<(?:(?:{'|'.join(COUNTERS)}): BIGINT(?:, )?+)++>"
+_SEGMENT_TYPE = rf"ARRAY<(?:VOID|OBJECT<{_M_TYPE}, name: STRING>)>"
+_MINUTE_TYPE = rf"ARRAY<(?:VOID|OBJECT<d: BIGINT, h: BIGINT, {_M_TYPE}, mi: BIGINT, mo: BIGINT, y: BIGINT>)>"
+_DOC_TYPE = (
+    rf"^OBJECT<(?:devices: {_SEGMENT_TYPE}, )?+(?:minutes: {_MINUTE_TYPE}, )?+"
+    rf"(?:players: {_SEGMENT_TYPE}, )?+version: BIGINT>$"
+)
+
 
 def snapshot_rows(minutes: DataFrame, players: DataFrame, devices: DataFrame) -> DataFrame:
     """The three rollups as one table of raw counters."""
@@ -57,35 +73,28 @@ def to_documents(rows: DataFrame, version: int = VERSION, label_buckets: int = 1
     A minute document has at most the 1440 minutes of its day. Labels are
     bounded by the label cap; without one, raise ``label_buckets``.
     """
-    entry_m = _counters(version).alias("m")
-    minutes = (
-        rows.where(F.col("grain") == "minute")
-        .groupBy(day_of(F.col("minute_ms")).cast("string").alias("part"))
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("minute_ms", F.struct(*calendar(F.col("minute_ms")), entry_m).alias("e"))
-                )
-            ).alias("sorted")
-        )
-        .select(
-            F.concat(F.lit("minutes-"), "part").alias("doc_id"),
-            F.transform("sorted", lambda x: x["e"]).alias("minutes"),
-        )
+    section = F.when(F.col("grain") == "minute", F.lit("minutes"))
+    for name, grain in SECTIONS.items():
+        section = section.when(F.col("grain") == grain, F.lit(name))
+    part = F.when(
+        F.col("grain") == "minute", day_of(F.col("minute_ms")).cast("string")
+    ).otherwise(F.pmod(F.xxhash64("name"), F.lit(label_buckets)).cast("string"))
+    grouped = rows.groupBy(section.alias("section"), part.alias("part")).agg(
+        F.sort_array(
+            F.collect_list(F.struct("minute_ms", "name", _counters(version).alias("m")))
+        ).alias("sorted")
     )
-    bucket = F.pmod(F.xxhash64("name"), F.lit(label_buckets)).cast("string")
-    docs = minutes
-    for section, grain in SECTIONS.items():
-        named = (
-            rows.where(F.col("grain") == grain)
-            .groupBy(bucket.alias("part"))
-            .agg(F.sort_array(F.collect_list(F.struct("name", entry_m))).alias(section))
-            .select(F.concat(F.lit(f"{section}-"), "part").alias("doc_id"), section)
-        )
-        docs = docs.unionByName(named, allowMissingColumns=True)
-    present = [F.coalesce(F.col(s), F.array()).alias(s) for s in ("minutes", *SECTIONS)]
-    return docs.select(
-        "doc_id", F.to_json(F.struct(F.lit(version).alias("version"), *present)).alias("body")
+    minute = lambda x: F.struct(*calendar(x["minute_ms"]), x["m"].alias("m"))
+    named = lambda x: F.struct(x["name"].alias("name"), x["m"].alias("m"))
+    lists = [
+        F.transform(
+            F.when(F.col("section") == name, F.col("sorted")).otherwise(F.array()), entry
+        ).alias(name)
+        for name, entry in (("minutes", minute), *[(s, named) for s in SECTIONS])
+    ]
+    return grouped.select(
+        F.concat_ws("-", "section", "part").alias("doc_id"),
+        F.to_json(F.struct(F.lit(version).alias("version"), *lists)).alias("body"),
     )
 
 
@@ -114,10 +123,13 @@ def _int_between(entry: str, name: str, low: int, high: int) -> str:
     )
 
 
-def _date(entry: str) -> str:
-    """Calendar day of a minute entry; NULL when there is no such day."""
-    part = lambda n: f"try_variant_get({entry}, '$.{n}', 'int')"
-    return f"try_cast(format_string('%04d-%02d-%02d', {part('y')}, {part('mo')}, {part('d')}) AS DATE)"
+def _is_day(y: str, mo: str, d: str) -> str:
+    """Whether the month has that day."""
+    leap = f"({y} % 4 = 0 AND {y} % 100 <> 0) OR {y} % 400 = 0"
+    return (
+        f"{d} <= CASE WHEN {mo} IN (4, 6, 9, 11) THEN 30"
+        f" WHEN {mo} = 2 THEN IF({leap}, 29, 28) ELSE 31 END"
+    )
 
 
 def _minute_fault(e: str) -> str:
@@ -129,7 +141,11 @@ def _minute_fault(e: str) -> str:
             f" THEN 'minute field {name} is not an integer within {low}..{high}'"
         )
     # The 31st of a short month would have no minute to add to.
-    cases.append(f"WHEN {_date(e)} IS NULL THEN 'minute entry is no calendar day'")
+    part = lambda n: f"try_variant_get({e}, '$.{n}', 'bigint')"
+    cases.append(
+        f"WHEN NOT ({_is_day(part('y'), part('mo'), part('d'))})"
+        " THEN 'minute entry is no calendar day'"
+    )
     return f"CASE {' '.join(cases)} ELSE {_counter_fault(member(e, 'm'))} END"
 
 
@@ -151,10 +167,34 @@ def _section_fault(section: str, entry_fault: str) -> str:
     )
 
 
+def _sound_counters(m: str) -> str:
+    tests = []
+    for name in COUNTERS:
+        ok = f"{m}.{name} >= 0"
+        since = ADDED_IN.get(name, OLDEST_VERSION)
+        if since > OLDEST_VERSION:
+            ok = f"({ok} OR ({m}.{name} IS NULL AND t.version < {since}))"
+        tests.append(ok)
+    return " AND ".join(tests)
+
+
+def _sound(typed: str) -> str:
+    """Whether a document of the right types also has the right values."""
+    fields = " AND ".join(f"x.{n} BETWEEN {low} AND {high}" for n, low, high in CALENDAR)
+    minute = f"coalesce({fields} AND {_is_day('x.y', 'x.mo', 'x.d')} AND {_sound_counters('x.m')}, false)"
+    named = f"coalesce(x.name IS NOT NULL AND {_sound_counters('x.m')}, false)"
+    tests = [f"t.version BETWEEN {OLDEST_VERSION} AND {VERSION}"]
+    for section, test in (("minutes", minute), *[(s, named) for s in SECTIONS]):
+        tests.append(f"coalesce(forall(t.{section}, x -> {test}), true)")
+    return let("t", typed, " AND ".join(tests))
+
+
 def check_documents(documents: DataFrame) -> DataFrame:
     """Add ``version`` and ``reason``; a sound document has no reason.
 
-    Decided within the row of the document, nothing is applied yet.
+    Decided within the row of the document, nothing is applied yet. A document
+    of the usual type is cast as a whole and its values are compared; single
+    members are looked at only to find out what is wrong with any other.
     """
     version = "try_variant_get(doc, '$.version', 'bigint')"
     sections = ", ".join(
@@ -172,9 +212,15 @@ def check_documents(documents: DataFrame) -> DataFrame:
         f" THEN concat('unsupported snapshot version ', {version})"
         f" ELSE {content} END",
     )
+    typed = f"try_variant_get(_doc, '$', '{_TYPED_DOC}')"
     return (
         documents.selectExpr("*", f"{parse_whole('body')} AS _doc")
-        .selectExpr("*", f"{reason} AS reason")
+        .selectExpr(
+            "*",
+            f"coalesce(regexp_like(schema_of_variant(_doc), r'{_DOC_TYPE}')"
+            f" AND {_sound(typed)}, false) AS _sound",
+        )
+        .selectExpr("*", f"IF(_sound, NULL, {reason}) AS reason")
         .selectExpr(
             *documents.columns,
             f"IF({is_integer(member('_doc', 'version'))},"
@@ -191,33 +237,30 @@ def document_rows(checked: DataFrame) -> DataFrame:
     A counter that came with a later version than the document reads as 0, so
     a mean over it says "no data" rather than something made up.
     """
-    counter = lambda c: f"coalesce(try_variant_get(e, '$.m.{c}', 'bigint'), 0) AS {c}"
-    counters = [counter(c) for c in COUNTERS]
-    part = lambda n: f"try_variant_get(e, '$.{n}', 'bigint')"
-    minute_ms = (
-        f"CAST(unix_date({_date('e')}) AS BIGINT) * 86400000"
-        f" + {part('h')} * 3600000 + {part('mi')} * 60000"
+    # Sound documents hold the right types throughout, so one cast is exact.
+    # All entries go into one list: every document is exploded once.
+    lists = [
+        f"coalesce(transform(t.{section}, e -> named_struct('grain', '{grain}', 'minute_ms', {at},"
+        f" 'name', {name}, 'm', e.m)), array())"
+        for section, grain, at, name in (
+            ("minutes", "minute", _minute_ms("e"), "CAST(NULL AS STRING)"),
+            *[(s, g, "CAST(NULL AS BIGINT)", "e.name") for s, g in SECTIONS.items()],
+        )
+    ]
+    typed = f"try_variant_get(doc, '$', '{_TYPED_DOC}')"
+    entries = (
+        checked.selectExpr(f"{typed} AS t")
+        .select(F.explode_outer(F.expr(f"concat({', '.join(lists)})")).alias("x"))
+        .where("x IS NOT NULL")
+    )
+    return entries.selectExpr(
+        "x.grain", "x.minute_ms", "x.name", *[f"coalesce(x.m.{c}, 0L) AS {c}" for c in COUNTERS]
     )
 
-    def entries(section: str) -> DataFrame:
-        # An absent section yields one NULL entry, dropped after the explode.
-        return checked.select(
-            F.explode_outer(F.expr(f"try_variant_get(doc, '$.{section}', 'array<variant>')")).alias("e")
-        ).where("e IS NOT NULL")
 
-    rows = entries("minutes").selectExpr(
-        "'minute' AS grain", f"{minute_ms} AS minute_ms", "CAST(NULL AS STRING) AS name", *counters
-    )
-    for section, grain in SECTIONS.items():
-        rows = rows.unionByName(
-            entries(section).selectExpr(
-                f"'{grain}' AS grain",
-                "CAST(NULL AS BIGINT) AS minute_ms",
-                "try_variant_get(e, '$.name', 'string') AS name",
-                *counters,
-            )
-        )
-    return rows
+def _minute_ms(e: str) -> str:
+    days = f"CAST(unix_date(make_date(CAST({e}.y AS INT), CAST({e}.mo AS INT), CAST({e}.d AS INT))) AS BIGINT)"
+    return f"{days} * 86400000 + {e}.h * 3600000 + {e}.mi * 60000"
 
 
 def require_sound(checked: DataFrame) -> None:

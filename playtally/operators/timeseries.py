@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playtally.functions.counters import as_metrics, merge_aggs, zero_counters
@@ -150,10 +151,53 @@ def window_totals(minutes: DataFrame) -> DataFrame:
     return as_metrics(minutes.agg(*merge_aggs()))
 
 
+def kpi_panels(
+    minutes: DataFrame,
+    windows: dict[str, int],
+    limit: int = QueryLimits().gap_fill_minutes,
+) -> DataFrame:
+    """Totals over the latest buckets, for several windows in one pass.
+
+    ``points`` is the number of points a gap-filled chart of the window shows.
+    The buckets that filling adds are all zero, so they are only counted. The
+    widest window is taken by a top-N; its buckets are few and are ranked and
+    assigned to the windows they belong to.
+    """
+    latest = minutes.orderBy(F.col("minute_ms").desc()).limit(max(windows.values()))
+    rank = F.row_number().over(W.orderBy(F.col("minute_ms").desc()))
+    member = F.array_compact(
+        F.array(*[F.when(F.col("rank") <= n, F.lit(name)) for name, n in windows.items()])
+    )
+    width = F.expr(f"(hi - lo) div {MINUTE_MS} + 1")
+    fills = (F.col("n") >= 2) & (width > F.col("n")) & (width <= limit)
+    panels = (
+        latest.withColumn("rank", rank)
+        .withColumn("window_name", F.explode(member))
+        .groupBy("window_name")
+        .agg(
+            *merge_aggs(),
+            F.count(F.lit(1)).alias("n"),
+            F.min("minute_ms").alias("lo"),
+            F.max("minute_ms").alias("hi"),
+        )
+        .withColumn("points", F.when(fills, width).otherwise(F.col("n")))
+    )
+    return as_metrics(panels, ("window_name", "points"))
+
+
 def kpi_panel(minutes: DataFrame, n: int) -> DataFrame:
-    """Totals of the latest ``n`` buckets and the number of points charted."""
-    points = fill_gaps(recent(minutes, n))
-    panel = points.agg(*merge_aggs(), F.count(F.lit(1)).alias("points"))
+    """:func:`kpi_panels` for one window of ``n`` buckets; always one row."""
+    latest = minutes.orderBy(F.col("minute_ms").desc()).limit(n)
+    width = F.expr(f"(hi - lo) div {MINUTE_MS} + 1")
+    fills = (F.col("n") >= 2) & (width > F.col("n")) & (
+        width <= QueryLimits().gap_fill_minutes
+    )
+    panel = latest.agg(
+        *merge_aggs(),
+        F.count(F.lit(1)).alias("n"),
+        F.min("minute_ms").alias("lo"),
+        F.max("minute_ms").alias("hi"),
+    ).withColumn("points", F.when(fills, width).otherwise(F.col("n")))
     return as_metrics(panel, ("points",))
 
 

@@ -99,6 +99,10 @@ class PlaybackMetrics:
     def kpi_panel(self, window: str = "15m") -> DataFrame:
         return timeseries.kpi_panel(self._minutes(), timeseries.PRESET_WINDOWS[window])
 
+    def kpi_panels(self) -> DataFrame:
+        """The panel of every preset window."""
+        return timeseries.kpi_panels(self._minutes(), timeseries.PRESET_WINDOWS)
+
     def status(self) -> DataFrame:
         if self._sessions is None:
             raise ValueError("no session gauge is attached")

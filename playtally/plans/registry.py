@@ -114,7 +114,7 @@ def negative_samples(spark, sf_dir):
         aggs += [
             F.count(field).alias(f"{field}_present"),
             F.count_if(F.col(field) < 0).alias(f"{field}_negative"),
-            F.count(usable(kind, field)).alias(f"{field}_usable"),
+            F.expr(f"count({usable(kind, field)}) AS {field}_usable"),
         ]
     return playback_events(spark, sf_dir).agg(*aggs)
 
@@ -129,10 +129,9 @@ def totals_direct(spark, sf_dir):
 
 @query
 def minute_rollup(spark, sf_dir):
-    extra = derived()
-    names = ("startup_avg_ms", "buffer_avg_ms", "watch_time_min", "bitrate_avg_kbps")
+    means = derived("startup_avg_ms", "buffer_avg_ms", "watch_time_min", "bitrate_avg_kbps")
     return timeseries.with_label(_minutes(spark, sf_dir)).select(
-        "minute_ms", "minute", *COUNTERS, *[extra[n].alias(n) for n in names]
+        "minute_ms", "minute", *COUNTERS, *means
     )
 
 
@@ -258,15 +257,7 @@ def window_totals(spark, sf_dir):
 
 @query
 def kpi_panel(spark, sf_dir):
-    metrics = PlaybackMetrics.from_events(playback_events(spark, sf_dir))
-    panels = [
-        metrics.kpi_panel(window).withColumn("window_name", F.lit(window))
-        for window in timeseries.PRESET_WINDOWS
-    ]
-    stacked = panels[0]
-    for panel in panels[1:]:
-        stacked = stacked.unionByName(panel)
-    return stacked
+    return PlaybackMetrics.from_events(playback_events(spark, sf_dir)).kpi_panels()
 
 
 @query

@@ -34,6 +34,10 @@ def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PLAYTALLY_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", "8")
+        # Small inputs with costly rows (JSON) should still use every core.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # Recording a call site for every expression costs more than planning.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**RUNTIME, **extra}.items():
         builder = builder.config(key, value)

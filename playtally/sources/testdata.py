@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally.options import DAY_MS
-from playtally.schema import EVENT_FIELDS
 from playtally.session import configure
 
 # Bitrate steps a player can switch between, in kbps.
@@ -34,54 +33,47 @@ def given_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _playback_type(k: Column) -> Column:
-    even = k % 2 == 0
-    source = F.col("event_type")
-    expr = F.lit(None).cast("string")
-    for name, (when_even, when_odd) in _TYPE_PAIRS.items():
-        expr = F.when(
-            source == name, F.when(even, F.lit(when_even)).otherwise(F.lit(when_odd))
-        ).otherwise(expr)
-    return expr
+def _playback_type() -> str:
+    cases = [
+        f"WHEN '{source}' THEN IF(k % 2 = 0, '{even}', '{odd}')"
+        for source, (even, odd) in _TYPE_PAIRS.items()
+    ]
+    return f"CASE event_type {' '.join(cases)} END"
 
 
-def _sample(value: Column, faulty: bool) -> Column:
-    """A payload; now and then absent or negative when ``faulty``."""
-    if not faulty:
-        return value
-    event_id = F.col("event_id")
-    return (
-        F.when(event_id % 89 == 0, F.lit(None).cast("bigint"))
-        .when(event_id % 97 == 0, F.lit(-1).cast("bigint"))
-        .otherwise(value)
-    )
+def _sample(kind: str, value: str, faulty: bool) -> str:
+    """A payload of events of one kind; now and then absent or negative."""
+    if faulty:
+        value = (
+            f"CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 97 = 0 THEN -1 ELSE {value} END"
+        )
+    return f"IF(kind = '{kind}', {value}, NULL)"
+
+
+def _label(prefix: str, gap: int, n: int) -> str:
+    return f"IF(user_id % {gap} = 0, '', concat('{prefix}', user_id % {n}))"
 
 
 def adapt(given: DataFrame, faulty: bool = True) -> DataFrame:
     """Playback events derived row by row from the given events."""
-    k = F.col("k")
-    kind = F.col("kind")
-    user = F.col("user_id")
-    scaled = lambda f: _sample(F.floor(F.col("value") * F.lit(f)), faulty)
-    step = F.element_at(
-        F.array(*[F.lit(b).cast("bigint") for b in BITRATE_LADDER]), (k % 6 + 1).cast("int")
-    )
-    label = lambda prefix, gap, n: F.when(user % gap == 0, F.lit("")).otherwise(
-        F.concat(F.lit(prefix), (user % n).cast("string"))
-    )
-    base = given.withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("bigint"))
-    return base.withColumn("kind", _playback_type(k)).select(
-        "event_id",
-        kind.alias("event_type"),
-        F.concat(F.lit("u"), user.cast("string")).alias("session_id"),
-        label("player", 7, 5).alias("player"),
-        label("device", 11, 6).alias("device"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"),
-        F.when(kind == "startup_complete", scaled(10.0)).cast("int").alias("startup_time_ms"),
-        F.when(kind == "buffer_end", scaled(7.0)).cast("int").alias("buffer_duration_ms"),
-        F.when(kind == "bitrate_change", _sample(step, faulty)).cast("int").alias("bitrate_kbps"),
-        F.when(kind == "playback_end", scaled(1000.0)).cast("bigint").alias("watch_time_ms"),
-        F.when(kind == "drm_error", F.lit("DRM_KEY_ERROR")).alias("error_code"),
+    ladder = f"array({', '.join(map(str, BITRATE_LADDER))})"
+    return (
+        given.selectExpr("*", r"CAST(regexp_extract(props, r'(\d+)', 1) AS BIGINT) AS k")
+        .selectExpr("*", f"{_playback_type()} AS kind")
+        .selectExpr(
+            "event_id",
+            "kind AS event_type",
+            "concat('u', user_id) AS session_id",
+            f"{_label('player', 7, 5)} AS player",
+            f"{_label('device', 11, 6)} AS device",
+            "unix_millis(CAST(ts AS TIMESTAMP)) AS timestamp_ms",
+            f"CAST({_sample('startup_complete', 'floor(value * 10D)', faulty)} AS INT) AS startup_time_ms",
+            f"CAST({_sample('buffer_end', 'floor(value * 7D)', faulty)} AS INT) AS buffer_duration_ms",
+            f"CAST({_sample('bitrate_change', f'{ladder}[CAST(k % 6 AS INT)]', faulty)} AS INT)"
+            " AS bitrate_kbps",
+            f"CAST({_sample('playback_end', 'floor(value * 1000D)', faulty)} AS BIGINT) AS watch_time_ms",
+            "IF(kind = 'drm_error', 'DRM_KEY_ERROR', NULL) AS error_code",
+        )
     )
 
 
@@ -109,48 +101,33 @@ def wide_labels(events: DataFrame) -> DataFrame:
     return events.withColumn("player", F.col("session_id"))
 
 
-def _member_text(event: DataFrame, r: Column, hit: Column) -> DataFrame:
-    """One JSON text per event, with the defect its batch calls for."""
-    flaw = lambda n: (r == n) & hit
-    absent = F.lit(None).cast("string")
-    at_ten = F.col("idx") == 10
-    at_three = F.col("idx") == 3
-    ts = F.col("timestamp_ms")
-    long_label = F.repeat(F.lit("x"), 129)
-
-    # Members whose JSON type changes are spliced in as text; NULL drops them.
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    kind = (
-        F.when(flaw(8), absent)
-        .when(flaw(1) | ((r == 7) & at_ten), F.lit('"bogus"'))
-        .otherwise(quoted(F.col("event_type")))
-    )
-    stamp = (
-        F.when(flaw(12), absent)
-        .when(flaw(2), quoted(ts.cast("string")))
-        .when(flaw(5), (ts - F.lit(8 * DAY_MS)).cast("string"))
-        .otherwise(ts.cast("string"))
-    )
-    player = (
-        F.when(flaw(13), F.lit("5"))
-        .when(flaw(3) | ((r == 7) & at_three), quoted(long_label))
-        .otherwise(quoted(F.col("player")))
-    )
-    startup = F.when(flaw(4), F.lit("600001")).otherwise(F.col("startup_time_ms").cast("string"))
-    plain = {c: F.col(c).cast("string") for c in ("buffer_duration_ms", "bitrate_kbps", "watch_time_ms")}
+def _member_text() -> str:
+    """JSON text of one event, with the defect its batch calls for.
+
+    Members whose JSON type changes are spliced in as text; NULL drops them.
+    """
+    quoted = lambda c: f"concat('\"', {c}, '\"')"
     members = {
-        "event_type": kind,
-        "session_id": quoted(F.col("session_id")),
-        "player": player,
-        "device": quoted(F.col("device")),
-        "timestamp": stamp,
-        "startup_time_ms": startup,
-        **plain,
-        "error_code": quoted(F.col("error_code")),
+        "event_type": "CASE WHEN r = 8 AND hit THEN NULL"
+        " WHEN (r = 1 AND hit) OR (r = 7 AND idx = 10) THEN '\"bogus\"'"
+        f" ELSE {quoted('event_type')} END",
+        "session_id": quoted("session_id"),
+        "player": "CASE WHEN r = 13 AND hit THEN '5'"
+        f" WHEN (r = 3 AND hit) OR (r = 7 AND idx = 3) THEN {quoted(chr(39) + 'x' * 129 + chr(39))}"
+        f" ELSE {quoted('player')} END",
+        "device": quoted("device"),
+        "timestamp": "CASE WHEN r = 12 AND hit THEN NULL"
+        f" WHEN r = 2 AND hit THEN {quoted('timestamp_ms')}"
+        f" WHEN r = 5 AND hit THEN CAST(timestamp_ms - {8 * DAY_MS} AS STRING)"
+        " ELSE CAST(timestamp_ms AS STRING) END",
+        "startup_time_ms": "IF(r = 4 AND hit, '600001', CAST(startup_time_ms AS STRING))",
+        "buffer_duration_ms": "buffer_duration_ms",
+        "bitrate_kbps": "bitrate_kbps",
+        "watch_time_ms": "watch_time_ms",
+        "error_code": quoted("error_code"),
     }
-    pairs = [F.concat(F.lit(f'"{name}":'), value) for name, value in members.items()]
-    text = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
-    return event.withColumn("text", F.when(flaw(9), F.lit("7")).otherwise(text))
+    pairs = ", ".join(f"concat('\"{name}\":', {value})" for name, value in members.items())
+    return f"IF(r = 9 AND hit, '7', concat('{{', concat_ws(',', {pairs}), '}}'))"
 
 
 def raw_batches(spark: SparkSession, sf_dir: str, shape_defects: bool = False) -> DataFrame:
@@ -164,59 +141,39 @@ def raw_batches(spark: SparkSession, sf_dir: str, shape_defects: bool = False) -
 
 def batches_of(events: DataFrame, shape_defects: bool = False) -> DataFrame:
     """Serialise typed events into bodies; a batch has at most fifty."""
-    event_id = F.col("event_id")
-    per = F.lit(EVENTS_PER_BATCH)
-    numbered = events.withColumn("idx", (event_id % per).cast("int")).withColumn(
-        "batch_no", ((event_id - event_id % per) / per).cast("bigint")
+    per = EVENTS_PER_BATCH
+    texts = (
+        events.selectExpr(
+            "*", f"CAST(event_id % {per} AS INT) AS idx", f"event_id div {per} AS batch_no"
+        )
+        .selectExpr("*", f"batch_no % {DEFECT_CYCLE} AS r", f"idx = (batch_no * 7) % {per} AS hit")
+        .selectExpr("batch_no", "timestamp_ms", "idx", f"{_member_text()} AS text")
     )
-    r = F.col("batch_no") % DEFECT_CYCLE
-    hit = F.col("idx") == (F.col("batch_no") * 7) % EVENTS_PER_BATCH
-    texts = _member_text(numbered, r, hit)
     # The group is bounded by construction: fifty ids share a batch number.
     grouped = texts.groupBy("batch_no").agg(
-        (F.max("timestamp_ms") + F.lit(1000)).alias("ingest_time_ms"),
-        F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("parts"),
-    )
-    joined = F.array_join(F.transform("parts", lambda p: p["text"]), ",")
-    listed = F.concat(F.lit("["), joined, F.lit("]"))
-    body = (
-        F.when(r == 6, F.substring(listed, F.lit(1), F.length(listed) - 1))
-        .when(r == 10, F.concat(F.lit('{"data":'), listed, F.lit("}")))
-        .when(r == 11, F.lit("[]"))
-        .when(r == 14, F.concat(F.lit('{"events":'), listed, F.lit("}")))
+        F.expr("max(timestamp_ms) + 1000 AS ingest_time_ms"),
+        F.expr("sort_array(collect_list(struct(idx, text))) AS parts"),
     )
+    listed = "concat('[', joined, ']')"
+    bodies = {
+        6: "concat('[', joined)",
+        10: f"concat('{{\"data\":', {listed}, '}}')",
+        11: "'[]'",
+        14: f"concat('{{\"events\":', {listed}, '}}')",
+    }
     if shape_defects:
-        body = (
-            body.when(r == 15, F.concat(listed, F.repeat(F.lit(" "), 70_000)))
-            .when(
-                r == 16,
-                F.concat(
-                    F.lit('{"note":'),
-                    F.lit("[" * 39 + "]" * 39),
-                    F.lit(',"events":'),
-                    listed,
-                    F.lit("}"),
-                ),
-            )
-            .when(
-                r == 17,
-                F.concat(
-                    F.lit('{"note":['),
-                    F.repeat(F.lit("0,"), 6_000),
-                    F.lit('0],"events":'),
-                    listed,
-                    F.lit("}"),
-                ),
-            )
-            .when(r == 18, F.concat(F.lit("["), joined, F.lit(","), joined, F.lit("]")))
-        )
-    return grouped.select(
-        F.col("batch_no").cast("string").alias("batch_id"),
+        noted = lambda note: f"concat('{{\"note\":', {note}, ',\"events\":', {listed}, '}}')"
+        bodies |= {
+            15: f"concat({listed}, repeat(' ', 70000))",
+            16: noted("repeat('[', 39), repeat(']', 39)"),
+            17: noted("'[', repeat('0,', 6000), '0]'"),
+            18: "concat('[', joined, ',', joined, ']')",
+        }
+    cases = " ".join(f"WHEN {r} THEN {body}" for r, body in bodies.items())
+    return grouped.selectExpr(
+        "batch_no", "ingest_time_ms", "array_join(parts.text, ',') AS joined"
+    ).selectExpr(
+        "CAST(batch_no AS STRING) AS batch_id",
         "ingest_time_ms",
-        body.otherwise(listed).alias("body"),
+        f"CASE batch_no % {DEFECT_CYCLE} {cases} ELSE {listed} END AS body",
     )
-
-
-def typed_columns(events: DataFrame) -> DataFrame:
-    """Only what a typed event carries, without arrival columns."""
-    return events.select(*EVENT_FIELDS)
