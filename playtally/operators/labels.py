@@ -30,7 +30,7 @@ def _named(events: DataFrame, label: str) -> DataFrame:
     return events.where((F.col(label) != "") & (F.col(label) != OVERFLOW_LABEL))
 
 
-def first_seen(events: DataFrame, label: str, arrival: Column) -> DataFrame:
+def first_seen(events: DataFrame, label: str, arrival: Column | str) -> DataFrame:
     """Arrival of the first event of every label."""
     return (
         _named(events, label)
@@ -42,7 +42,7 @@ def first_seen(events: DataFrame, label: str, arrival: Column) -> DataFrame:
 def tracked_labels(
     events: DataFrame,
     label: str,
-    arrival: Column,
+    arrival: Column | str,
     options: RollupOptions = RollupOptions(),
     restored: DataFrame | None = None,
 ) -> DataFrame:
@@ -90,7 +90,7 @@ def fold_labels(
 def capped_rollup(
     events: DataFrame,
     label: str,
-    arrival: Column,
+    arrival: Column | str,
     options: RollupOptions = RollupOptions(),
     restored: DataFrame | None = None,
 ) -> DataFrame:
@@ -122,7 +122,7 @@ def capped_rollup(
 
 
 def overflow_count(
-    events: DataFrame, label: str, arrival: Column, options: RollupOptions = RollupOptions()
+    events: DataFrame, label: str, arrival: Column | str, options: RollupOptions = RollupOptions()
 ) -> DataFrame:
     """Number of events folded into the shared row; those that already carry
     its name are not folds."""
@@ -134,7 +134,7 @@ def overflow_count(
 
 
 def segment_overflows(
-    events: DataFrame, arrival: Column, options: RollupOptions = RollupOptions()
+    events: DataFrame, arrival: Column | str, options: RollupOptions = RollupOptions()
 ) -> DataFrame:
     """Folds over players and devices together."""
     parts = [overflow_count(events, d, arrival, options) for d in rollups.DIMENSIONS]

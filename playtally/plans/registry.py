@@ -44,6 +44,9 @@ TIGHT = IngestLimits(
 SHORT_WINDOW = IngestLimits(max_lateness_ms=3_600_000)
 RECEIPT_SHIFT_MS = 1_800_000
 
+# Events of the given table arrive in the order of their ids.
+ARRIVAL = "event_id"
+
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -64,10 +67,6 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.accepted_events(validate.with_verdict(raw_batches(spark, sf_dir)))
 
 
-def _arrival():
-    return F.col("event_id")
-
-
 # -- typed events and projections -----------------------------------------------
 
 
@@ -186,13 +185,13 @@ def merge_partials(spark, sf_dir):
 @query
 def capped_players(spark, sf_dir):
     events = wide_labels(playback_events(spark, sf_dir))
-    return as_metrics(labels.capped_rollup(events, "player", _arrival(), PLAYER_CAP), ("name",))
+    return as_metrics(labels.capped_rollup(events, "player", ARRIVAL, PLAYER_CAP), ("name",))
 
 
 @query
 def capped_devices(spark, sf_dir):
     events = playback_events(spark, sf_dir)
-    return as_metrics(labels.capped_rollup(events, "device", _arrival(), DEVICE_CAP), ("name",))
+    return as_metrics(labels.capped_rollup(events, "device", ARRIVAL, DEVICE_CAP), ("name",))
 
 
 @query
@@ -200,7 +199,7 @@ def capped_reserved(spark, sf_dir):
     events = wide_labels(playback_events(spark, sf_dir))
     own = F.when(F.col("device") == "device1", F.lit(OVERFLOW_LABEL)).otherwise(F.col("player"))
     return as_metrics(
-        labels.capped_rollup(events.withColumn("player", own), "player", _arrival(), PLAYER_CAP),
+        labels.capped_rollup(events.withColumn("player", own), "player", ARRIVAL, PLAYER_CAP),
         ("name",),
     )
 
@@ -209,13 +208,13 @@ def capped_reserved(spark, sf_dir):
 def capped_unbroadcast(spark, sf_dir):
     options = RollupOptions(max_segments=PLAYER_CAP.max_segments, broadcast_segments=0)
     events = wide_labels(playback_events(spark, sf_dir))
-    return as_metrics(labels.capped_rollup(events, "player", _arrival(), options), ("name",))
+    return as_metrics(labels.capped_rollup(events, "player", ARRIVAL, options), ("name",))
 
 
 @query
 def segment_overflows(spark, sf_dir):
     events = wide_labels(playback_events(spark, sf_dir))
-    return labels.segment_overflows(events, _arrival(), DEVICE_CAP)
+    return labels.segment_overflows(events, ARRIVAL, DEVICE_CAP)
 
 
 # -- time series ----------------------------------------------------------------------
@@ -484,7 +483,7 @@ def restore_capped(spark, sf_dir):
     events = playback_events(spark, sf_dir)
     restored = rollups.by_label(events, "player")
     capped = labels.capped_rollup(
-        wide_labels(events), "player", _arrival(), RESTORE_CAP, restored=restored
+        wide_labels(events), "player", ARRIVAL, RESTORE_CAP, restored=restored
     )
     return as_metrics(capped, ("name",))
 
