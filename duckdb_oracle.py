@@ -313,7 +313,7 @@ docs AS (
   SELECT 'minutes-' || strftime(make_timestamp(minute_ms * 1000), '%Y-%m-%d') AS doc_id,
     day(make_timestamp(minute_ms * 1000)) % 8 AS kind
   FROM minutes GROUP BY 1, 2
-  UNION ALL SELECT 'players-0', 0 UNION ALL SELECT 'devices-0', 0
+  UNION ALL SELECT 'players-0-0', 0 UNION ALL SELECT 'devices-0-0', 0
 )"""
 
 

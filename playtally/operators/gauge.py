@@ -108,7 +108,8 @@ def gauge_of_runs(runs: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
 
     in_day = (
-        runs.withColumn("day", day_start(F.col("minute_ms")))
+        # Not nullable, so that both uses below share one exchange.
+        runs.withColumn("day", F.coalesce(day_start(F.col("minute_ms")), zero))
         .withColumn("before", F.coalesce(F.sum("net").over(earlier), zero))
         .withColumn("last", F.lead("minute_ms").over(by_day))
         .withColumn("low", F.min(F.col("before") + F.col("lowest")).over(so_far))

@@ -34,13 +34,18 @@ def counter_rate(
         .withColumn("_prev_t", F.lag(ts).over(within))
         .withColumn("_next_t", F.lead(ts).over(within))
     )
-    across = W.partitionBy(series).orderBy("slice")
+    across = W.partitionBy("_series").orderBy("_slice")
     handed = (
         linked.where(F.col("_next_t").isNull())
-        .select(series, "slice", F.col(value).alias("_last_v"), F.col(ts).alias("_last_t"))
         .select(
-            series,
-            "slice",
+            F.col(series).alias("_series"),
+            F.col("slice").alias("_slice"),
+            F.col(value).alias("_last_v"),
+            F.col(ts).alias("_last_t"),
+        )
+        .select(
+            "_series",
+            "_slice",
             F.lag("_last_v").over(across).alias("_hand_v"),
             F.lag("_last_t").over(across).alias("_hand_t"),
         )
@@ -51,47 +56,49 @@ def counter_rate(
         prev_t.isNotNull() & (t > prev_t) & (v >= prev_v),
         (v - prev_v).cast("double") / ((t - prev_t).cast("double") / F.lit(1000.0)),
     ).otherwise(F.lit(0.0))
-    return linked.join(handed, [series, "slice"], "left").select(
-        *samples.columns, rate.alias("rate")
-    )
+    # Null-safe, so that no filter is inferred and both sides of the join can
+    # share the exchange of the samples.
+    same = F.col(series).eqNullSafe(F.col("_series")) & F.col("slice").eqNullSafe(F.col("_slice"))
+    return linked.join(handed, same, "left").select(*samples.columns, rate.alias("rate"))
 
 
-def running_events(minutes: DataFrame) -> DataFrame:
-    """Total events up to and including every minute.
+def events_per_sec(minutes: DataFrame) -> DataFrame:
+    """Running total of events and their rate since the bucket before.
 
-    Summed within days first; the days' own running sum has one row per day.
+    Worked out within days; a day hands on its total and its last bucket, and
+    the running sum of days has one row per day.
     """
-    within = W.partitionBy("day").orderBy("minute_ms").rowsBetween(W.unboundedPreceding, 0)
+    zero = F.lit(0).cast("bigint")
+    within = W.partitionBy("day").orderBy("minute_ms")
+    across = W.orderBy("day")
     in_day = minutes.select(
-        "minute_ms", "total_events", day_start(F.col("minute_ms")).alias("day")
+        "minute_ms",
+        "total_events",
+        F.coalesce(day_start(F.col("minute_ms")), zero).alias("day"),
     )
     days = (
         in_day.groupBy("day")
-        .agg(F.sum("total_events").alias("n"))
+        .agg(F.sum("total_events").alias("n"), F.max("minute_ms").alias("last"))
         .select(
             "day",
-            F.coalesce(
-                F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)),
-                F.lit(0).cast("bigint"),
-            ).alias("carry"),
+            F.coalesce(F.sum("n").over(across.rowsBetween(W.unboundedPreceding, -1)), zero).alias("carry"),
+            F.lag("last").over(across).alias("day_before"),
         )
     )
+    run = F.sum("total_events").over(within.rowsBetween(W.unboundedPreceding, 0))
+    before = F.coalesce("prev", "day_before")
+    seconds = (F.col("minute_ms") - before).cast("double") / F.lit(1000.0)
     return (
-        in_day.withColumn("run", F.sum("total_events").over(within))
+        in_day.withColumn("run", run)
+        .withColumn("prev", F.lag("minute_ms").over(within))
         .join(days, "day")
-        .select("minute_ms", (F.col("carry") + F.col("run")).alias("value"))
-    )
-
-
-def events_per_sec(minutes: DataFrame) -> DataFrame:
-    """Rate of events at every minute since the minute before it."""
-    samples = running_events(minutes).select(
-        F.lit("platform").alias("series"), F.col("minute_ms").alias("ts_ms"), "value"
-    )
-    return counter_rate(samples).select(
-        F.col("ts_ms").alias("minute_ms"),
-        F.col("value").alias("running_events"),
-        F.col("rate").alias("events_per_sec"),
+        .select(
+            "minute_ms",
+            (F.col("carry") + F.col("run")).alias("running_events"),
+            F.when(before.isNotNull(), F.col("total_events").cast("double") / seconds)
+            .otherwise(F.lit(0.0))
+            .alias("events_per_sec"),
+        )
     )
 
 

@@ -9,6 +9,7 @@ bucket instead of a single text that grows with the history.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playtally.functions.counters import merge_aggs
@@ -67,22 +68,38 @@ def _counters(version: int) -> Column:
     return F.struct(*kept)
 
 
-def to_documents(rows: DataFrame, version: int = VERSION, label_buckets: int = 1) -> DataFrame:
+def to_documents(
+    rows: DataFrame,
+    version: int = VERSION,
+    labels_per_document: int = 1000,
+    label_buckets: int = 1,
+) -> DataFrame:
     """JSON documents (``doc_id``, ``body``) that together hold ``rows``.
 
-    A minute document has at most the 1440 minutes of its day. Labels are
-    bounded by the label cap; without one, raise ``label_buckets``.
+    A minute document has at most the 1440 minutes of its day, a label
+    document at most ``labels_per_document`` names. Labels are numbered by name
+    within hash buckets; raise ``label_buckets`` where labels are not capped.
     """
     section = F.when(F.col("grain") == "minute", F.lit("minutes"))
     for name, grain in SECTIONS.items():
         section = section.when(F.col("grain") == grain, F.lit(name))
-    part = F.when(
-        F.col("grain") == "minute", day_of(F.col("minute_ms")).cast("string")
-    ).otherwise(F.pmod(F.xxhash64("name"), F.lit(label_buckets)).cast("string"))
-    grouped = rows.groupBy(section.alias("section"), part.alias("part")).agg(
-        F.sort_array(
-            F.collect_list(F.struct("minute_ms", "name", _counters(version).alias("m")))
-        ).alias("sorted")
+    bucket = F.pmod(F.xxhash64("name"), F.lit(label_buckets))
+    is_minute = F.col("grain") == "minute"
+    parted = rows.withColumn("section", section).withColumn(
+        "bucket", F.when(is_minute, day_of(F.col("minute_ms")).cast("string")).otherwise(bucket.cast("string"))
+    )
+    number = F.row_number().over(W.partitionBy("section", "bucket").orderBy("minute_ms", "name"))
+    part = F.when(is_minute, F.col("bucket")).otherwise(
+        F.concat_ws("-", "bucket", F.floor((number - 1) / F.lit(labels_per_document)).cast("string"))
+    )
+    grouped = (
+        parted.withColumn("part", part)
+        .groupBy("section", "bucket", "part")
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct("minute_ms", "name", _counters(version).alias("m")))
+            ).alias("sorted")
+        )
     )
     minute = lambda x: F.struct(*calendar(x["minute_ms"]), x["m"].alias("m"))
     named = lambda x: F.struct(x["name"].alias("name"), x["m"].alias("m"))

@@ -26,11 +26,13 @@ class PlaybackMetrics:
         segments: Callable[[str], DataFrame],
         sessions: Callable[[], DataFrame] | None = None,
         limits: QueryLimits = QueryLimits(),
+        capped: bool = True,
     ):
         self._minutes = minutes
         self._segments = segments
         self._sessions = sessions
         self.limits = limits
+        self.capped = capped
 
     @classmethod
     def from_events(
@@ -60,6 +62,7 @@ class PlaybackMetrics:
             segments,
             lambda: gauge.current_sessions(gauge.active_sessions(events)),
             limits,
+            capped=arrival is not None,
         )
 
     @classmethod
@@ -123,11 +126,16 @@ class PlaybackMetrics:
             timeseries.span(self._minutes(low, high), low, high), low, high
         )
 
+    def _segments_document(self, dimension: str, section: str) -> DataFrame:
+        if not self.capped:
+            raise ValueError("one document holds all labels: give an arrival to cap them")
+        return documents.segments_document(self._segments(dimension), section)
+
     def players_document(self) -> DataFrame:
-        return documents.segments_document(self._segments("player"), "players")
+        return self._segments_document("player", "players")
 
     def devices_document(self) -> DataFrame:
-        return documents.segments_document(self._segments("device"), "devices")
+        return self._segments_document("device", "devices")
 
     def status_document(self) -> DataFrame:
         return documents.status_document(self.status())

@@ -527,7 +527,7 @@ def doc_range(spark, sf_dir):
 
 @query
 def doc_players(spark, sf_dir):
-    doc = PlaybackMetrics.from_events(playback_events(spark, sf_dir)).players_document()
+    doc = PlaybackMetrics.from_events(playback_events(spark, sf_dir), ARRIVAL).players_document()
     shape = f"struct<players:array<struct<name:string,metrics:{_ddl(METRICS)}>>>"
     return (
         doc.select(F.from_json("doc", shape).alias("d"))

@@ -50,10 +50,13 @@ class LabelSlots:
     def assign(self, events: DataFrame, epoch_id: int) -> DataFrame:
         """Events of a micro-batch with labels beyond the cap folded."""
         taken = self.taken(epoch_id)
-        used = {r["dimension"]: r["n"] for r in taken.groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = taken.groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).collect()
+        used = {r["dimension"]: r["n"] for r in counts}
         fresh = None
         for dimension in rollups.DIMENSIONS:
             free = max(self.options.max_segments - used.get(dimension, 0), 0)
+            if free == 0:
+                continue
             old = F.broadcast(taken.where(F.col("dimension") == dimension).select("name"))
             new = (
                 labels.first_seen(events, dimension, labels.arrival_key())
@@ -63,7 +66,9 @@ class LabelSlots:
                 .select(F.lit(dimension).alias("dimension"), "name")
             )
             fresh = new if fresh is None else fresh.unionByName(new)
-        fresh.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/epoch_id={epoch_id}")
+        # Once all slots are taken there is nothing left to write.
+        if fresh is not None:
+            fresh.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/epoch_id={epoch_id}")
         slots = self.taken(epoch_id + 1)
         for dimension in rollups.DIMENSIONS:
             known = F.broadcast(

@@ -50,10 +50,10 @@ def test_round_trip(spark):
     checked = snapshot.check_documents(docs)
     assert {r["reason"] for r in rows(checked)} == {None}
     assert sorted(r["doc_id"] for r in rows(docs)) == [
-        "devices-0",
+        "devices-0-0",
         "minutes-2026-07-20",
         "minutes-2026-07-21",
-        "players-0",
+        "players-0-0",
     ]
     back = snapshot.document_rows(checked)
     order = ("grain", "minute_ms", "name", *COUNTERS)
