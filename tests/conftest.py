@@ -12,7 +12,7 @@ from playtally.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4)
+    session = local_session(4, **{"spark.sql.maxMetadataStringLength": "10000"})
     yield session
     session.stop()
 
