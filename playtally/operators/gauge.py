@@ -15,16 +15,21 @@ the (sum, lowest) pairs put in sequence:
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playtally.functions.minutes import day_start, minute_of
 
+# Executors get the fold itself, they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ORDER = ("timestamp_ms", "event_id")
 
 _RUNS = (

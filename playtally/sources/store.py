@@ -61,14 +61,17 @@ class RollupStore:
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
-    def published(self) -> tuple[int, int]:
-        """(snapshot id, last epoch it covers); (-1, -1) before the first."""
+    def _publications(self, newest: int) -> list[tuple[int, int]]:
         try:
             rows = self.spark.read.schema(_PUBLISHED).parquet(f"{self.path}/published")
         except AnalysisException:
-            return -1, -1
-        top = rows.agg(F.max(F.struct("snapshot_id", "through_epoch")).alias("top")).first()[0]
-        return (-1, -1) if top is None else (top["snapshot_id"], top["through_epoch"])
+            return []
+        top = rows.orderBy(F.col("snapshot_id").desc()).limit(newest).collect()
+        return [(r["snapshot_id"], r["through_epoch"]) for r in top]
+
+    def published(self) -> tuple[int, int]:
+        """(snapshot id, last epoch it covers); (-1, -1) before the first."""
+        return (self._publications(1) or [(-1, -1)])[0]
 
     def _all(self) -> DataFrame:
         snapshot_id, through = self.published()
@@ -141,6 +144,31 @@ class RollupStore:
         )
         return snapshot_id + 1
 
+    def vacuum(self) -> int:
+        """Delete what the last but one publication already replaced, so that
+        listings stay short; readers of the former snapshot are not disturbed.
+        Returns the number of folders deleted."""
+        known = self._publications(2)
+        if len(known) < 2:
+            return 0
+        kept_snapshot, through = known[1]
+        jvm = self.spark._jvm
+        folder = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        fs = folder("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+        deleted = 0
+        for kind, key, gone in (
+            ("partials", "epoch_id=", lambda n: n <= through),
+            ("snapshots", "snapshot_id=", lambda n: n < kept_snapshot),
+        ):
+            if not fs.exists(folder(kind)):
+                continue
+            for status in fs.listStatus(folder(kind)):
+                name = status.getPath().getName()
+                number = name.removeprefix(key)
+                if name.startswith(key) and number.isdigit() and gone(int(number)):
+                    deleted += bool(fs.delete(status.getPath(), True))
+        return deleted
+
 
 def _by_day(rows: DataFrame) -> DataFrame:
     day = F.when(F.col("grain") == "minute", day_of(F.col("minute_ms")).cast("string"))

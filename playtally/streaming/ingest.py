@@ -66,9 +66,12 @@ class LabelSlots:
                 .select(F.lit(dimension).alias("dimension"), "name")
             )
             fresh = new if fresh is None else fresh.unionByName(new)
-        # Once all slots are taken there is nothing left to write.
+        # Only epochs that bring a new label leave a file.
         if fresh is not None:
-            fresh.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/epoch_id={epoch_id}")
+            fresh = fresh.coalesce(1).persist()
+            if not fresh.isEmpty():
+                fresh.write.mode("overwrite").parquet(f"{self.path}/epoch_id={epoch_id}")
+            fresh.unpersist()
         slots = self.taken(epoch_id + 1)
         for dimension in rollups.DIMENSIONS:
             known = F.broadcast(
@@ -104,10 +107,18 @@ class SessionGauge:
             return self.spark.createDataFrame([], self._SCHEMA)
 
     def current(self, before_epoch: int | None = None) -> int:
-        table = self._table()
+        """Level after the latest epoch, or after the one before an epoch."""
         if before_epoch is not None:
-            table = table.where(F.col("epoch_id") < before_epoch)
-        return table.agg(F.max_by("active_sessions", "epoch_id")).first()[0] or 0
+            # Epochs are numbered without gaps: read just the one before.
+            try:
+                last = self.spark.read.schema("active_sessions bigint").parquet(
+                    f"{self.path}/epoch_id={before_epoch - 1}"
+                )
+            except AnalysisException:
+                last = self._table().where(F.col("epoch_id") < before_epoch)
+                return last.agg(F.max_by("active_sessions", "epoch_id")).first()[0] or 0
+            return last.first()[0]
+        return self._table().agg(F.max_by("active_sessions", "epoch_id")).first()[0] or 0
 
     def advance(self, events: DataFrame, epoch_id: int) -> None:
         """Fold the steps of a micro-batch onto the level before it.

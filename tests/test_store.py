@@ -70,6 +70,24 @@ def test_compaction_keeps_results(spark, tmp_path):
     assert counters(store.read_snapshot().where("grain = 'minute'")) == before[0]
 
 
+def test_vacuum_keeps_what_the_former_snapshot_needs(spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path))
+    for i in range(5):
+        store.write_epoch(epoch(spark, {"timestamp_ms": A + i * 60_000}), i)
+    store.compact(1)
+    assert store.vacuum() == 0
+    store.compact(2)
+    store.compact(3)
+    before = counters(store.minutes())
+    assert store.vacuum() == 4
+    assert sorted(p.name for p in (tmp_path / "partials").iterdir()) == ["epoch_id=3", "epoch_id=4"]
+    assert sorted(p.name for p in (tmp_path / "snapshots").iterdir()) == [
+        "snapshot_id=1",
+        "snapshot_id=2",
+    ]
+    assert counters(store.minutes()) == before
+
+
 def test_an_unpublished_snapshot_is_not_seen(spark, tmp_path):
     store = RollupStore(spark, str(tmp_path))
     store.write_snapshot(epoch(spark, {}), 5)
@@ -82,12 +100,6 @@ def test_an_unpublished_snapshot_is_not_seen(spark, tmp_path):
         store.write_snapshot(epoch(spark, {}), 5)
 
 
-def write(path, **files):
-    path.mkdir(exist_ok=True)
-    for name, text in files.items():
-        (path / name.replace("__", "-").replace("_dot_", ".")).write_text(text)
-
-
 def test_bodies_from_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"event_type":\n"pause"}]')
     row = one(raw.read_bodies(spark, str(tmp_path), ingest_time_ms=A))
