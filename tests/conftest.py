@@ -12,7 +12,13 @@ from playtally.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, **{"spark.sql.maxMetadataStringLength": "10000"})
+    session = local_session(
+        4,
+        **{
+            "spark.sql.maxMetadataStringLength": "10000",
+            "spark.sql.shuffle.partitions": "4",
+        },
+    )
     yield session
     session.stop()
 
