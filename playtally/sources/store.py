@@ -13,6 +13,8 @@ that dies halfway leaves data nobody refers to.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 from playtally.functions.minutes import day_of
 from playtally.operators import rollups
 from playtally.operators.timeseries import within_minutes
+from playtally.options import DAY_MS
 from playtally.schema import COUNTERS, PARTIALS
 
 _PUBLISHED = T.StructType(
@@ -31,6 +34,9 @@ _PUBLISHED = T.StructType(
 )
 _NO_DAY = "-"
 
+# Ranges up to this many days are read by naming the days' folders.
+_LISTED_DAYS = 31
+
 
 class RollupStore:
     """Minute, player and device counters under one path."""
@@ -48,7 +54,11 @@ class RollupStore:
             "partitionOverwriteMode", "static"
         ).partitionBy("day").parquet(f"{self.path}/partials/epoch_id={epoch_id}")
 
-    def _read(self, kind: str, key: str) -> DataFrame:
+    def _read(self, kind: str, key: str, inside: str = "") -> DataFrame:
+        """Rows below ``kind``, or of the folders ``inside`` matches there.
+
+        A narrower pattern lists fewer folders; no match means no rows.
+        """
         schema = T.StructType(
             [
                 *PARTIALS.fields,
@@ -56,8 +66,11 @@ class RollupStore:
                 T.StructField("day", T.StringType()),
             ]
         )
+        base = f"{self.path}/{kind}"
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}")
+            return (
+                self.spark.read.schema(schema).option("basePath", base).parquet(f"{base}{inside}")
+            )
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
@@ -73,23 +86,28 @@ class RollupStore:
         """(snapshot id, last epoch it covers); (-1, -1) before the first."""
         return (self._publications(1) or [(-1, -1)])[0]
 
-    def _all(self) -> DataFrame:
+    def _all(self, days: str = "") -> DataFrame:
         snapshot_id, through = self.published()
-        base = self._read("snapshots", "snapshot_id").where(F.col("snapshot_id") == snapshot_id)
-        later = self._read("partials", "epoch_id").where(F.col("epoch_id") > through)
+        base = self._read("snapshots", "snapshot_id", f"/snapshot_id={snapshot_id}{days}")
+        later = self._read("partials", "epoch_id", days and f"/epoch_id=*{days}").where(
+            F.col("epoch_id") > through
+        )
         keys = ("grain", "minute_ms", "name", "day")
         return base.select(*keys, *COUNTERS).unionByName(later.select(*keys, *COUNTERS))
 
     def rows(self, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
         """All counters, unmerged. Bounds prune days and row groups; with
         bounds only minute rows are given, since labels have no time."""
-        rows = self._all()
-        if from_ms is not None and to_ms is not None:
-            first, last = (day_of(F.lit(b).cast("bigint")).cast("string") for b in (from_ms, to_ms))
-            rows = within_minutes(
-                rows.where(F.col("day").between(first, last)), from_ms, to_ms, "minute_ms"
-            )
-        return rows.drop("day")
+        if from_ms is None or to_ms is None:
+            return self._all().drop("day")
+        first, last = from_ms // DAY_MS, to_ms // DAY_MS
+        named = [_day_name(d) for d in (first, last)]
+        # A short range names its days, so that only those are listed.
+        days = ""
+        if 0 <= last - first < _LISTED_DAYS:
+            days = "/day={" + ",".join(_day_name(d) for d in range(first, last + 1)) + "}"
+        rows = self._all(days).where(F.col("day").between(*named))
+        return within_minutes(rows, from_ms, to_ms, "minute_ms").drop("day")
 
     def minutes(self, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
         """Merged minute buckets."""
@@ -124,8 +142,7 @@ class RollupStore:
         if snapshot_id < 0:
             raise ValueError(f"no snapshot is published under {self.path}")
         return (
-            self._read("snapshots", "snapshot_id")
-            .where(F.col("snapshot_id") == snapshot_id)
+            self._read("snapshots", "snapshot_id", f"/snapshot_id={snapshot_id}")
             .select(*PARTIALS.names)
         )
 
@@ -134,7 +151,7 @@ class RollupStore:
         snapshot_id, through = self.published()
         if through_epoch <= through:
             return snapshot_id
-        base = self._read("snapshots", "snapshot_id").where(F.col("snapshot_id") == snapshot_id)
+        base = self._read("snapshots", "snapshot_id", f"/snapshot_id={snapshot_id}")
         fresh = self._read("partials", "epoch_id").where(
             (F.col("epoch_id") > through) & (F.col("epoch_id") <= through_epoch)
         )
@@ -170,6 +187,11 @@ class RollupStore:
         return deleted
 
 
+def _day_name(number: int) -> str:
+    """ISO date of a day counted from 1970-01-01."""
+    return (date(1970, 1, 1) + timedelta(days=number)).isoformat()
+
+
 def _by_day(rows: DataFrame) -> DataFrame:
     day = F.when(F.col("grain") == "minute", day_of(F.col("minute_ms")).cast("string"))
     # Minutes of a day come together in one file (at most 1440 rows); labels,
