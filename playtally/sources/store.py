@@ -38,6 +38,12 @@ _NO_DAY = "-"
 _LISTED_DAYS = 31
 
 
+def only_missing_path(error: AnalysisException) -> None:
+    """Pass over a path that does not exist yet; raise anything else."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+
+
 class RollupStore:
     """Minute, player and device counters under one path."""
 
@@ -71,13 +77,15 @@ class RollupStore:
             return (
                 self.spark.read.schema(schema).option("basePath", base).parquet(f"{base}{inside}")
             )
-        except AnalysisException:
+        except AnalysisException as error:
+            only_missing_path(error)
             return self.spark.createDataFrame([], schema)
 
     def _publications(self, newest: int) -> list[tuple[int, int]]:
         try:
             rows = self.spark.read.schema(_PUBLISHED).parquet(f"{self.path}/published")
-        except AnalysisException:
+        except AnalysisException as error:
+            only_missing_path(error)
             return []
         top = rows.orderBy(F.col("snapshot_id").desc()).limit(newest).collect()
         return [(r["snapshot_id"], r["through_epoch"]) for r in top]

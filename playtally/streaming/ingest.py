@@ -19,7 +19,7 @@ from playtally.operators import gauge, labels, rollups
 from playtally.operators.validate import ACCEPTED, accepted_events, with_verdict
 from playtally.options import IngestLimits, RollupOptions
 from playtally.schema import OVERFLOW_LABEL
-from playtally.sources.store import RollupStore
+from playtally.sources.store import RollupStore, only_missing_path
 
 OBSERVATION = "ingest"
 
@@ -43,7 +43,8 @@ class LabelSlots:
     def taken(self, before_epoch: int) -> DataFrame:
         try:
             table = self.spark.read.schema(self._SCHEMA).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as error:
+            only_missing_path(error)
             table = self.spark.createDataFrame([], self._SCHEMA)
         return table.where(F.col("epoch_id") < before_epoch).select("dimension", "name")
 
@@ -103,7 +104,8 @@ class SessionGauge:
     def _table(self) -> DataFrame:
         try:
             return self.spark.read.schema(self._SCHEMA).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as error:
+            only_missing_path(error)
             return self.spark.createDataFrame([], self._SCHEMA)
 
     def current(self, before_epoch: int | None = None) -> int:
@@ -114,7 +116,8 @@ class SessionGauge:
                 last = self.spark.read.schema("active_sessions bigint").parquet(
                     f"{self.path}/epoch_id={before_epoch - 1}"
                 )
-            except AnalysisException:
+            except AnalysisException as error:
+                only_missing_path(error)
                 last = self._table().where(F.col("epoch_id") < before_epoch)
                 return last.agg(F.max_by("active_sessions", "epoch_id")).first()[0] or 0
             return last.first()[0]
