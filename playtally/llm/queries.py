@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from playtally.llm.decontaminate import op6_decontamination
 from playtally.llm.simhash import op5_simhash
 from playtally.llm.suffix_dedup import op7_suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_QUERIES: tuple[Query, ...] = (op5_simhash, op7_suffix_dedup)
+_QUERIES: tuple[Query, ...] = (op5_simhash, op6_decontamination, op7_suffix_dedup)
 
 
 def queries() -> dict[str, Query]:
