@@ -45,8 +45,7 @@ class Words:
         self.doc = np.searchsorted(begins, self.first, "right") - 1
         self.offset = self.first - begins[self.doc]  # bytes from the text's start
         self.fresh = np.append(True, self.doc[1:] != self.doc[:-1])[: len(self.doc)]
-        self.sums = Sums(text.astype(np.uint64) + np.uint64(1))
-        self.hash = self.sums(self.first, self.stop)
+        self.hash = Sums(text.astype(np.uint64) + np.uint64(1))(self.first, self.stop)
         n = text.astype(np.uint32)
         two = n[:-3] << np.uint32(8) | n[1:-2]
         three = two << np.uint32(8) | n[2:-1]
@@ -59,10 +58,6 @@ class Words:
     def __len__(self) -> int:
         return len(self.first)
 
-    def stems(self, size: int) -> np.ndarray:
-        """Hashes of the first ``size`` bytes of the words."""
-        return self.sums(self.first, np.minimum(self.first + size, self.stop))
-
     def sum(self, values: np.ndarray) -> np.ndarray:
         """Sum of per-place values over the grams of each word."""
         return np.add.reduceat(values, self.cuts)[::2]
@@ -218,9 +213,11 @@ def fit(
     firsts = np.bincount(target[words.fresh], minlength=k).astype(float)
     # The places of grams that belong to a word, and whose.
     spans = words.stop - words.first
-    owner = np.repeat(np.arange(n), spans)
-    place = np.repeat(words.first - 1 - np.append(0, np.cumsum(spans)[:-1]), spans) + np.arange(len(owner))
-    grams = {m: words.grams[m][place] for m in _SIZES}
+    owner = np.repeat(np.arange(n, dtype=np.int32), spans)
+    place = np.repeat(words.first - 1 - np.append(0, np.cumsum(spans)[:-1]), spans)
+    place += np.arange(len(owner))
+    grams = {m: words.grams[m][place].astype(np.int32) for m in _SIZES}
+    del place
     # A feature's step is scaled by how often it occurs.
     parameters = [*(model.grams[m] for m in _SIZES), model.known, model.bias, model.start, model.step]
     seen = [np.zeros_like(p, dtype=np.float64) for p in parameters]
