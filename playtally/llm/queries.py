@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from playtally.llm.decontaminate import op6_decontamination
+from playtally.llm.editprint import op4_fingerprints
 from playtally.llm.language import op10_language
+from playtally.llm.phrase_dedup import op8_substring_dedup
 from playtally.llm.simhash import op5_simhash
 from playtally.llm.suffix_dedup import op7_suffix_dedup
 from playtally.llm.toxicity import op1_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_QUERIES: tuple[Query, ...] = (op1_toxicity, op5_simhash, op6_decontamination, op7_suffix_dedup, op10_language)
+_QUERIES: tuple[Query, ...] = (
+    op1_toxicity,
+    op4_fingerprints,
+    op5_simhash,
+    op6_decontamination,
+    op7_suffix_dedup,
+    op8_substring_dedup,
+    op10_language,
+)
 
 
 def queries() -> dict[str, Query]:
