@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -11,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtally.llm.shared import documents, keyed_texts, slices, text_bytes
+from playtally.llm.shared import documents, keyed_texts, packed, schema_with, slices, text_bytes, with_text
 
 WINDOW = 10
+#: Share of a text's words above which it is removed whole.
+COVERAGE = 0.5
 #: Item words in one automaton. More items are dealt to several automata,
 #: each a pass of its own, so driver and workers hold no more than one.
 AUTOMATON_WORDS = 2_000_000
@@ -218,6 +221,19 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _shards(docs: DataFrame, items: DataFrame, item_col: str, text_col: str, automaton_words: int):
+    """The items' words, shard by shard."""
+    items = items.select(
+        F.col(item_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text")
+    ).dropna()
+    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+    # A word takes two bytes at least, with what parts it from the next.
+    shards = max(1, -(-items.agg(size).first()[0] // (2 * automaton_words)))
+    for shard in range(shards):
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).sort("item_id", "text").collect()
+        yield [(i, words(t.encode())) for i, t in own]
+
+
 _SCHEMA = "doc_id bigint, row bigint, n_words bigint, ranges array<bigint>, items array<bigint>"
 
 
@@ -247,18 +263,11 @@ def matches(
     if window < 1:
         raise ValueError("window must be positive")
     docs = keyed_texts(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
-    items = items.select(
-        F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).cast("string").alias("text")
-    ).dropna()
-    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
-    # A word takes two bytes at least, with what parts it from the next.
-    shards = max(1, -(-items.agg(size).first()[0] // (2 * automaton_words)))
     parts = []
-    for shard in range(shards):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).sort("item_id", "text").collect()
-        held = docs.sparkSession.sparkContext.broadcast((window, [(i, words(t.encode())) for i, t in own]))
+    for own in _shards(docs, items, item_col, item_text_col, automaton_words):
+        held = docs.sparkSession.sparkContext.broadcast((window, own))
         parts.append(docs.mapInArrow(_scan(held), _SCHEMA))
-    if shards == 1:
+    if len(parts) == 1:
         return parts[0].drop("row")
     every = parts[0].withColumn("first", F.lit(True))
     for more in parts[1:]:
@@ -284,6 +293,70 @@ def _merge(batches):
         )
 
 
+def _cleaned(held, coverage: float):
+    find = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").finditer
+
+    def clean(batches):
+        matcher = Matcher(Automaton.of(held.value[1], held.value[0]))
+        vocabulary = matcher.auto.vocabulary
+        for batch in slices(batches, 4_000_000):
+            data, ends = text_bytes(batch.column("text"))
+            raw = data.tobytes()
+            texts, stay = batch.column("text").to_pylist(), np.ones(batch.num_rows, bool)
+            for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                text, gone, total = raw[a:b], 0, None
+                # What is left may make a window anew.
+                while True:
+                    ids = np.fromiter([vocabulary.get(w, -1) for w in words(text)], np.int64)
+                    total = len(ids) if total is None else total
+                    ranges = [
+                        r
+                        for begin, end in (matcher.stretches(ids) if len(ids) else ())
+                        for r in matcher.hits(ids[begin:end].tolist(), begin)[0]
+                    ]
+                    if not ranges:
+                        break
+                    spans, parts, last = [m.span() for m in find(text)], [], 0
+                    for begin, end in _merged(ranges):
+                        gone += end - begin
+                        parts.append(text[last : spans[begin][0]])
+                        last = spans[end - 1][1]
+                    text = b" ".join([*parts, text[last:]])
+                if gone:
+                    texts[row], stay[row] = text.decode(), gone <= coverage * total
+            out = pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "kept"])
+            yield out.filter(pa.array(stay))
+
+    return clean
+
+
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    coverage: float = COVERAGE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    automaton_words: int = AUTOMATON_WORDS,
+) -> DataFrame:
+    """``docs`` without the spans of words that lie in a window of some item.
+
+    A text of whose words more than ``coverage`` are removed is dropped whole.
+    Other rows stay as they are, with ``n_chars`` made to fit. Items that take
+    several automata take as many passes, one after the other; coverage is then
+    that of each pass.
+    """
+    found = docs
+    for own in _shards(docs, items, item_col, item_text_col, automaton_words):
+        held = docs.sparkSession.sparkContext.broadcast((window, own))
+        rows = packed(found, id_col, text_col).select("row", "text")
+        changed = rows.mapInArrow(_cleaned(held, coverage), schema_with(rows, "kept string"))
+        found = with_text(changed, "kept", docs.columns, text_col)
+    return found
+
+
 def hit_words(ranges: str = "ranges"):
     """Number of words in ``ranges``."""
     signed = f"transform({ranges}, (x, i) -> if(i % 2 = 0, -x, x))"

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from playtally.llm.decontaminate import op6_decontamination
 from playtally.llm.editprint import op4_fingerprints
 from playtally.llm.language import op10_language
+from playtally.llm.license_scan import ORACLE_SQL as LICENSE_SQL
+from playtally.llm.license_scan import op2_license_scan
+from playtally.llm.lm_score import op9_lm_score
 from playtally.llm.phrase_dedup import op8_substring_dedup
+from playtally.llm.pieces import op3_pieces
 from playtally.llm.simhash import op5_simhash
 from playtally.llm.suffix_dedup import op7_suffix_dedup
 from playtally.llm.toxicity import op1_toxicity
@@ -18,11 +22,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: tuple[Query, ...] = (
     op1_toxicity,
+    op2_license_scan,
+    op3_pieces,
     op4_fingerprints,
     op5_simhash,
     op6_decontamination,
     op7_suffix_dedup,
     op8_substring_dedup,
+    op9_lm_score,
     op10_language,
 )
 
@@ -33,4 +40,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Queries that DuckDB can answer as well; the others are tested by brute force."""
-    return {}
+    return {"op2_license_scan": LICENSE_SQL}

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def work_root(spark: SparkSession) -> str:
@@ -48,6 +49,28 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, row): as ``keyed_texts``, with the whole row beside."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), row)
+
+
+def schema_with(docs: DataFrame, ddl: str, name: str = "row") -> StructType:
+    """The fields of ``ddl`` and ``docs``' column ``name``."""
+    return StructType([docs.schema[name], *StructType.fromDDL(ddl).fields])
+
+
+def with_text(rows: DataFrame, text: str, columns: list[str], text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The packed rows with the text in column ``text``; ``size_col``, if there is one, follows it."""
+    out = []
+    for c in columns:
+        old = F.col(f"row.`{c}`")
+        # What is not changed stays null.
+        new = {text_col: F.when(old.isNull(), old).otherwise(F.col(text)), size_col: F.length(text).cast("bigint")}.get(c, old)
+        out.append(new.alias(c))
+    return rows.select(*out)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

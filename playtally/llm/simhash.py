@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally.llm.components import components
-from playtally.llm.shared import documents, keyed_texts, mix, slices, stored, text_bytes
+from playtally.llm.repeats import referenced
+from playtally.llm.shared import documents, keyed_texts, mix, packed, slices, stored, text_bytes
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Rows of a table's bucket above which it is dealt again by a second table.
@@ -50,14 +51,17 @@ def _fingerprints(shingle: int):
             raw, ends = data.tobytes(), ends.tolist()
             found = [fingerprint(raw[a:b], shingle) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             prints = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("ref"), pa.array(prints)], names=["doc_id", "ref", "print"]
+            )
 
     return compute
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, print) for every row; a null text has no words."""
-    return keyed_texts(docs, id_col, text_col).mapInArrow(_fingerprints(shingle), "doc_id bigint, print bigint")
+    """(doc_id, ref, print) for every row; a null text has no words, ``ref`` is a hash of id and text."""
+    docs = referenced(keyed_texts(docs, id_col, text_col))
+    return docs.mapInArrow(_fingerprints(shingle), "doc_id bigint, ref bigint, print bigint")
 
 
 def covering_masks(radius: int, seed: int = 0) -> list[int]:
@@ -196,11 +200,12 @@ def near_duplicates(
     text_col: str = "text",
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """(doc_id, print, component_id) for every row of ``docs``.
+    """(doc_id, print, component_id, ref, root) for every row of ``docs``.
 
     Texts are compared by 64-bit SimHash over shingles of lower-case words;
     prints within ``radius`` bits are linked, and ``component_id`` is the
-    smallest doc_id reachable over links. A text without words, null or empty,
+    smallest doc_id reachable over links; ``root`` is the same print for all of
+    a component. A text without words, null or empty,
     has print 0 and is linked like any other. Rows with a null doc_id take part
     and have the smallest id of the others, or null. Repeated rows stay.
     """
@@ -212,8 +217,22 @@ def near_duplicates(
         "print", "low", F.coalesce("root", "print").alias("root")
     )
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(low, "root").select("print", "component_id")
-    return rows.join(named, "print").select("doc_id", "print", "component_id")
+    named = rooted.join(low, "root").select("print", "component_id", "root")
+    return rows.join(named, "print").select("doc_id", "print", "component_id", "ref", "root")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The row with the smallest doc_id of each group of near-duplicates, unchanged.
+
+    Null ids come last. Of rows with that id, the text with the smallest hash
+    stays, once.
+    """
+    found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ref")).alias("first")
+    kept = found.groupBy("root").agg(first).select(F.col("first.ref").alias("ref")).distinct()
+    rows = referenced(packed(docs, id_col, text_col)).select("ref", "row")
+    # Equal rows have one ref.
+    return rows.join(kept, "ref", "left_semi").dropDuplicates(["ref"]).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally.llm.repeats import byte_units, referenced, repeated_starts, unpack
-from playtally.llm.shared import documents, keyed_texts, slices, text_bytes
+from playtally.llm.shared import documents, keyed_texts, packed, schema_with, slices, text_bytes, with_text
 
 LENGTH = 200
 #: Bytes of an anchor and starts of a cell; any values give the same result.
@@ -79,6 +79,30 @@ def remove_repeats(
     )
 
 
+def _rewritten(length: int):
+    kept = _kept(length)
+
+    def cut(batches):
+        for batch in slices(batches, 4_000_000):
+            for found in kept(iter([batch])):
+                texts = [t.decode("utf-8", "ignore") for t in found.column("kept").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "kept"])
+
+    return cut
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated bytes removed from each text; bytes of a character that was cut go as well.
+
+    ``n_chars`` is made to fit. No row is dropped, also if no text is left.
+    """
+    rows = referenced(packed(docs, id_col, text_col))
+    places = repeated_starts(rows, byte_units, length, min(GRAM, length), CELL)
+    joined = rows.join(places, "ref", "left")
+    changed = joined.mapInArrow(_rewritten(length), schema_with(joined, "kept string"))
+    return with_text(changed, "kept", docs.columns, text_col)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playtally.llm.crf import Model, Words, calibrate, fit
 from playtally.llm.language import remainder, sample_texts
-from playtally.llm.shared import documents, mix, slices, text_bytes
+from playtally.llm.shared import documents, mix, packed, schema_with, slices, text_bytes
 
 CLEAN, TOXIC = "0", "1"
 #: Training texts of either label, and their greatest length: the sample that the driver holds.
@@ -129,6 +129,25 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def _without(model):
+    score = _score(model)
+
+    def keep(batches):
+        for batch in slices(batches, 2_000_000):
+            for judged in score(iter([batch])):
+                clean = np.asarray(judged.column("score")) < THRESHOLD
+                yield batch.select(["row"]).filter(pa.array(clean))
+
+    return keep
+
+
+def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, unchanged."""
+    held = docs.sparkSession.sparkContext.broadcast(vars(model))
+    rows = packed(docs, id_col, text_col)
+    return rows.mapInArrow(_without(held), schema_with(rows, "")).select("row.*")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, per_label: dict[str, int] = SAMPLE) -> DataFrame:
     """(doc_id, text, toxic) of a bounded draw of the training labels.
 
