@@ -13,7 +13,7 @@ from playtally.llm.shared import documents, mix, packed, schema_with, slices, te
 
 CLEAN, TOXIC = "0", "1"
 #: Training texts of either label, and their greatest length: the sample that the driver holds.
-SAMPLE, SAMPLE_CHARS = {TOXIC: 400, CLEAN: 1200}, 5000
+SAMPLE, SAMPLE_CHARS = {TOXIC: 400, CLEAN: 1200}, 4000
 THRESHOLD = 0.3
 ROUNDS, RATE = 14, 1.0
 #: A word of toxic texts is toxic if so many of its texts are toxic, and if that
