@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from math import ceil, floor
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtally.llm.shared import documents, keyed_texts
+from playtally.llm.shared import documents, keyed_texts, slices, text_bytes
 
 THRESHOLD = 0.8
-#: A template table up to this many rows is sent to every task; it is a table
-#: of licences, not of documents. A larger one is joined by size.
-MAX_BROADCAST = 10_000
+#: The template table is one of licences, not of documents; its rows are sent to every task.
+MAX_TEMPLATES = 10_000
 
 # Public notices and licence texts.
 TEMPLATES: list[tuple[str, str]] = [
@@ -47,22 +49,76 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Words are ASCII letters and digits in lower case; all else parts them.
+_WORDS = bytes(
+    b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
+)
 
 
-def normalised(text: Column) -> Column:
-    """Words of ASCII letters and digits in lower case."""
-    plain = F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
-
-
-def bigrams(words: Column) -> Column:
-    """Distinct pairs of neighbouring words."""
-    last = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(
-        F.zip_with(
-            F.slice(words, F.lit(1), last), F.slice(words, F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b)
-        )
-    )
+def words(text: bytes) -> list[bytes]:
+    return text.translate(_WORDS).split()
+
+
+class Matcher:
+    """Templates by the sizes of texts that can be like them."""
+
+    def __init__(self, templates: list[tuple[str, int, str]], threshold: float):
+        self.threshold = threshold
+        ratio = threshold / (2 - threshold)
+        self.by_size: dict[int, list[tuple[str, int, frozenset]]] = {}
+        for name, number, text in templates:
+            own = words(text.encode())
+            grams = frozenset(zip(own, own[1:], strict=False))
+            # A small margin for rounding; the coefficient itself decides.
+            low, high = max(1, ceil(len(grams) * ratio - 1e-6)), floor(len(grams) / ratio + 1e-6)
+            for size in range(low, high + 1) if grams else ():
+                self.by_size.setdefault(size, []).append((name, number, grams))
+        self.least, self.most = min(self.by_size, default=1), max(self.by_size, default=0)
+
+    def matches(self, own: list[bytes]) -> list[tuple[str, int, float]]:
+        """(license_id, template_id, dice) of a text's words."""
+        if len(own) <= self.least:
+            return []
+        # A long text is given up as soon as it has too many bigrams.
+        grams: set[tuple[bytes, bytes]] = set()
+        step = self.most + 1
+        for at in range(0, len(own) - 1, step):
+            grams.update(zip(own[at : at + step], own[at + 1 : at + step + 1], strict=False))
+            if len(grams) > self.most:
+                return []
+        out = []
+        for name, number, marks in self.by_size.get(len(grams), ()):
+            dice = 2 * len(grams & marks) / (len(grams) + len(marks))
+            if dice >= self.threshold:
+                out.append((name, number, dice))
+        return out
+
+
+def _scan(held):
+    def scan(batches):
+        matcher = Matcher(*held.value)
+        for batch in slices(batches, 4_000_000):
+            data, ends = text_bytes(batch.column("text"))
+            raw, cuts = data.tobytes(), ends.tolist()
+            rows, found = [], []
+            for row, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                lines = [words(x) for x in raw[a:b].split(b"\n")]
+                whole = [w for x in lines for w in x]
+                for number, own in enumerate([whole, *(lines if len(lines) > 1 else ())]):
+                    for match in matcher.matches(own):
+                        rows.append(row)
+                        found.append((number, *match))
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(rows, pa.int64())),
+                    *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)),
+                ],
+                names=["doc_id", "line", "license_id", "template_id", "dice"],
+            )
+
+    return scan
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -85,30 +141,18 @@ def scan(
     ``threshold`` or more: a set of n bigrams can only reach it with one of
     n * t / (2 - t) to n * (2 - t) / t. A text of one line is compared once,
     as line 0. Null and empty texts, and lines below two words, match nothing.
-    Equal templates match side by side; repeated rows are each reported.
+    Equal templates match side by side; repeated rows are each reported. More
+    than ``MAX_TEMPLATES`` templates are an error.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    ratio = threshold / (2 - threshold)
-    marks = templates.select("license_id", "template_id", bigrams(normalised(F.col("text"))).alias("t_grams"))
-    marks = marks.withColumn("t_size", F.size("t_grams")).where("t_size > 0")
-    # A row for each size of a line that the bounds allow, with a small margin
-    # for rounding: candidates are found by an equal size.
-    low = F.greatest(F.ceil(F.col("t_size") * ratio - 1e-6), F.lit(1)).cast("int")
-    high = F.floor(F.col("t_size") / ratio + 1e-6).cast("int")
-    marks = marks.withColumn("size", F.explode(F.sequence(low, high)))
-    if templates.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        marks = F.broadcast(marks)
-    docs = keyed_texts(docs, id_col, text_col).where("text is not null")
-    lines = F.split("text", "\n")
-    units = F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.array("text"))
-    rows = docs.select("doc_id", F.posexplode(units).alias("line", "unit"))
-    rows = rows.select("doc_id", "line", bigrams(normalised(F.col("unit"))).alias("grams"))
-    rows = rows.withColumn("size", F.size("grams")).where("size > 0")
-    pairs = rows.join(marks, "size").where(F.arrays_overlap("grams", "t_grams"))
-    dice = 2 * F.size(F.array_intersect("grams", "t_grams")) / (F.col("size") + F.col("t_size"))
-    return pairs.select("doc_id", "line", "license_id", "template_id", dice.alias("dice")).where(
-        F.col("dice") >= threshold
+    size = templates.count()
+    if size > MAX_TEMPLATES:
+        raise ValueError(f"{size} templates; at most {MAX_TEMPLATES} are sent to every task")
+    rows = [tuple(r) for r in templates.select("license_id", "template_id", "text").dropna().collect()]
+    held = docs.sparkSession.sparkContext.broadcast((rows, threshold))
+    return keyed_texts(docs, id_col, text_col).mapInArrow(
+        _scan(held), "doc_id bigint, line int, license_id string, template_id int, dice double"
     )
 
 
