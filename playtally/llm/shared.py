@@ -62,12 +62,13 @@ def schema_with(docs: DataFrame, ddl: str, name: str = "row") -> StructType:
 
 def with_text(rows: DataFrame, text: str, columns: list[str], text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """The packed rows with the text in column ``text``; ``size_col``, if there is one, follows it."""
+    new = {text_col: F.col(text), size_col: F.length(text).cast("bigint")}
+    empty = F.col(f"row.`{text_col}`").isNull()
     out = []
     for c in columns:
         old = F.col(f"row.`{c}`")
-        # What is not changed stays null.
-        new = {text_col: F.when(old.isNull(), old).otherwise(F.col(text)), size_col: F.length(text).cast("bigint")}.get(c, old)
-        out.append(new.alias(c))
+        # A null text stays null.
+        out.append((F.when(empty, old).otherwise(new[c]) if c in new else old).alias(c))
     return rows.select(*out)
 
 

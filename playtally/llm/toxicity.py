@@ -37,7 +37,9 @@ def token_labels(words: Words, toxic: np.ndarray) -> np.ndarray:
     base = min(max(len(np.unique(group[toxic])) / max(1, len(np.unique(group))), 1e-6), 1 - 1e-6)
     share = np.clip(guilty / texts, 1e-6, 1 - 1e-6)
     gain = guilty * np.log(share / base) + (texts - guilty) * np.log((1 - share) / (1 - base))
-    toxic_word = found[(share >= LEAST_PRECISION) & (gain >= LEAST_GAIN)]
+    gain = np.where(share >= LEAST_PRECISION, gain, 0.0)
+    # A small sample tells less of any word.
+    toxic_word = found[gain >= max(min(LEAST_GAIN, gain.max() / 2), 1.0)]
     return (np.isin(words.hash, toxic_word) & guilty_doc).astype(np.int64)
 
 
