@@ -43,7 +43,7 @@ def token_labels(words: Words, toxic: np.ndarray) -> np.ndarray:
     return (np.isin(words.hash, toxic_word) & guilty_doc).astype(np.int64)
 
 
-def copies(words: Words, texts: int, rounds: int = 4, shingle: int = 3) -> np.ndarray:
+def copies(words: Words, texts: int, rounds: int = 4, shingle: int = 5) -> np.ndarray:
     """A number for each text of the sample, equal for near copies: texts that share a smallest shingle."""
     root = np.arange(texts)
     hashes = words.hash.copy()

@@ -88,7 +88,7 @@ def test_toxicity_query(spark):
 
 def labelled_texts(spark):
     rnd = random.Random(6)
-    text = lambda: [rnd.choice(["plain", "words", "here", "and", "more", "of", "them"]) for _ in range(30)]
+    text = lambda: [rnd.choice(["plain", "words", "here", *(f"{a}{b}o" for a in "bdkl" for b in "aeiou" * 3)]) for _ in range(30)]
     rows = [(100 + i, " ".join(text()), 0) for i in range(180)]
     for i in range(60):
         words = text()
