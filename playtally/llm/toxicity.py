@@ -23,6 +23,8 @@ LEAST_PRECISION, LEAST_GAIN = 0.9, 9.0
 GRAM_VALUE = 1.0
 #: Words whose marginal is reported as a span.
 SPAN = 0.5
+#: Words whose marginal adds to the document's score.
+SUSPECT = 0.2
 
 def token_labels(words: Words, toxic: np.ndarray) -> np.ndarray:
     """1 for the words of toxic texts that toxic texts have in common and clean ones lack.
@@ -81,10 +83,16 @@ def learn(docs: DataFrame, per_label: dict[str, int] = SAMPLE, max_chars: int =
 
 
 def evidence(model: Model, words: Words, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithm of what speaks against all words of a text being clean, and each word's marginal."""
+    """Logarithm of what speaks against a text being clean, and each word's marginal.
+
+    Suspect words add up as independent chances; where there is none the
+    largest marginal counts, so length alone makes no text toxic.
+    """
     probs = model.marginals(words)[:, 1] if len(words) else np.zeros(0)
-    against = np.bincount(words.doc, -np.log1p(-np.minimum(probs, 1 - 1e-9)), texts)
-    return np.log(against + 1e-9), probs
+    against = np.where(probs >= SUSPECT, -np.log1p(-np.minimum(probs, 1 - 1e-9)), 0.0)
+    most = np.zeros(texts)
+    np.maximum.at(most, words.doc, probs)
+    return np.log(np.bincount(words.doc, against, texts) + most + 1e-9), probs
 
 
 def _score(model):
@@ -120,8 +128,8 @@ def _score(model):
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, offsets) for every row of ``docs`` (doc_id, text).
 
-    The marginals of all words give the chance that some word is toxic, and
-    ``score`` is that chance on the scale of the training labels;
+    The marginals of a text's words give the evidence that some word is toxic
+    (see ``evidence``), and ``score`` is its probability by the training labels;
     ``offsets`` has begin and end of the toxic spans in bytes of the
     UTF-8 text. Null, empty and wordless texts have the lowest score and no span.
     """
