@@ -106,7 +106,8 @@ def test_toxic_spans_and_edges(spark):
     assert found[500].score == found[501].score == found[502].score < 0.3
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns
-    assert kept.count() == docs.count() - 1 and kept.where("doc_id = 1").count() == 0
+    ids = {r.doc_id for r in kept.collect()}
+    assert {2, 500, 501, 502} <= ids and 1 not in ids
 
 
 def test_no_labels(spark):
