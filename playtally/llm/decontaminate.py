@@ -324,7 +324,10 @@ def _cleaned(held, coverage: float):
                     text = b" ".join([*parts, text[last:]])
                 if gone:
                     texts[row], stay[row] = text.decode(), gone <= coverage * total
-            out = pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "kept"])
+            kept = pa.array(texts, pa.string())
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("text"), kept], names=["row", "text", "kept"]
+            )
             yield out.filter(pa.array(stay))
 
     return clean
@@ -352,7 +355,7 @@ def clean(
     for own in _shards(docs, items, item_col, item_text_col, automaton_words):
         held = docs.sparkSession.sparkContext.broadcast((window, own))
         rows = packed(found, id_col, text_col).select("row", "text")
-        changed = rows.mapInArrow(_cleaned(held, coverage), schema_with(rows, "kept string"))
+        changed = rows.mapInArrow(_cleaned(held, coverage), schema_with(rows, "text string, kept string"))
         found = with_text(changed, "kept", docs.columns, text_col)
     return found
 

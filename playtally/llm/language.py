@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally.llm.crf import Model, Words, fit
-from playtally.llm.shared import documents, slices, text_bytes
+from playtally.llm.shared import documents, fitted, slices, text_bytes
 
-#: Training texts for each language, and their greatest length: the sample that the driver holds.
+#: Training texts for each language, and their greatest length: the sample that one task holds.
 SAMPLE, SAMPLE_CHARS = 150, 10_000
 MAX_LANGUAGES = 200
 ROUNDS = 14
@@ -24,30 +24,21 @@ def chosen(key: Column, share: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(_SCALE)) < share * _SCALE
 
 
-def sample_texts(docs: DataFrame, label: str, per_label: int | dict[str, int], max_chars: int) -> tuple[list[str], list[str]]:
-    """Up to some ``per_label`` texts of each label, and their labels.
+def sample_texts(docs: DataFrame, label: str, per_label: int | dict[str, int], max_chars: int) -> DataFrame:
+    """(text, label): up to some ``per_label`` texts of each label.
 
     ``docs`` has (doc_id, text) and ``label``. The share taken of each label
     follows from a count over all rows.
     """
     docs = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     counts = docs.groupBy(label).count().sort(F.desc("count"), label).limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return [], []
     wanted = per_label if isinstance(per_label, dict) else {str(row[label]): per_label for row in counts}
     share = F.lit(0.0)
     for row in counts:
         own = wanted.get(str(row[label]), 0) / row["count"]
         share = F.when(F.col(label) == row[label], F.lit(own)).otherwise(share)
-    rows = (
-        docs.where(chosen(F.col("doc_id"), share) & (F.length("text") <= max_chars))
-        .select("text", label)
-        .limit(2 * sum(wanted.values()))
-        .toPandas()
-        .drop_duplicates()
-        .sort_values(["text", label])  # the same order every time
-    )
-    return rows["text"].tolist(), [str(x) for x in rows[label]]
+    drawn = docs.where(chosen(F.col("doc_id"), share) & (F.length("text") <= max_chars))
+    return drawn.select("text", label).limit(2 * sum(wanted.values()))
 
 
 def learn(docs: DataFrame, per_label: int = SAMPLE, max_chars: int = SAMPLE_CHARS, rounds: int = ROUNDS) -> Model:
@@ -56,11 +47,14 @@ def learn(docs: DataFrame, per_label: int = SAMPLE, max_chars: int = SAMPLE_CHAR
     Rows without text or language are no training rows. Without any the model
     has no languages and predicts none.
     """
-    texts, langs = sample_texts(docs, "lang", per_label, max_chars)
-    labels = sorted(set(langs))
-    words = Words(*text_bytes(pa.array(texts, pa.large_string())))
-    target = np.array([labels.index(x) for x in langs], np.int64)
-    return fit(words, target[words.doc] if len(words) else target[:0], labels, rounds=rounds)
+
+    def train(texts: list[str], langs: list[str]) -> dict:
+        labels = sorted(set(langs))
+        words = Words(*text_bytes(pa.array(texts, pa.large_string())))
+        target = np.array([labels.index(x) for x in langs], np.int64)
+        return vars(fit(words, target[words.doc] if len(words) else target[:0], labels, rounds=rounds))
+
+    return Model(**fitted(sample_texts(docs, "lang", per_label, max_chars), train, "lang"))
 
 
 def _has_letter(texts: list[str | None], words: Words) -> np.ndarray:
@@ -75,7 +69,7 @@ def _predict(model):
     def predict(batches):
         m = Model(**model.value)
         labels = np.array([*m.labels, UNKNOWN], dtype=object)
-        for batch in slices(batches, 2_000_000):
+        for batch in slices(batches, 1_000_000):
             texts = batch.column("text")
             words = Words(*text_bytes(texts))
             n, k = batch.num_rows, len(m.labels)

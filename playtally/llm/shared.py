@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,28 +51,63 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, row): as ``keyed_texts``, with the whole row beside."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    """(doc_id, text, row): as ``keyed_texts``, with all other columns beside."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    # Never without a field; its name is longer than any.
+    row = F.struct(*others, F.lit(True).alias("_" * (1 + max(map(len, docs.columns))))).alias("row")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), row)
 
 
-def schema_with(docs: DataFrame, ddl: str, name: str = "row") -> StructType:
-    """The fields of ``ddl`` and ``docs``' column ``name``."""
-    return StructType([docs.schema[name], *StructType.fromDDL(ddl).fields])
+def unpacked(rows: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The columns again, of rows with (text, row)."""
+    return rows.select(*[(F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in columns])
 
 
-def with_text(rows: DataFrame, text: str, columns: list[str], text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """The packed rows with the text in column ``text``; ``size_col``, if there is one, follows it."""
-    new = {text_col: F.col(text), size_col: F.length(text).cast("bigint")}
-    empty = F.col(f"row.`{text_col}`").isNull()
+def schema_with(docs: DataFrame, ddl: str) -> StructType:
+    """``docs``' column ``row`` and the fields of ``ddl``."""
+    return StructType([docs.schema["row"], *StructType.fromDDL(ddl).fields])
+
+
+def with_text(
+    rows: DataFrame, kept: str, columns: list[str], text_col: str = "text", size_col: str = "n_chars"
+) -> DataFrame:
+    """As ``unpacked``, with the text of column ``kept``; ``size_col``, if there is one, follows it.
+
+    A null text stays null, and its size as it was.
+    """
+    empty = F.col("text").isNull()
     out = []
     for c in columns:
-        old = F.col(f"row.`{c}`")
-        # A null text stays null.
-        out.append((F.when(empty, old).otherwise(new[c]) if c in new else old).alias(c))
+        if c == text_col:
+            column = F.when(~empty, F.col(kept))
+        elif c == size_col:
+            column = F.when(empty, F.col(f"row.`{c}`")).otherwise(F.length(kept).cast("bigint"))
+        else:
+            column = F.col(f"row.`{c}`")
+        out.append(column.alias(c))
     return rows.select(*out)
 
 
+def fitted(sample: DataFrame, fit: Callable[[list[str], list[str]], dict], label: str) -> dict:
+    """What ``fit`` makes of a bounded sample (text, ``label``), in one task.
+
+    Rows come sorted and once each, so the outcome does not depend on their
+    order. The driver receives the outcome only.
+    """
+
+    def run(batches):
+        rows: set[tuple[str, str]] = set()
+        for batch in batches:
+            rows.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        ordered = sorted(rows)
+        outcome = pickle.dumps(fit([t for t, _ in ordered], [x for _, x in ordered]))
+        yield pa.RecordBatch.from_arrays([pa.array([outcome], pa.binary())], names=["model"])
+
+    one = sample.select("text", F.col(label).cast("string").alias("label")).repartition(1)
+    found = one.mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else fit([], [])
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from playtally.llm.components import components
 from playtally.llm.repeats import referenced
-from playtally.llm.shared import documents, keyed_texts, mix, packed, slices, stored, text_bytes
+from playtally.llm.shared import documents, keyed_texts, mix, packed, slices, stored, text_bytes, unpacked
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Rows of a table's bucket above which it is dealt again by a second table.
@@ -230,9 +230,9 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ref")).alias("first")
     kept = found.groupBy("root").agg(first).select(F.col("first.ref").alias("ref")).distinct()
-    rows = referenced(packed(docs, id_col, text_col)).select("ref", "row")
+    rows = referenced(packed(docs, id_col, text_col)).select("ref", "row", "text")
     # Equal rows have one ref.
-    return rows.join(kept, "ref", "left_semi").dropDuplicates(["ref"]).select("row.*")
+    return rows.join(kept, "ref", "left_semi").dropDuplicates(["ref"]).transform(unpacked, docs.columns, text_col)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

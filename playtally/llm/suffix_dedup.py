@@ -86,7 +86,9 @@ def _rewritten(length: int):
         for batch in slices(batches, 4_000_000):
             for found in kept(iter([batch])):
                 texts = [t.decode("utf-8", "ignore") for t in found.column("kept").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "kept"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row"), batch.column("text"), pa.array(texts, pa.string())], names=["row", "text", "kept"]
+                )
 
     return cut
 
@@ -99,7 +101,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     rows = referenced(packed(docs, id_col, text_col))
     places = repeated_starts(rows, byte_units, length, min(GRAM, length), CELL)
     joined = rows.join(places, "ref", "left")
-    changed = joined.mapInArrow(_rewritten(length), schema_with(joined, "kept string"))
+    changed = joined.mapInArrow(_rewritten(length), schema_with(joined, "text string, kept string"))
     return with_text(changed, "kept", docs.columns, text_col)
 
 

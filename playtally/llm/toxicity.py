@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from playtally.llm.crf import Model, Words, calibrate, fit
 from playtally.llm.language import remainder, sample_texts
-from playtally.llm.shared import documents, mix, packed, schema_with, slices, text_bytes
+from playtally.llm.shared import documents, fitted, mix, packed, schema_with, slices, text_bytes, unpacked
 
 CLEAN, TOXIC = "0", "1"
-#: Training texts of either label, and their greatest length: the sample that the driver holds.
+#: Training texts of either label, and their greatest length: the sample that one task holds.
 SAMPLE, SAMPLE_CHARS = {TOXIC: 400, CLEAN: 1200}, 4000
 THRESHOLD = 0.3
 ROUNDS, RATE = 14, 1.0
@@ -71,15 +71,18 @@ def learn(docs: DataFrame, per_label: dict[str, int] = SAMPLE, max_chars: int =
     Rows without text or label are no training rows. If either label is
     missing every score is 0.
     """
-    texts, labels = sample_texts(docs, "toxic", per_label, max_chars)
-    words = Words(*text_bytes(pa.array(texts, pa.large_string())))
-    toxic = np.array([x == TOXIC for x in labels], bool)
-    target = token_labels(words, toxic) if len(words) else np.zeros(0, np.int64)
-    if not target.any():
-        return Model([], {}, np.empty(0, np.uint64), np.empty(0), np.empty(0), np.empty(0), np.empty(0))
-    model = fit(words, target, [CLEAN, TOXIC], rounds=rounds, rate=RATE, gram_value=GRAM_VALUE)
-    model.slope, model.level = calibrate(evidence(model, words, len(texts))[0], toxic.astype(float))
-    return model
+
+    def train(texts: list[str], labels: list[str]) -> dict:
+        words = Words(*text_bytes(pa.array(texts, pa.large_string())))
+        toxic = np.array([x == TOXIC for x in labels], bool)
+        target = token_labels(words, toxic) if len(words) else np.zeros(0, np.int64)
+        if not target.any():
+            return vars(Model([], {}, np.empty(0, np.uint64), np.empty(0), np.empty(0), np.empty(0), np.empty(0)))
+        model = fit(words, target, [CLEAN, TOXIC], rounds=rounds, rate=RATE, gram_value=GRAM_VALUE)
+        model.slope, model.level = calibrate(evidence(model, words, len(texts))[0], toxic.astype(float))
+        return vars(model)
+
+    return Model(**fitted(sample_texts(docs, "toxic", per_label, max_chars), train, "toxic"))
 
 
 def evidence(model: Model, words: Words, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +101,7 @@ def evidence(model: Model, words: Words, texts: int) -> tuple[np.ndarray, np.nda
 def _score(model):
     def score(batches):
         m = Model(**model.value)
-        for batch in slices(batches, 2_000_000):
+        for batch in slices(batches, 1_000_000):
             n = batch.num_rows
             scores = np.zeros(n)
             offsets: list[list[int]] = [[] for _ in range(n)]
@@ -143,10 +146,10 @@ def _without(model):
     score = _score(model)
 
     def keep(batches):
-        for batch in slices(batches, 2_000_000):
+        for batch in slices(batches, 1_000_000):
             for judged in score(iter([batch])):
                 clean = np.asarray(judged.column("score")) < THRESHOLD
-                yield batch.select(["row"]).filter(pa.array(clean))
+                yield batch.select(["row", "text"]).filter(pa.array(clean))
 
     return keep
 
@@ -155,7 +158,8 @@ def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """The rows of ``docs`` whose score is below the threshold, unchanged."""
     held = docs.sparkSession.sparkContext.broadcast(vars(model))
     rows = packed(docs, id_col, text_col)
-    return rows.mapInArrow(_without(held), schema_with(rows, "")).select("row.*")
+    kept = rows.mapInArrow(_without(held), schema_with(rows, "text string"))
+    return unpacked(kept, docs.columns, text_col)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_label: dict[str, int] = SAMPLE) -> DataFrame:
