@@ -180,7 +180,8 @@ def cross_entropy_difference(
     kept = words.where(F.col("n") >= F.lit(word_share) * total).select("word").toPandas()
     vocabulary = np.sort(kept["word"].to_numpy(np.int64).view(np.uint64))
     aims = target.select(F.col(id_col).alias("doc_id")).dropna().distinct().withColumn("target", F.lit(True))
-    flagged = docs.join(aims, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # The same join at every size: target ids are never few by nature.
+    flagged = docs.join(aims.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counted = flagged.mapInArrow(
         _count_bigrams(spark.sparkContext.broadcast(vocabulary)), "pair bigint, target bigint, background bigint"
     )
