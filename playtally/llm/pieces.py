@@ -262,7 +262,7 @@ class Pieces:
         words = _WORD.findall(line)
         if line[0] != " ":
             words.insert(0, line.split(" ", 1)[0])
-        if all(len(w) <= _LONG for w in words):
+        if max(map(len, words)) <= _LONG:
             return words
         out = []
         for word in words:
@@ -292,14 +292,16 @@ def _ranges(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(shift, counts) + np.arange(int(counts.sum()))
 
 
-def _encode(table):
+def _encode(table, check: bool):
     def encode(batches):
         pieces = Pieces(**table.value)
-        for batch in slices(batches, 2_000_000):
+        for batch in slices(batches, 1_500_000):
             ids, bounds = pieces.encode(batch.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-            keep = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*keep, lists], names=[*batch.schema.names, "ids"])
+            columns = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "ids": lists}
+            if check:
+                columns["decoded"] = pa.array(pieces.decode(ids, bounds), pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return encode
 
@@ -323,10 +325,13 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     search: str | None = None,
+    decoded: bool = False,
 ) -> DataFrame:
     """(doc_id, text, ids) for every row of ``docs``; a null or empty text has no tokens.
 
     ``search`` is ``"viterbi"``, ``"merge"`` or, by default, the model's own.
+    With ``decoded`` the ids are decoded again in the same pass, as ``decode``
+    does.
 
     The model's file is read on the driver; its table, of a vocabulary's size,
     is broadcast. A word is a run of spaces and what follows up to the next
@@ -334,7 +339,8 @@ def encode(
     """
     held = docs.sparkSession.sparkContext.broadcast(vars(Pieces.load(model, search)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(held), f"{_ddl(rows)}, ids array<int>")
+    more = ", decoded string" if decoded else ""
+    return rows.mapInArrow(_encode(held, decoded), f"{_ddl(rows)}, ids array<int>{more}")
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -352,7 +358,7 @@ def _ddl(rows: DataFrame) -> str:
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode(encode(documents(spark, sf_dir)))
+    found = encode(documents(spark, sf_dir), decoded=True)
     return found.select(
         "doc_id",
         F.size("ids").alias("n_tokens"),
