@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally.llm.crf import Model, Words, fit
-from playtally.llm.shared import documents, fitted, slices, text_bytes
+from playtally.llm.shared import documents, fitted, keyed_texts, slices, text_bytes
 
 #: Training texts for each language, and their greatest length: the sample that one task holds.
 SAMPLE, SAMPLE_CHARS = 150, 10_000
@@ -106,7 +106,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     is ``und`` with score 0; of equal shares the first language in order wins.
     """
     held = docs.sparkSession.sparkContext.broadcast(vars(model))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    return keyed_texts(docs).mapInArrow(
         _predict(held), "doc_id bigint, lang_pred string, score double, n_runs bigint"
     )
 

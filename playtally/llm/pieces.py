@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from playtally.llm.shared import documents, mix, slices
+from playtally.llm.shared import documents, keyed_texts, mix, slices
 from playtally.llm.windows import _BASE, _powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -338,7 +338,7 @@ def encode(
     space, and is searched as a whole, however long.
     """
     held = docs.sparkSession.sparkContext.broadcast(vars(Pieces.load(model, search)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = keyed_texts(docs, id_col, text_col)
     more = ", decoded string" if decoded else ""
     return rows.mapInArrow(_encode(held, decoded), f"{_ddl(rows)}, ids array<int>{more}")
 

@@ -45,13 +45,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of an Arrow batch. The default of 10,000 is made for numbers; as many
+#: texts would be held several times over by every worker.
+BATCH_ROWS = 2_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches; a smaller setting is left alone."""
+    now = int(spark.conf.get(_BATCH_SETTING))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) only, so that no other column can clash."""
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, row): as ``keyed_texts``, with all other columns beside."""
+    text_batches(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     # Never without a field; its name is longer than any.
     row = F.struct(*others, F.lit(True).alias("_" * (1 + max(map(len, docs.columns))))).alias("row")
@@ -133,6 +148,7 @@ def slices(batches: Iterator[pa.RecordBatch], size: int, column: str = "text") -
             stop = max(int(np.searchsorted(ends, ends[start] + size, "right")) - 1, start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

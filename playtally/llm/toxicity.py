@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playtally.llm.crf import Model, Words, calibrate, fit
 from playtally.llm.language import remainder, sample_texts
-from playtally.llm.shared import documents, fitted, mix, packed, schema_with, slices, text_bytes, unpacked
+from playtally.llm.shared import documents, fitted, keyed_texts, mix, packed, schema_with, slices, text_bytes, unpacked
 
 CLEAN, TOXIC = "0", "1"
 #: Training texts of either label, and their greatest length: the sample that one task holds.
@@ -137,7 +137,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     UTF-8 text. Null, empty and wordless texts have the lowest score and no span.
     """
     held = docs.sparkSession.sparkContext.broadcast(vars(model))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    return keyed_texts(docs).mapInArrow(
         _score(held), "doc_id bigint, score double, offsets array<bigint>"
     )
 
