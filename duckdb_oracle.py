@@ -32,9 +32,9 @@ clean AS (
     CASE WHEN kind = 'startup_complete' THEN CAST(floor(value * 10) AS INTEGER) END AS startup_time_ms,
     CASE WHEN kind = 'buffer_end' THEN CAST(floor(value * 7) AS INTEGER) END AS buffer_duration_ms,
     CASE WHEN kind = 'bitrate_change'
-      THEN CAST([300, 800, 1500, 3000, 5000, 8000][k % 6 + 1] AS INTEGER) END AS bitrate_kbps,
+      THEN CAST([400, 900, 1600, 2500, 3600, 4900][k % 6 + 1] AS INTEGER) END AS bitrate_kbps,
     CASE WHEN kind = 'playback_end' THEN CAST(floor(value * 1000) AS BIGINT) END AS watch_time_ms,
-    CASE WHEN kind = 'drm_error' THEN 'DRM_KEY_ERROR' END AS error_code
+    CASE WHEN kind = 'drm_error' THEN 'E17' END AS error_code
   FROM kinds
 ),
 pe AS (
@@ -172,7 +172,7 @@ faults AS (
     END AS reason,
     CASE
       WHEN NOT is_object THEN 'is not an object'
-      WHEN event_type IS NULL THEN 'needs a non-empty string as event_type'
+      WHEN event_type IS NULL THEN 'has no event_type, or an empty one'
       WHEN event_type = 'bogus' THEN 'has unknown event_type bogus'
       WHEN stamp_is_text THEN 'needs an integer as timestamp'
       WHEN NOT stamp_absent AND NOT timestamp_ms BETWEEN ingest_time_ms - 604800000 AND ingest_time_ms + 300000
@@ -197,7 +197,7 @@ judged AS (
     CASE WHEN s.r = 6 THEN 'body is not valid JSON'
          WHEN s.r = 10 THEN 'body is neither a list nor has a member events'
          WHEN s.r = 11 THEN 'list of events is empty'
-         WHEN first_idx IS NOT NULL THEN 'event at index ' || first_idx || ' ' || detail
+         WHEN first_idx IS NOT NULL THEN 'element ' || first_idx || ' ' || detail
          ELSE 'accepted ' || n || ' event(s)' END AS message,
     CASE WHEN s.r IN (6, 10, 11) THEN 0 ELSE n END AS n_events
   FROM sizes s LEFT JOIN firsts USING (batch_no)
@@ -409,6 +409,12 @@ def oracle() -> dict[str, str]:
     )
 
     o["active_sessions"] = _with("SELECT * FROM gauge", _GAUGE)
+    arrival = "timestamp_ms // 86400000, event_id % 1000, event_id // 1000"
+    o["active_sessions_arrival"] = _with(
+        "SELECT * FROM gauge", _GAUGE.replace("timestamp_ms, event_id ROWS", f"{arrival} ROWS").replace(
+            "(timestamp_ms, event_id)) AS", f"({arrival})) AS"
+        )
+    )
     o["counter_rate"] = _with(
         f"SELECT series, ts_ms, event_id, value, {_RATE} AS rate FROM linked",
         "samples AS (SELECT device AS series, timestamp_ms AS ts_ms, event_id, event_id * 7 % 1000 AS value FROM pe)",
@@ -549,16 +555,16 @@ skels AS (
     )
 
     o["snapshot_roundtrip"] = o["multi_rollup"]
-    counter = "counter {} is missing or not a non-negative integer"
+    counter = "counter {} is absent or no count of 0 or more"
     o["snapshot_validate"] = _minute_sql(
         f"""SELECT doc_id, CAST(CASE kind WHEN 1 THEN 3 WHEN 5 THEN NULL WHEN 7 THEN NULL ELSE 2 END AS INTEGER) AS version,
-          CASE kind WHEN 1 THEN 'unsupported snapshot version 3'
+          CASE kind WHEN 1 THEN 'version 3 is not supported'
             WHEN 2 THEN '{counter.format('total_views')}'
             WHEN 3 THEN '{counter.format('buffer_samples')}'
             WHEN 4 THEN 'minute field h is not an integer within 0..23'
             WHEN 5 THEN 'snapshot is not valid JSON'
             WHEN 6 THEN 'minutes is not a list'
-            WHEN 7 THEN 'snapshot has no integer version' END AS reason
+            WHEN 7 THEN 'the version is no integer' END AS reason
         FROM docs""",
         _DOCS,
     )
@@ -566,6 +572,7 @@ skels AS (
         "SELECT * FROM multi WHERE grain <> 'minute' OR day(make_timestamp(minute_ms * 1000)) % 8 = 0",
         _MULTI,
     )
+    o["snapshot_refused"] = o["snapshot_load_json"]
     o["snapshot_migrate_v1"] = _with(
         f"SELECT name, {_METRICS} FROM (SELECT * REPLACE (CAST(0 AS BIGINT) AS buffer_samples)"
         f" FROM ({_labels('device')}))"

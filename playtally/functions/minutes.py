@@ -20,8 +20,11 @@ LONG_MAX = 2**63 - 1
 
 
 def minute_of(ms: Column) -> Column:
-    """Start of the UTC minute holding ``ms``; floors toward the past."""
-    return ms - F.pmod(ms, F.lit(MINUTE_MS).cast("bigint"))
+    """Start of the UTC minute holding ``ms``; floors toward the past.
+
+    NULL where that start is below the 64-bit range.
+    """
+    return F.try_subtract(ms, F.pmod(ms, F.lit(MINUTE_MS).cast("bigint")))
 
 
 def minute_floor(ms: int) -> int:
@@ -30,8 +33,9 @@ def minute_floor(ms: int) -> int:
 
 
 def day_of(ms: Column) -> Column:
-    """UTC date holding ``ms``."""
-    return F.date_from_unix_date(F.floor(ms / F.lit(float(DAY_MS))).cast("int"))
+    """UTC date holding ``ms``; NULL outside of the years that have a label."""
+    day = F.floor(ms / F.lit(float(DAY_MS))).try_cast("int")
+    return F.when(in_time_domain(ms), F.date_from_unix_date(day))
 
 
 def day_start(ms: Column) -> Column:

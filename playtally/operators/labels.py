@@ -1,8 +1,12 @@
 """Label cap: the first N labels keep their row, all others share one.
 
-"First" is by arrival. Arrival is one BIGINT per event (see
-:func:`arrival_key`), so that finding the first arrival of every label is a
-hash aggregation; labels that arrive at once are taken by name.
+"First" is by arrival, see :func:`arrival_key`; labels that arrive at once are
+taken by name.
+
+Events are aggregated once, to one row per label with its counters and first
+arrival. The first N of those rows are the tracked ones, and what all rows
+have more than the tracked ones is the shared row. Both read the same exchange,
+so the input is read and judged once.
 """
 
 from __future__ import annotations
@@ -15,15 +19,10 @@ from playtally.options import RollupOptions
 from playtally.operators import rollups
 from playtally.schema import COUNTERS, OVERFLOW_LABEL
 
-# Positions within a batch take the low bits of an arrival key: 2**14 covers
-# the largest batch, and epoch milliseconds to the year 9999 fit above it.
-_POSITIONS = 1 << 14
-
 
 def arrival_key() -> Column:
-    """Arrival of an event from its receipt time and position in the batch."""
-    position = F.least(F.col("idx").cast("bigint"), F.lit(_POSITIONS - 1))
-    return F.col("ingest_time_ms") * F.lit(_POSITIONS) + position
+    """Arrival of an event: receipt time, then batch, then position in it."""
+    return F.struct("ingest_time_ms", "batch_id", F.col("idx").cast("bigint").alias("idx"))
 
 
 def _named(events: DataFrame, label: str) -> DataFrame:
@@ -55,15 +54,21 @@ def tracked_labels(
         "name", F.lit(1).alias("live"), "arrival"
     )
     if restored is not None:
+        # Restored names have no arrival; they come first all the same.
         kept = _named(restored, "name").select(
-            "name", F.lit(0).alias("live"), F.lit(0).cast("bigint").alias("arrival")
+            "name", F.lit(0).alias("live"), F.lit(None).cast(seen.schema["arrival"].dataType).alias("arrival")
         )
         seen = (
             seen.unionByName(kept)
             .groupBy("name")
             .agg(F.min("live").alias("live"), F.min("arrival").alias("arrival"))
         )
-    return seen.orderBy("live", "arrival", "name").limit(options.max_segments).select("name")
+    return seen.orderBy("live", _live_arrival(), "name").limit(options.max_segments).select("name")
+
+
+def _live_arrival() -> Column:
+    """Restored labels go by name alone."""
+    return F.when(F.col("live") == 1, F.col("arrival"))
 
 
 def _fold(rows: DataFrame, label: str, tracked: DataFrame, options: RollupOptions) -> DataFrame:
@@ -87,6 +92,45 @@ def fold_labels(
     return _fold(events, label, tracked, options)
 
 
+def _label_rows(
+    events: DataFrame, label: str, arrival: Column | str, restored: DataFrame | None
+) -> DataFrame:
+    """One row per label: (name, counters, arrival), with restored ones also ``live``.
+
+    The reserved name is among them.
+    """
+    arrived = arrival if isinstance(arrival, Column) else F.col(arrival)
+    rows = (
+        events.where(F.col(label) != "")
+        .groupBy(F.col(label).alias("name"))
+        .agg(*counter_aggs(), F.min(arrived).alias("arrival"))
+    )
+    if restored is None:
+        return rows
+    old = restored.where(F.col("name") != "").select(
+        "name",
+        *COUNTERS,
+        F.lit(0).alias("live"),
+        F.lit(None).cast(rows.schema["arrival"].dataType).alias("arrival"),
+    )
+    return (
+        rows.withColumn("live", F.lit(1))
+        .unionByName(old)
+        .groupBy("name")
+        .agg(*merge_aggs(), F.min("live").alias("live"), F.min("arrival").alias("arrival"))
+    )
+
+
+def _first_rows(rows: DataFrame, options: RollupOptions) -> DataFrame:
+    """The tracked labels' rows, by a top-N."""
+    # The reserved name comes last rather than being filtered out below: the
+    # plan under the top-N stays the same as that of the totals.
+    reserved = F.col("name") == OVERFLOW_LABEL
+    order = ["live", _live_arrival()] if "live" in rows.columns else ["arrival"]
+    first = rows.orderBy(reserved, *order, "name").limit(options.max_segments)
+    return first.where(~reserved)
+
+
 def capped_rollup(
     events: DataFrame,
     label: str,
@@ -96,29 +140,23 @@ def capped_rollup(
 ) -> DataFrame:
     """Rollup of a label under the cap, restored segments added in.
 
-    Few tracked labels are broadcast and events folded before aggregation.
-    With a cap too large to broadcast, events are first aggregated per label,
-    which leaves one row per label and no hot key, and those rows are joined.
+    The shared row shows only once it has events.
     """
-    tracked = tracked_labels(events, label, arrival, options, restored)
-    if options.max_segments <= options.broadcast_segments:
-        live = (
-            _fold(events, label, tracked, options)
-            .groupBy(F.col(label).alias("name"))
-            .agg(*counter_aggs())
-        )
-    else:
-        live = (
-            _fold(rollups.by_label(events, label), "name", tracked, options)
-            .groupBy("name")
-            .agg(*merge_aggs())
-        )
-    if restored is None:
-        return live
-    old = _fold(restored.select("name", *COUNTERS), "name", tracked, options)
-    merged = rollups.merge(live.unionByName(old.select("name", *COUNTERS)), ("name",))
-    # The shared row shows only once it has events.
-    return merged.where((F.col("name") != OVERFLOW_LABEL) | (F.col("total_events") > 0))
+    rows = _label_rows(events, label, arrival, restored)
+    tracked = _first_rows(rows, options)
+    # Nothing is pruned from the totals' input, or it would be another exchange.
+    keys = [c for c in ("name", "live", "arrival") if c in rows.columns]
+    signed = lambda frame, sign: frame.select(
+        *[(F.lit(sign) * F.col(c)).alias(c) for c in COUNTERS], *keys
+    )
+    rest = (
+        signed(rows, 1)
+        .unionByName(signed(tracked, -1))
+        .agg(*merge_aggs(), *[F.count(k).alias(f"_{k}") for k in keys])
+        .where((F.col("total_events") > 0) & (F.col("_name") + F.col("_arrival") >= 0))
+        .select(F.lit(OVERFLOW_LABEL).alias("name"), *COUNTERS)
+    )
+    return tracked.select("name", *COUNTERS).unionByName(rest)
 
 
 def overflow_count(
@@ -126,11 +164,19 @@ def overflow_count(
 ) -> DataFrame:
     """Number of events folded into the shared row; those that already carry
     its name are not folds."""
-    named = _named(events, label)
-    tracked = tracked_labels(events, label, arrival, options)
-    return _fold(named, label, tracked, options).agg(
-        F.count_if(F.col(label) == OVERFLOW_LABEL).alias("overflows")
+    arrived = arrival if isinstance(arrival, Column) else F.col(arrival)
+    rows = (
+        events.where(F.col(label) != "")
+        .groupBy(F.col(label).alias("name"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(arrived).alias("arrival"))
+    )
+    named = F.when(F.col("name") != OVERFLOW_LABEL, F.col("n")).otherwise(F.lit(0))
+    every = rows.select(named.alias("n"), "arrival")
+    kept = _first_rows(rows, options).select((-F.col("n")).alias("n"), "arrival")
+    both = every.unionByName(kept).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("overflows"), F.count("arrival").alias("_arrival")
     )
+    return both.where("_arrival >= 0").select("overflows")
 
 
 def segment_overflows(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtally.functions.members import integer, is_text, member, text
+from playtally.functions.minutes import MAX_TIMESTAMP_MS, MIN_TIMESTAMP_MS
 from playtally.operators.validate import from_list_or_envelope, parse_whole
 from playtally.schema import EVENT_TYPES
 
@@ -46,16 +47,18 @@ def parse_batches(batches: DataFrame) -> DataFrame:
     )
     int32 = lambda f: f"try_cast({integer(f)} AS INT) AS {f}"
     kind = text("event_type", absent="NULL", wrong="NULL")
+    stamp = f"coalesce({integer('timestamp')}, 0)"
     return raw.selectExpr(
         "batch_id",
         "ingest_time_ms",
         "idx",
-        f"coalesce({is_text('event_type')} AND {kind} IN ({known}), false) AS parsed",
+        f"coalesce({is_text('event_type')} AND {kind} IN ({known}) AND {stamp} BETWEEN"
+        f" {MIN_TIMESTAMP_MS} AND {MAX_TIMESTAMP_MS}, false) AS parsed",
         f"{kind} AS event_type",
         f"{text('session_id')} AS session_id",
         f"{text('player')} AS player",
         f"{text('device')} AS device",
-        f"coalesce({integer('timestamp')}, 0) AS timestamp_ms",
+        f"{stamp} AS timestamp_ms",
         int32("startup_time_ms"),
         int32("buffer_duration_ms"),
         int32("bitrate_kbps"),

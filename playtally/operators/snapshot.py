@@ -9,7 +9,6 @@ bucket instead of a single text that grows with the history.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playtally.functions.counters import merge_aggs
@@ -71,14 +70,13 @@ def _counters(version: int) -> Column:
 def to_documents(
     rows: DataFrame,
     version: int = VERSION,
-    labels_per_document: int = 1000,
-    label_buckets: int = 1,
+    label_buckets: int = 256,
 ) -> DataFrame:
     """JSON documents (``doc_id``, ``body``) that together hold ``rows``.
 
-    A minute document has at most the 1440 minutes of its day, a label
-    document at most ``labels_per_document`` names. Labels are numbered by name
-    within hash buckets; raise ``label_buckets`` where labels are not capped.
+    A minute document has at most the 1440 minutes of its day. Labels are dealt
+    to ``label_buckets`` documents of a section by a hash of the name; raise it
+    where labels are not capped.
     """
     section = F.when(F.col("grain") == "minute", F.lit("minutes"))
     for name, grain in SECTIONS.items():
@@ -88,10 +86,7 @@ def to_documents(
     parted = rows.withColumn("section", section).withColumn(
         "bucket", F.when(is_minute, day_of(F.col("minute_ms")).cast("string")).otherwise(bucket.cast("string"))
     )
-    number = F.row_number().over(W.partitionBy("section", "bucket").orderBy("minute_ms", "name"))
-    part = F.when(is_minute, F.col("bucket")).otherwise(
-        F.concat_ws("-", "bucket", F.floor((number - 1) / F.lit(labels_per_document)).cast("string"))
-    )
+    part = F.when(is_minute, F.col("bucket")).otherwise(F.concat_ws("-", "bucket", F.lit("0")))
     grouped = (
         parted.withColumn("part", part)
         .groupBy("section", "bucket", "part")
@@ -126,7 +121,7 @@ def _counter_fault(m: str) -> str:
             ok = f"(({value} IS NULL AND version < {since}) OR ({ok}))"
         tests.append(f"named_struct('c', '{name}', 'ok', {ok})")
     first = f"get(filter(array({', '.join(tests)}), t -> NOT coalesce(t.ok, false)), 0).c"
-    message = "concat('counter ', c, ' is missing or not a non-negative integer')"
+    message = "concat('counter ', c, ' is absent or no count of 0 or more')"
     return (
         f"CASE WHEN NOT {is_object(m)} THEN 'metrics entry is not an object'"
         f" ELSE {let('c', first, message)} END"
@@ -224,9 +219,9 @@ def check_documents(documents: DataFrame) -> DataFrame:
         "_doc",
         "CASE WHEN doc IS NULL THEN 'snapshot is not valid JSON'"
         f" WHEN NOT {is_object('doc')} THEN 'snapshot is not an object'"
-        f" WHEN NOT {is_integer(member('doc', 'version'))} THEN 'snapshot has no integer version'"
+        f" WHEN NOT {is_integer(member('doc', 'version'))} THEN 'the version is no integer'"
         f" WHEN {version} NOT BETWEEN {OLDEST_VERSION} AND {VERSION}"
-        f" THEN concat('unsupported snapshot version ', {version})"
+        f" THEN concat('version ', {version}, ' is not supported')"
         f" ELSE {content} END",
     )
     typed = f"try_variant_get(_doc, '$', '{_TYPED_DOC}')"
@@ -248,8 +243,22 @@ def check_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def sound_snapshots(checked: DataFrame) -> DataFrame:
+    """Documents of snapshots without an unsound document.
+
+    A snapshot is all documents of one ``snapshot_id``, or all there are where
+    the documents have no such column: it is applied whole or not at all.
+    """
+    unit = "snapshot_id" if "snapshot_id" in checked.columns else None
+    # Not a literal, or the join below would have no key.
+    every = F.coalesce(F.length("body") * 0, F.lit(0))
+    own = checked.withColumn("_unit", F.col(unit) if unit else every)
+    bad = own.where("reason IS NOT NULL").select(F.col("_unit").alias("_bad")).distinct()
+    return own.join(bad, F.col("_unit").eqNullSafe(F.col("_bad")), "left_anti").drop("_unit")
+
+
 def document_rows(checked: DataFrame) -> DataFrame:
-    """Counter rows of all sound documents.
+    """Counter rows of all snapshots whose documents are sound, see :func:`sound_snapshots`.
 
     A counter that came with a later version than the document reads as 0, so
     a mean over it says "no data" rather than something made up.
@@ -266,7 +275,8 @@ def document_rows(checked: DataFrame) -> DataFrame:
     ]
     typed = f"try_variant_get(doc, '$', '{_TYPED_DOC}')"
     entries = (
-        checked.selectExpr(f"{typed} AS t")
+        sound_snapshots(checked)
+        .selectExpr(f"{typed} AS t")
         .select(F.explode_outer(F.expr(f"concat({', '.join(lists)})")).alias("x"))
         .where("x IS NOT NULL")
     )

@@ -115,11 +115,12 @@ def range_bounds(
     return low, high
 
 
-def fill_gaps(minutes: DataFrame, limit: int = QueryLimits().gap_fill_minutes) -> DataFrame:
+def fill_gaps(minutes: DataFrame, limit: int | None = None) -> DataFrame:
     """Add an all-zero bucket for every minute without one.
 
-    Only between the first and the last bucket, and only if the result has at
-    most ``limit`` rows; otherwise the input comes back as it is. The minutes
+    Only between the first and the last bucket. A chart gives the number of
+    points it can draw as ``limit``: if there were more, the input comes back
+    as it is. The minutes
     to add come from a one-row aggregate, and zeroes add nothing, so filling
     is a union and a merge: no join.
     """
@@ -130,7 +131,7 @@ def fill_gaps(minutes: DataFrame, limit: int = QueryLimits().gap_fill_minutes) -
     )
     width = F.expr(f"(hi - lo) div {MINUTE_MS} + 1")
     spine = (
-        bounds.where((F.col("n") >= 2) & (width > F.col("n")) & (width <= limit))
+        bounds.where((F.col("n") >= 2) & (width > F.col("n")) & (F.lit(True) if limit is None else width <= limit))
         .select(F.explode(F.sequence("lo", "hi", F.lit(MINUTE_MS).cast("bigint"))).alias("minute_ms"))
         .select("minute_ms", *zero_counters())
     )
@@ -185,12 +186,12 @@ def kpi_panels(
     return as_metrics(panels, ("window_name", "points"))
 
 
-def kpi_panel(minutes: DataFrame, n: int) -> DataFrame:
+def kpi_panel(minutes: DataFrame, n: int, limit: int = QueryLimits().gap_fill_minutes) -> DataFrame:
     """:func:`kpi_panels` for one window of ``n`` buckets; always one row."""
     latest = minutes.orderBy(F.col("minute_ms").desc()).limit(n)
     width = F.expr(f"(hi - lo) div {MINUTE_MS} + 1")
     fills = (F.col("n") >= 2) & (width > F.col("n")) & (
-        width <= QueryLimits().gap_fill_minutes
+        width <= limit
     )
     panel = latest.agg(
         *merge_aggs(),

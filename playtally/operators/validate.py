@@ -69,7 +69,7 @@ def scan_shape(batches: DataFrame) -> DataFrame:
 
 
 def parse_whole(body: str) -> str:
-    """The document as VARIANT; NULL unless the whole text is one JSON value.
+    """The document as VARIANT; NULL unless the whole text is one JSON value in UTF-8.
 
     The parser stops after the first complete value, so text behind it would
     go unnoticed. Parsed as a list that ends with a hash of the body, a body
@@ -79,7 +79,8 @@ def parse_whole(body: str) -> str:
     listed = f"try_parse_json(concat('[', {plain}, ',', h, ']'))"
     sealed = "coalesce(try_variant_get(l, '$[1]', 'bigint') = h, false)"
     first = f"IF({sealed}, try_variant_get(l, '$[0]', 'variant'), NULL)"
-    return let("h", f"xxhash64({body})", let("l", listed, first))
+    whole = let("h", f"xxhash64({body})", let("l", listed, first))
+    return f"IF(is_valid_utf8({body}), {whole}, NULL)"
 
 
 def from_list_or_envelope(doc: str, as_type: str) -> str:
@@ -150,7 +151,7 @@ def _fault(limits: IngestLimits) -> str:
         )
 
     case("m IS NULL", "not_an_object", "'is not an object'")
-    untyped = ("missing_event_type", "'needs a non-empty string as event_type'")
+    untyped = ("missing_event_type", "'has no event_type, or an empty one'")
     if limits.require_event_type:
         case("m.event_type IS NULL", *untyped)
     name = text("m.event_type")
@@ -257,7 +258,7 @@ def _decision(limits: IngestLimits) -> str:
         _verdict(
             INVALID_SCHEMA,
             "f.reason",
-            "concat('event at index ', bad - 1, ' ', f.detail)",
+            "concat('element ', bad - 1, ' ', f.detail)",
             first_idx="bad - 1",
             n_events="size(typed)",
         ),
@@ -377,7 +378,7 @@ def accepted_events(judged: DataFrame) -> DataFrame:
     """
     rows = judged.select(
         "batch_id", "ingest_time_ms", F.posexplode_outer("events").alias("idx", "e")
-    ).where("idx IS NOT NULL")
+    ).where(f"idx IS NOT NULL AND e.event_type IN ({_names()})")
     return rows.selectExpr(
         "batch_id",
         "ingest_time_ms",
@@ -395,6 +396,11 @@ def accepted_events(judged: DataFrame) -> DataFrame:
     )
 
 
+def untyped_events() -> str:
+    """Number of elements of an accepted batch that are no events."""
+    return f"size(filter(events, e -> NOT coalesce(e.event_type IN ({_names()}), false)))"
+
+
 def within_freshness(events: DataFrame, limits: IngestLimits = IngestLimits()) -> DataFrame:
     """Keep events whose timestamp is neither too old nor in the future.
 

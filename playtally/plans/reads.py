@@ -100,11 +100,11 @@ class PlaybackMetrics:
         return timeseries.rank_segments(self._segments(dimension), metric)
 
     def kpi_panel(self, window: str = "15m") -> DataFrame:
-        return timeseries.kpi_panel(self._minutes(), timeseries.PRESET_WINDOWS[window])
+        return timeseries.kpi_panel(self._minutes(), timeseries.PRESET_WINDOWS[window], self.limits.gap_fill_minutes)
 
     def kpi_panels(self) -> DataFrame:
         """The panel of every preset window."""
-        return timeseries.kpi_panels(self._minutes(), timeseries.PRESET_WINDOWS)
+        return timeseries.kpi_panels(self._minutes(), timeseries.PRESET_WINDOWS, self.limits.gap_fill_minutes)
 
     def status(self) -> DataFrame:
         if self._sessions is None:

@@ -246,7 +246,7 @@ def minute_range(spark, sf_dir):
 @query
 def fill_gaps(spark, sf_dir):
     points = timeseries.recent(_minutes(spark, sf_dir), FILL_BUCKETS)
-    return timeseries.minute_metrics(timeseries.fill_gaps(points))
+    return timeseries.minute_metrics(timeseries.fill_gaps(points, limit=QueryLimits().gap_fill_minutes))
 
 
 @query
@@ -281,7 +281,19 @@ def chart_all(spark, sf_dir):
 
 @query
 def active_sessions(spark, sf_dir):
-    return gauge.active_sessions(playback_events(spark, sf_dir))
+    return gauge.active_sessions(playback_events(spark, sf_dir)).drop("last")
+
+
+@query
+def active_sessions_arrival(spark, sf_dir):
+    # Batches of fifty share a receipt time, so batch and position decide.
+    events = playback_events(spark, sf_dir).selectExpr(
+        "*",
+        "timestamp_ms - pmod(timestamp_ms, 86400000L) AS ingest_time_ms",
+        "CAST(1000000 + event_id % 1000 AS STRING) AS batch_id",
+        "CAST(event_id div 1000 AS INT) AS idx",
+    )
+    return gauge.active_sessions(events, gauge.ARRIVAL).drop("last")
 
 
 @query
@@ -449,17 +461,33 @@ def _damaged(documents: DataFrame) -> DataFrame:
     )
 
 
+def _documents(rows: DataFrame) -> DataFrame:
+    # A unit for each day of the month; labels make one of their own.
+    day = F.regexp_extract("doc_id", r"^minutes-\d+-\d+-(\d+)$", 1)
+    return snapshot.to_documents(rows, label_buckets=1).withColumn("snapshot_id", day)
+
+
+@query
+def snapshot_refused(spark, sf_dir):
+    # One damaged document in January: its day's snapshots are refused in whole.
+    rows = rollups.multi_rollup(playback_events(spark, sf_dir))
+    documents = _documents(rows)
+    damaged = _damaged(documents).where(F.col("doc_id").contains("-01-"))
+    sound = documents.where(~F.col("doc_id").contains("-01-"))
+    return snapshot.document_rows(snapshot.check_documents(damaged.unionByName(sound)))
+
+
 @query
 def snapshot_validate(spark, sf_dir):
     rows = rollups.multi_rollup(playback_events(spark, sf_dir))
-    checked = snapshot.check_documents(_damaged(snapshot.to_documents(rows)))
+    checked = snapshot.check_documents(_damaged(_documents(rows)))
     return checked.select("doc_id", "version", "reason")
 
 
 @query
 def snapshot_load_json(spark, sf_dir):
     rows = rollups.multi_rollup(playback_events(spark, sf_dir))
-    checked = snapshot.check_documents(_damaged(snapshot.to_documents(rows)))
+    checked = snapshot.check_documents(_damaged(_documents(rows)))
     return snapshot.document_rows(checked)
 
 

@@ -79,6 +79,16 @@ def read_spool(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def replayed(numbered: DataFrame, ingest_time_ms: int) -> DataFrame:
+    """Raw batches of the usable files, oldest number first when sorted by ``batch_id``."""
+    number = F.lpad(F.col("spool_index").cast("string"), 20, "0")
+    return numbered.where("usable").select(
+        F.concat_ws("-", number, "file_name").alias("batch_id"),
+        F.lit(ingest_time_ms).cast("bigint").alias("ingest_time_ms"),
+        "body",
+    )
+
+
 def backfill(spooled: DataFrame) -> DataFrame:
     """Numbered batches of a spool; other names are left out.
 
@@ -100,13 +110,22 @@ def backfill(spooled: DataFrame) -> DataFrame:
 
 
 def retain_newest(spooled: DataFrame, index: str, max_batches: int = 1000) -> DataFrame:
-    """The newest ``max_batches`` of a backlog (at least one).
+    """The newest ``max_batches`` files of a backlog (at least one).
 
-    The top-N runs over index numbers alone; bodies are kept by a semi join on
-    them and never pass through one task together.
+    Files may share a number (3, 03); of those the last name is the newest.
+    The top-N runs over numbers and names alone; bodies are kept by a semi join
+    on them and never pass through one task together.
     """
-    keep = max(max_batches, 1)
-    newest = spooled.select(index).orderBy(F.col(index).desc()).limit(keep)
-    if keep <= 100_000:
-        newest = F.broadcast(newest)
-    return spooled.join(newest, index, "left_semi")
+    keys = [index, "file_name"]
+    newest = spooled.select(*keys).orderBy(*[F.col(c).desc() for c in keys]).limit(max(max_batches, 1))
+    return spooled.join(newest, keys, "left_semi")
+
+
+def backlog_counts(spooled: DataFrame, max_batches: int = 1000) -> DataFrame:
+    """Numbered files of a spool, those that :func:`retain_newest` evicts, and unusable ones."""
+    n = F.count(F.lit(1))
+    return spooled.agg(
+        n.alias("numbered"),
+        F.greatest(n - F.lit(max(max_batches, 1)), F.lit(0)).cast("bigint").alias("evicted"),
+        F.count_if(~F.col("usable")).alias("unusable"),
+    )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from playtally.functions.minutes import day_of
-from playtally.operators import rollups
+from playtally.operators import rollups, snapshot
 from playtally.operators.timeseries import within_minutes
 from playtally.options import DAY_MS
 from playtally.schema import COUNTERS, PARTIALS
@@ -124,7 +124,7 @@ class RollupStore:
 
     def segments(self, dimension: str) -> DataFrame:
         """Merged rows of one label dimension."""
-        rows = self._all().where((F.col("day") == _NO_DAY) & (F.col("grain") == dimension))
+        rows = self._all(f"/day={_NO_DAY}").where((F.col("day") == _NO_DAY) & (F.col("grain") == dimension))
         return rollups.merge(rows, ("name",))
 
     # -- snapshots --------------------------------------------------------
@@ -169,6 +169,24 @@ class RollupStore:
         )
         return snapshot_id + 1
 
+    def restore(self, documents: DataFrame) -> int:
+        """Add snapshot documents (``body``, perhaps ``snapshot_id``) to the history.
+
+        Raises, and leaves the history as it is, if a document is unsound or a
+        sum would exceed the 64-bit range. Returns the new snapshot's id.
+        """
+        checked = snapshot.check_documents(documents)
+        snapshot.require_sound(checked)
+        current, through = self.published()
+        loaded = snapshot.document_rows(checked).select(*PARTIALS.names)
+        # Partials beyond ``through`` stay and are added on read, so the sums
+        # are tried over all there is; writing fails before anything counts.
+        every = self._all().select(*PARTIALS.names).unionByName(loaded)
+        rollups.merge_multi(every).write.format("noop").mode("overwrite").save()
+        base = self._read("snapshots", "snapshot_id", f"/snapshot_id={current}").select(*PARTIALS.names)
+        self.write_snapshot(base.unionByName(loaded), current + 1, through)
+        return current + 1
+
     def vacuum(self) -> int:
         """Delete what the last but one publication already replaced, so that
         listings stay short; readers of the former snapshot are not disturbed.
@@ -184,6 +202,7 @@ class RollupStore:
         for kind, key, gone in (
             ("partials", "epoch_id=", lambda n: n <= through),
             ("snapshots", "snapshot_id=", lambda n: n < kept_snapshot),
+            ("session_gauge", "epoch_id=", lambda n: n < through),
         ):
             if not fs.exists(folder(kind)):
                 continue

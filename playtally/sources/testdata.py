@@ -1,6 +1,6 @@
 """Adapter from the given ``events`` table to playback events and raw batches.
 
-The same integer and string rules are restated in ``oracle.py`` for the
+The same integer and string rules are restated in ``duckdb_oracle.py`` for the
 side-by-side check, so both engines derive identical inputs.
 """
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from playtally.options import DAY_MS
 from playtally.session import configure
 
-# Bitrate steps a player can switch between, in kbps.
-BITRATE_LADDER = (300, 800, 1500, 3000, 5000, 8000)
+# Bitrates of the test data, in kbps.
+BITRATE_LADDER = (400, 900, 1600, 2500, 3600, 4900)
 
 # Given event type -> playback type for an even and for an odd ``k``.
 _TYPE_PAIRS = {
@@ -72,7 +72,7 @@ def adapt(given: DataFrame, faulty: bool = True) -> DataFrame:
             f"CAST({_sample('bitrate_change', f'{ladder}[CAST(k % 6 AS INT)]', faulty)} AS INT)"
             " AS bitrate_kbps",
             f"CAST({_sample('playback_end', 'floor(value * 1000D)', faulty)} AS BIGINT) AS watch_time_ms",
-            "IF(kind = 'drm_error', 'DRM_KEY_ERROR', NULL) AS error_code",
+            "IF(kind = 'drm_error', 'E17', NULL) AS error_code",
         )
     )
 

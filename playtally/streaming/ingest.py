@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from playtally.functions.counters import counter_aggs
 from playtally.operators import gauge, labels, rollups
-from playtally.operators.validate import ACCEPTED, accepted_events, with_verdict
+from playtally.operators.validate import ACCEPTED, accepted_events, untyped_events, with_verdict
 from playtally.options import IngestLimits, RollupOptions
 from playtally.schema import OVERFLOW_LABEL
 from playtally.sources.store import RollupStore, only_missing_path
@@ -34,12 +35,26 @@ class LabelSlots:
     _SCHEMA = "dimension string, name string, epoch_id bigint"
 
     def __init__(self, spark: SparkSession, path: str, options: RollupOptions):
-        if options.max_segments > options.broadcast_segments:
-            raise ValueError("a streaming label cap must be small enough to broadcast")
         self.spark = spark
         self.path = path
         self.options = options
 
+    def _small(self, names: DataFrame) -> DataFrame:
+        """At most ``max_segments`` names: broadcast where that is a bound worth the name."""
+        return F.broadcast(names) if self.options.max_segments <= self.options.broadcast_segments else names
+
+    def seed(self, segments: DataFrame) -> None:
+        """Give slots to restored names (``dimension``, ``name``) before any live one.
+
+        Done once, before the first epoch; later calls change nothing.
+        """
+        if not self.taken(1 << 62).isEmpty():
+            return
+        rank = F.row_number().over(W.partitionBy("dimension").orderBy("name"))
+        named = segments.where((F.col("name") != "") & (F.col("name") != OVERFLOW_LABEL)).distinct()
+        first = named.withColumn("_n", rank).where(F.col("_n") <= self.options.max_segments)
+        first.select("dimension", "name").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/epoch_id=-1")
+
     def taken(self, before_epoch: int) -> DataFrame:
         try:
             table = self.spark.read.schema(self._SCHEMA).parquet(self.path)
@@ -58,7 +73,7 @@ class LabelSlots:
             free = max(self.options.max_segments - used.get(dimension, 0), 0)
             if free == 0:
                 continue
-            old = F.broadcast(taken.where(F.col("dimension") == dimension).select("name"))
+            old = self._small(taken.where(F.col("dimension") == dimension).select("name"))
             new = (
                 labels.first_seen(events, dimension, labels.arrival_key())
                 .join(old, "name", "left_anti")
@@ -75,7 +90,7 @@ class LabelSlots:
             fresh.unpersist()
         slots = self.taken(epoch_id + 1)
         for dimension in rollups.DIMENSIONS:
-            known = F.broadcast(
+            known = self._small(
                 slots.where(F.col("dimension") == dimension).select(F.col("name").alias("_known"))
             )
             label = F.col(dimension)
@@ -129,11 +144,8 @@ class SessionGauge:
         The level enters as that many starts ahead of everything else.
         """
         level = self.current(epoch_id)
-        ordered = events.withColumn("_arrival", labels.arrival_key())
-        runs = gauge.session_runs(ordered, ("timestamp_ms", "_arrival"))
-        ahead = self.spark.createDataFrame(
-            [(0, -1, -1, level, level, 0)], runs.schema
-        )
+        runs = gauge.session_runs(events, ("timestamp_ms", *gauge.ARRIVAL))
+        ahead = self.spark.createDataFrame([(-1, 0, 0, level, level, 0)], runs.schema)
         value = gauge.current_sessions(gauge.gauge_of_runs(runs.unionByName(ahead)))
         value.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/epoch_id={epoch_id}")
 
@@ -148,6 +160,7 @@ def observed(judged: DataFrame) -> DataFrame:
         F.count_if(~ok).alias("rejected_batches"),
         F.coalesce(F.sum(F.when(ok, F.col("n_events"))), F.lit(0)).alias("events"),
         F.count_if(F.col("status") == "invalid_json").alias("unparseable_batches"),
+        F.coalesce(F.sum(F.when(ok, F.expr(untyped_events()))), F.lit(0)).alias("parse_failures"),
     )
 
 
@@ -158,19 +171,26 @@ def start_ingest(
     limits: IngestLimits = IngestLimits(),
     options: RollupOptions = RollupOptions(),
     interval: str | None = None,
-    compact_every: int = 0,
+    compact_every: int = 100,
 ) -> StreamingQuery:
     """Judge, roll up and store a stream of raw batches.
 
     ``interval`` is the trigger period; without one everything available is
-    processed and the query ends. ``compact_every`` epochs the partials are
-    folded into a new published snapshot.
+    processed and the query ends. Every ``compact_every`` epochs the partials
+    are folded into a new published snapshot and what it replaces is deleted;
+    0 leaves that to the caller. Labels of a history that was restored before
+    (:meth:`RollupStore.restore`) keep their slots ahead of live ones.
     """
     spark = batches.sparkSession
     store = RollupStore(spark, root)
     slots = LabelSlots(spark, f"{root}/label_slots", options)
     sessions = SessionGauge(spark, f"{root}/session_gauge")
 
+    stored = [
+        store.segments(d).select(F.lit(d).alias("dimension"), "name") for d in rollups.DIMENSIONS
+    ]
+    slots.seed(stored[0].unionByName(stored[1]))
+
     def handle(judged: DataFrame, epoch_id: int) -> None:
         events = accepted_events(judged).persist()
         try:
@@ -180,6 +200,7 @@ def start_ingest(
             events.unpersist()
         if compact_every and (epoch_id + 1) % compact_every == 0:
             store.compact(epoch_id)
+            store.vacuum()
 
     writer = (
         observed(with_verdict(batches, limits))

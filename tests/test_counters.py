@@ -12,32 +12,34 @@ from tests.helpers import A, B, counters, events, one, rows
 def test_mixed_fold(spark):
     frame = events(
         spark,
+        {"event_type": "resume"},
         {},
-        {"event_type": "startup_complete", "startup_time_ms": 1000},
-        {"event_type": "buffer_start"},
-        {"event_type": "buffer_end", "buffer_duration_ms": 500},
+        {},
+        {"event_type": "startup_complete", "startup_time_ms": 300},
+        {"event_type": "startup_complete", "startup_time_ms": 500},
         {"event_type": "buffer_start"},
-        {"event_type": "bitrate_change", "bitrate_kbps": 3000},
-        {"event_type": "bitrate_change", "bitrate_kbps": 5000},
+        {"event_type": "buffer_end", "buffer_duration_ms": 40},
+        {"event_type": "buffer_end", "buffer_duration_ms": 60},
+        {"event_type": "bitrate_change", "bitrate_kbps": 700},
+        {"event_type": "drm_error"},
         {"event_type": "drm_error"},
-        {"event_type": "playback_end", "watch_time_ms": 600_000},
-        {"event_type": "pause"},
+        {"event_type": "playback_end", "watch_time_ms": 90_000},
     )
     row = one(as_metrics(rollups.totals_direct(frame)))
     assert row == {
-        "total_events": 10,
-        "total_views": 1,
-        "startup_samples": 1,
-        "startup_avg_ms": 1000.0,
-        "buffer_count": 2,
-        "buffer_samples": 1,
-        "buffer_avg_ms": 500.0,
-        "buffer_ratio_per_view": 2.0,
-        "error_count": 1,
-        "watch_time_ms": 600_000,
-        "watch_time_min": 10.0,
-        "bitrate_samples": 2,
-        "bitrate_avg_kbps": 4000.0,
+        "total_events": 12,
+        "total_views": 2,
+        "startup_samples": 2,
+        "startup_avg_ms": 400.0,
+        "buffer_count": 1,
+        "buffer_samples": 2,
+        "buffer_avg_ms": 50.0,
+        "buffer_ratio_per_view": 0.5,
+        "error_count": 2,
+        "watch_time_ms": 90_000,
+        "watch_time_min": 1.5,
+        "bitrate_samples": 1,
+        "bitrate_avg_kbps": 700.0,
     }
 
 

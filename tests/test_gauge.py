@@ -72,14 +72,12 @@ def test_hot_minute_is_split_over_tasks(spark):
 def test_runs_continue_over_arrow_batches():
     minutes = np.array([0, 0, 60, 60, 60, 120], dtype=np.int64)
     steps = np.array([1, -1, -1, -1, 1, 1], dtype=np.int64)
-    order = np.arange(6, dtype=np.int64)
 
     def fold(cuts):
         parts = zip([0, *cuts], [*cuts, 6])
         batches = [
             pa.RecordBatch.from_arrays(
-                [pa.array(a[i:j]) for a in (minutes, order, order, steps)],
-                names=["minute_ms", "major", "minor", "step"],
+                [pa.array(a[i:j]) for a in (minutes, steps)], names=["minute_ms", "step"]
             )
             for i, j in parts
         ]
@@ -91,5 +89,38 @@ def test_runs_continue_over_arrow_batches():
         (60, -1, -2, 3),
         (120, 1, 1, 1),
     ]
+    assert [r["seq"] for r in want] == [0, 1, 2]
     for cuts in ([1], [2], [3], [1, 2, 3, 4, 5], [3, 3, 4]):
         assert fold(cuts) == want
+
+
+def arrivals(spark, *steps):
+    """(kind, minute offset, receipt time, batch, position) as events."""
+    rows_ = [(k, A + 60_000 * m, r, b, i) for k, m, r, b, i in steps]
+    return spark.createDataFrame(
+        rows_, "event_type string, timestamp_ms bigint, ingest_time_ms bigint, batch_id string, idx int"
+    )
+
+
+def test_arrival_order_is_not_event_time(spark):
+    # The end arrives first and takes nothing away.
+    late = arrivals(spark, ("video_start", 0, 2, "a", 0), ("playback_end", 1, 1, "a", 0))
+    by_arrival = gauge.current_sessions(gauge.active_sessions(late, gauge.ARRIVAL))
+    assert one(by_arrival) == {"active_sessions": 1}
+    by_time = gauge.current_sessions(gauge.active_sessions(late, ("timestamp_ms", *gauge.ARRIVAL)))
+    assert one(by_time) == {"active_sessions": 0}
+
+
+def test_ties_do_not_depend_on_the_order_of_rows(spark):
+    # Two batches of one millisecond, the same position: the batch decides.
+    steps = [("video_start", 0, 5, "b", 0), ("playback_end", 0, 5, "a", 0), ("video_start", 1, 5, "b", 1)]
+    for turned in (steps, steps[::-1], steps[1:] + steps[:1]):
+        got = gauge.active_sessions(arrivals(spark, *turned), gauge.ARRIVAL)
+        assert {r["minute_ms"]: r["active_sessions"] for r in rows(got)} == {A: 1, A + 60_000: 2}
+
+
+def test_a_minute_that_comes_up_again_counts_at_its_last_step(spark):
+    steps = [("video_start", 0, 1, "a", 0), ("video_start", 1, 2, "a", 0), ("playback_end", 0, 3, "a", 0)]
+    got = gauge.active_sessions(arrivals(spark, *steps), gauge.ARRIVAL)
+    assert {r["minute_ms"]: r["active_sessions"] for r in rows(got)} == {A: 1, A + 60_000: 2}
+    assert one(gauge.current_sessions(got)) == {"active_sessions": 1}

@@ -56,6 +56,7 @@ def test_arrival_key_orders_by_receipt_then_position(spark):
         "*",
         f"CASE player WHEN 'late' THEN {A + 1}L ELSE {A}L END AS ingest_time_ms",
         "CASE player WHEN 'second' THEN 10001 ELSE 0 END AS idx",
+        "'b' AS batch_id",
     )
     for n, kept in ((1, {"first"}), (2, {"first", "second"})):
         got = labels.tracked_labels(frame, "player", labels.arrival_key(), RollupOptions(max_segments=n))
@@ -69,3 +70,20 @@ def test_restored_labels_come_first_and_are_added(spark):
     live = events(spark, {"player": "new1"}, {"player": "old1"}, {"player": "new2"})
     assert capped(live, 3, restored=restored) == {"old1": 2, "old2": 1, "new1": 1, "__other__": 2}
     assert capped(live, 1, restored=restored) == {"old1": 2, "__other__": 4}
+
+
+def test_positions_beyond_any_batch_stay_apart(spark):
+    frame = events(spark, *[{"player": f"p{i:02d}"} for i in range(9)]).selectExpr(
+        "*", f"{A}L AS ingest_time_ms", "'b' AS batch_id", "CAST(40000 - event_id AS INT) AS idx"
+    )
+    options = RollupOptions(max_segments=1)
+    got = views(labels.capped_rollup(frame, "player", labels.arrival_key(), options))
+    assert got == {"p08": 1, "__other__": 8}
+
+
+def test_batches_of_one_millisecond_are_told_apart(spark):
+    frame = events(spark, {"player": "z"}, {"player": "a"}).selectExpr(
+        "*", f"{A}L AS ingest_time_ms", "IF(player = 'z', 'b1', 'b2') AS batch_id", "0 AS idx"
+    )
+    got = labels.tracked_labels(frame, "player", labels.arrival_key(), RollupOptions(max_segments=1))
+    assert [r["name"] for r in rows(got)] == ["z"]

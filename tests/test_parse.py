@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 from playtally.operators.parse import known_events, parse_batches, parse_counts, parsed_events
-from playtally.operators.rollups import totals_direct
+from playtally.operators.rollups import by_minute, totals_direct
+from playtally.operators.validate import accepted_events, untyped_events, verdicts, with_verdict
+from playtally.options import IngestLimits
 from tests.helpers import A, batch, event, events, one, rows
 
 
@@ -52,3 +54,26 @@ def test_bodies_without_a_list_give_nothing(spark):
 
 def test_known_events(spark):
     assert known_events(events(spark, {}, {"event_type": "other"})).count() == 1
+
+
+def test_times_without_a_minute_label_are_failures_not_errors(spark):
+    stamps = (2**63 - 1, -(2**63), 4 * 10**14, -1, A)
+    frame = parsed(spark, *[event(timestamp=t) for t in stamps])
+    assert one(parse_counts(frame)) == {"n_elements": 5, "n_events": 1, "parse_failures": 4}
+    assert [r["minute_ms"] for r in rows(by_minute(parsed_events(frame)))] == [A]
+
+
+def test_untyped_elements_of_accepted_batches_are_no_events(spark):
+    limits = IngestLimits(require_event_type=False)
+    judged = with_verdict(batch(spark, [{"player": "p", "timestamp": A}, event(event_type="seek", player="q")]), limits)
+    kept = accepted_events(judged)
+    assert [(r["event_type"], r["player"]) for r in rows(kept)] == [("seek", "q")]
+    assert one(judged.selectExpr(f"{untyped_events()} AS n")) == {"n": 1}
+
+
+def test_ill_formed_text_is_no_json(spark):
+    body = b'[{"event_type":"seek","player":"\xff"}]'
+    frame = spark.createDataFrame([(body,)], "b binary").selectExpr(
+        "'1' AS batch_id", f"{A}L AS ingest_time_ms", "CAST(b AS STRING) AS body"
+    )
+    assert [r["reason"] for r in rows(verdicts(frame))] == ["not_json"]

@@ -46,7 +46,7 @@ def test_round_trip(spark):
             {"event_type": "startup_complete", "startup_time_ms": 2000},
         )
     )
-    docs = snapshot.to_documents(made)
+    docs = snapshot.to_documents(made, label_buckets=1)
     checked = snapshot.check_documents(docs)
     assert {r["reason"] for r in rows(checked)} == {None}
     assert sorted(r["doc_id"] for r in rows(docs)) == [
@@ -69,8 +69,8 @@ def test_documents_that_are_refused(spark):
     cases = {
         "not valid JSON": "{",
         "not an object": "[]",
-        "no integer version": [{}, document(version="2"), document(version=2.0)],
-        "unsupported snapshot version": [document(version=0), document(version=3)],
+        "version is no integer": [{}, document(version="2"), document(version=2.0)],
+        "is not supported": [document(version=0), document(version=3)],
         "minutes is not a list": document(minutes={}),
         "players is not a list": document(players=5),
         "minutes holds an entry that is not an object": [
@@ -130,7 +130,7 @@ def test_documents_that_are_sound(spark):
 
 def test_all_or_nothing(spark):
     checked = check(spark, document(minutes=[minute()]), document(version=9))
-    with pytest.raises(ValueError, match="unsupported snapshot version 9"):
+    with pytest.raises(ValueError, match="version 9 is not supported"):
         snapshot.require_sound(checked)
     snapshot.require_sound(check(spark, document()))
     half = document(minutes=[minute(), minute(d=40)])
@@ -170,3 +170,12 @@ def test_restore_twice_is_double(spark):
     rows_ = rollups.multi_rollup(events(spark, {"player": "p"}, {"event_type": "drm_error"}))
     twice = snapshot.restore(rows_, rows_)
     assert counters(twice) == [tuple(2 * v for v in c) for c in counters(rows_)]
+
+
+def test_one_unsound_document_refuses_its_snapshot(spark):
+    good, bad = document(minutes=[minute()]), document(version=9)
+    assert snapshot.document_rows(check(spark, good, bad)).count() == 0
+    assert snapshot.document_rows(check(spark, good, good)).count() == 2
+    units = [("s1", good), ("s1", bad), ("s2", good), (None, good)]
+    named = spark.createDataFrame([(u, json.dumps(d)) for u, d in units], "snapshot_id string, body string")
+    assert snapshot.document_rows(snapshot.check_documents(named)).count() == 2

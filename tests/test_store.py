@@ -129,8 +129,19 @@ def test_spool_is_ordered_by_number(spark, tmp_path):
 
 
 def test_newest_batches_stay(spark):
-    frame = spark.range(30).selectExpr("id AS spool_index", "concat('b', id) AS body")
+    frame = spark.range(30).selectExpr("id AS spool_index", "concat('f', id) AS file_name", "'' AS body")
     kept = lambda n: sorted(r["spool_index"] for r in rows(raw.retain_newest(frame, "spool_index", n)))
     assert kept(3) == [27, 28, 29]
     assert kept(0) == [29]
     assert kept(1000) == list(range(30))
+
+
+def test_files_that_share_a_number_are_counted_one_by_one(spark):
+    names = [f"batch-{n}.json" for n in ("3", "03", "003", "2")]
+    spool = spark.createDataFrame([(n, "[1]" if n != "batch-2.json" else "[") for n in names], "file_name string, body string")
+    numbered = raw.backfill(spool)
+    kept = rows(raw.retain_newest(numbered, "spool_index", 1))
+    assert [r["file_name"] for r in kept] == ["batch-3.json"]
+    assert one(raw.backlog_counts(numbered, 1)) == {"numbered": 4, "evicted": 3, "unusable": 1}
+    replay = [r["batch_id"][20:] for r in rows(raw.replayed(numbered, A).orderBy("batch_id"))]
+    assert replay == ["-batch-003.json", "-batch-03.json", "-batch-3.json"]

@@ -3,9 +3,10 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from playtally.operators import gauge, labels, rollups
+from playtally.operators import gauge, labels, rollups, snapshot
 from playtally.operators.validate import accepted_events, with_verdict
 from playtally.options import RollupOptions
 from playtally.plans.reads import PlaybackMetrics
@@ -88,8 +89,8 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
         assert keyed(store.segments(dimension), "name") == keyed(want, "name")
     assert store.published()[0] >= 0
 
-    ordered = flat.withColumn("seq", labels.arrival_key())
-    want = one(gauge.current_sessions(gauge.active_sessions(ordered, ("timestamp_ms", "seq"))))
+    in_time = gauge.active_sessions(flat, ("timestamp_ms", *gauge.ARRIVAL))
+    want = one(gauge.current_sessions(in_time))
     level = SessionGauge(spark, f"{root}/session_gauge").current()
     assert level == want["active_sessions"]
     status = one(PlaybackMetrics.from_store(store, level).status())
@@ -167,3 +168,33 @@ def test_kafka_columns(spark):
         F.lit("[]").cast("binary").alias("value"),
     )
     assert one(raw.kafka_batches(frame)) == {"batch_id": "t-3-9", "ingest_time_ms": A, "body": "[]"}
+
+
+def test_restored_labels_keep_their_slots_in_the_stream(spark, tmp_path):
+    source, root, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    store = RollupStore(spark, root)
+    old = rollups.multi_rollup(events(spark, {"player": "old1"}, {"player": "old2"}))
+    store.restore(snapshot.to_documents(old, label_buckets=1))
+    spool(spark, source, [json.dumps([event(player=p) for p in ("n1", "n2", "old1")])])
+    query = start_ingest(
+        raw.stream_batches(spark, source), root, check, options=RollupOptions(max_segments=2)
+    )
+    query.awaitTermination()
+    assert query.exception() is None
+    got = {r["name"]: r["total_events"] for r in rows(store.segments("player"))}
+    assert got == {"old1": 2, "old2": 1, "__other__": 2}
+
+
+def test_a_refused_restore_leaves_the_history(spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path))
+    documents = snapshot.to_documents(rollups.multi_rollup(events(spark, {"player": "p"})), label_buckets=1)
+    store.restore(documents)
+    damaged = documents.withColumn("body", F.replace("body", F.lit('"h":'), F.lit('"x":')))
+    with pytest.raises(ValueError, match="refused"):
+        store.restore(documents.unionByName(damaged))
+    huge = documents.withColumn("body", F.regexp_replace("body", r'"total_views":\d+', f'"total_views":{2**63 - 1}'))
+    with pytest.raises(Exception, match="OVERFLOW"):
+        store.restore(huge)
+    assert {r["total_events"] for r in rows(store.segments("player"))} == {1}
+    store.restore(documents)
+    assert {r["total_events"] for r in rows(store.segments("player"))} == {2}

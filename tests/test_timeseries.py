@@ -107,11 +107,12 @@ def test_fill_gaps(spark):
 @pytest.mark.parametrize("offsets", [(), (2,), (0, 1, 2), (0, 2000), (0, 5000)])
 def test_nothing_to_fill_or_too_wide(spark, offsets):
     minutes = buckets(spark, *offsets) if offsets else buckets(spark, 0).limit(0)
-    assert at(timeseries.fill_gaps(minutes).orderBy("minute_ms")) == list(offsets)
+    assert at(timeseries.fill_gaps(minutes, limit=2000).orderBy("minute_ms")) == list(offsets)
 
 
 def test_fill_up_to_the_limit(spark):
-    assert timeseries.fill_gaps(buckets(spark, 0, 1999)).count() == 2000
+    assert timeseries.fill_gaps(buckets(spark, 0, 1999), limit=2000).count() == 2000
+    assert timeseries.fill_gaps(buckets(spark, 0, 2999)).count() == 3000
 
 
 def test_window_mean_is_weighted_by_samples(spark):

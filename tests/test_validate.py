@@ -181,7 +181,7 @@ def test_first_fault_by_index_then_by_check(spark):
         [event(), event(player="x" * 200, startup_time_ms=-1), event(event_type="bogus")],
     )
     assert (row["first_idx"], row["reason"]) == (1, "player_label_too_long")
-    assert "index 1" in row["message"]
+    assert "element 1" in row["message"]
     row = judge(spark, [event(event_type="bogus", timestamp="x", player="x" * 200)])
     assert row["reason"] == "unknown_event_type"
 
