@@ -469,12 +469,14 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 @query
 def snapshot_refused(spark, sf_dir):
-    # One damaged document in January: its day's snapshots are refused in whole.
+    # Days sixteen apart make a snapshot. Only documents of the first sixteen
+    # days are damaged; those sixteen days later are refused along with them.
     rows = rollups.multi_rollup(playback_events(spark, sf_dir))
-    documents = _documents(rows)
-    damaged = _damaged(documents).where(F.col("doc_id").contains("-01-"))
-    sound = documents.where(~F.col("doc_id").contains("-01-"))
-    return snapshot.document_rows(snapshot.check_documents(damaged.unionByName(sound)))
+    day = F.coalesce(F.regexp_extract("doc_id", r"^minutes-\d+-\d+-(\d+)$", 1).try_cast("int"), F.lit(0))
+    documents = snapshot.to_documents(rows, label_buckets=1).withColumn("snapshot_id", day % 16)
+    early = day <= 16
+    mixed = _damaged(documents).where(early).unionByName(documents.where(~early))
+    return snapshot.document_rows(snapshot.check_documents(mixed))
 
 
 @query
