@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +24,18 @@ def work_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if (spark.conf.get("spark.master", None) or "").startswith("local"):
-            root = tempfile.mkdtemp(prefix="spark-playtally-")
+        if re.match(r"local(\[|$)", spark.conf.get("spark.master", None) or ""):
+            root = _local_root()
         else:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_playtally"
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-playtally-")
+
+
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """``frame`` written to the shared folder and read again.
 
