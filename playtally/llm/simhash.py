@@ -227,7 +227,12 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null ids come last. Of rows with that id, the text with the smallest hash
     stays, once.
     """
-    found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    return keep_first(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``first_of_each`` keeps of the groups ``found``."""
+    found = stored(found, "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ref")).alias("first")
     kept = found.groupBy("root").agg(first).select(F.col("first.ref").alias("ref")).distinct()
     rows = referenced(packed(docs, id_col, text_col)).select("ref", "row", "text")
