@@ -9,10 +9,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtally.llm.shared import documents, keyed_texts, packed, schema_with, slices, text_bytes, with_text
+from playtally.llm.shared import documents, keyed_texts, packed, schema_with, slices, stored, text_bytes, with_text
 
 WINDOW = 10
 #: Share of a text's words above which it is removed whole.
@@ -221,14 +222,22 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _shards(docs: DataFrame, items: DataFrame, item_col: str, text_col: str, automaton_words: int):
-    """The items' words, shard by shard."""
-    items = items.select(
+def _texts_of(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return items.select(
         F.col(item_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text")
     ).dropna()
+
+
+def _shard_count(items: DataFrame, item_col: str, text_col: str, automaton_words: int) -> int:
     size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
     # A word takes two bytes at least, with what parts it from the next.
-    shards = max(1, -(-items.agg(size).first()[0] // (2 * automaton_words)))
+    return max(1, -(-_texts_of(items, item_col, text_col).agg(size).first()[0] // (2 * automaton_words)))
+
+
+def _shards(docs: DataFrame, items: DataFrame, item_col: str, text_col: str, automaton_words: int):
+    """The items' words, shard by shard."""
+    shards = _shard_count(items, item_col, text_col, automaton_words)
+    items = _texts_of(items, item_col, text_col)
     for shard in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).sort("item_id", "text").collect()
         yield [(i, words(t.encode())) for i, t in own]
@@ -293,9 +302,20 @@ def _merge(batches):
         )
 
 
-def _cleaned(held, coverage: float):
-    find = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").finditer
+_find_words = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").finditer
+
 
+def _without(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """``text`` without the words of merged ``ranges``, and their number."""
+    spans, parts, last, gone = [m.span() for m in _find_words(text)], [], 0, 0
+    for begin, end in ranges:
+        gone += end - begin
+        parts.append(text[last : spans[begin][0]])
+        last = spans[end - 1][1]
+    return b" ".join([*parts, text[last:]]), gone
+
+
+def _cleaned(held, coverage: float):
     def clean(batches):
         matcher = Matcher(Automaton.of(held.value[1], held.value[0]))
         vocabulary = matcher.auto.vocabulary
@@ -316,12 +336,8 @@ def _cleaned(held, coverage: float):
                     ]
                     if not ranges:
                         break
-                    spans, parts, last = [m.span() for m in find(text)], [], 0
-                    for begin, end in _merged(ranges):
-                        gone += end - begin
-                        parts.append(text[last : spans[begin][0]])
-                        last = spans[end - 1][1]
-                    text = b" ".join([*parts, text[last:]])
+                    text, more = _without(text, _merged(ranges))
+                    gone += more
                 if gone:
                     texts[row], stay[row] = text.decode(), gone <= coverage * total
             kept = pa.array(texts, pa.string())
@@ -333,6 +349,44 @@ def _cleaned(held, coverage: float):
     return clean
 
 
+def _removed(batches):
+    for batch in batches:
+        kept, gone = [], []
+        rows = zip(batch.column("kept").to_pylist(), batch.column("ranges").to_pylist(), strict=True)
+        for text, flat in rows:
+            text, more = _without(text.encode(), list(zip(flat[::2], flat[1::2], strict=True)))
+            kept.append(text.decode())
+            gone.append(more)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key"), pa.array(kept, pa.string()), batch.column("total"), pc.add(batch.column("gone"), pa.array(gone, pa.int64()))],
+            names=_CHANGED,
+        )
+
+
+_CHANGED = ["key", "kept", "total", "gone"]
+
+
+def _changed_texts(texts: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """(key, kept, total, gone) of the ``texts`` (key, kept) that any shard of items hits.
+
+    Every round removes the union of what all shards find in the same text;
+    changed texts go through the next one, until nothing is found.
+    """
+    left, done = texts.withColumn("gone", F.lit(0).cast("bigint")), None
+    while True:
+        found = matches(left.select("key", "kept"), items, id_col="key", text_col="kept", **options)
+        found = found.where(F.size("ranges") > 0).select(F.col("doc_id").alias("key"), F.col("n_words").alias("n"), "ranges")
+        hit = left.join(found, "key")
+        hit = hit.withColumn("total", F.col("total") if done is not None else F.col("n")).select(*_CHANGED, "ranges")
+        hit = stored(hit.mapInArrow(_removed, "key bigint, kept string, total bigint, gone bigint"), "cleaned")
+        if hit.isEmpty():
+            return hit if done is None else done
+        if done is not None:
+            done = done.join(hit.select("key"), "key", "left_anti").unionByName(hit)
+        done = stored(done, "changed") if done is not None else hit
+        left = hit
+
+
 def clean(
     docs: DataFrame,
     items: DataFrame,
@@ -348,16 +402,22 @@ def clean(
 
     A text of whose words more than ``coverage`` are removed is dropped whole.
     Other rows stay as they are, with ``n_chars`` made to fit. Items that take
-    several automata take as many passes, one after the other; coverage is then
-    that of each pass.
+    several automata give what one for all of them would.
     """
-    found = docs
-    for own in _shards(docs, items, item_col, item_text_col, automaton_words):
+    rows = packed(docs, id_col, text_col).select("row", "text")
+    if _shard_count(items, item_col, item_text_col, automaton_words) == 1:
+        (own,) = _shards(docs, items, item_col, item_text_col, automaton_words)
         held = docs.sparkSession.sparkContext.broadcast((window, own))
-        rows = packed(found, id_col, text_col).select("row", "text")
         changed = rows.mapInArrow(_cleaned(held, coverage), schema_with(rows, "text string, kept string"))
-        found = with_text(changed, "kept", docs.columns, text_col)
-    return found
+        return with_text(changed, "kept", docs.columns, text_col)
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    texts = keyed.select("key", F.col("text").alias("kept")).dropna().dropDuplicates(["key"])
+    found = _changed_texts(
+        texts, items, window=window, item_col=item_col, item_text_col=item_text_col, automaton_words=automaton_words
+    )
+    joined = keyed.join(found.withColumnRenamed("kept", "left"), "key", "left")
+    stay = F.col("gone").isNull() | (F.col("gone") <= F.lit(coverage) * F.col("total"))
+    return with_text(joined.where(stay).withColumn("kept", F.coalesce("left", "text")), "kept", docs.columns, text_col)
 
 
 def hit_words(ranges: str = "ranges"):
