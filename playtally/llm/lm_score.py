@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally.llm.decontaminate import _WORD_BYTES
-from playtally.llm.shared import documents, keyed_texts, slices, stored, text_bytes
+from playtally.llm.repeats import referenced
+from playtally.llm.shared import documents, keyed_texts, mix, slices, stored, text_bytes
 from playtally.llm.windows import Sums
 
-#: A word or bigram is in the models if it makes up this share of all words.
-#: Hence there are no more than 1 / share of them, whatever the corpus.
-WORD_SHARE, BIGRAM_SHARE = 2e-5, 1e-6
+#: Share of all words that a word or bigram must make up to be in the models: none, all are in them.
+WORD_SHARE, BIGRAM_SHARE = 0.0, 0.0
 #: Weight of the unigram model, in words.
 PRIOR = 50.0
 SLICE_BYTES = 2_000_000
@@ -151,6 +151,90 @@ def _score(held):
     return score
 
 
+def _bigrams(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the word before each word, 0 at a text's start, and of both together."""
+    before = np.append(np.uint64(0), hashes[:-1])
+    before[np.append(True, doc[1:] != doc[:-1])] = 0
+    return before, mix(mix(before + np.uint64(1)) ^ hashes)
+
+
+def _count_all(batches):
+    """Counts of all bigrams, slice by slice; the aggregation adds them up."""
+    for batch in slices(batches, SLICE_BYTES):
+        hashes, doc = word_hashes(batch.column("text"))
+        if not len(hashes):
+            continue
+        before, pair = _bigrams(hashes, doc)
+        aim = batch.column("target").to_numpy(zero_copy_only=False).astype(float)[doc]
+        found, first, at = np.unique(pair, return_index=True, return_inverse=True)
+        counts = [np.bincount(at, w, len(found)).astype(np.int64) for w in (aim, None)]
+        keys = [x.view(np.int64) for x in (found, before[first], hashes[first])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (*keys, *counts)], names=["pair", "before", "word", "target", "background"]
+        )
+
+
+def _bigrams_of_texts(batches):
+    """(ref, pair, n): the distinct bigrams of each text."""
+    for batch in slices(batches, SLICE_BYTES):
+        hashes, doc = word_hashes(batch.column("text"))
+        if not len(hashes):
+            continue
+        _, pair = _bigrams(hashes, doc)
+        order = np.lexsort((pair, doc))
+        pair, doc = pair[order], doc[order]
+        first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])))
+        many = np.diff(np.append(first, len(pair))).astype(np.int32)
+        ref = batch.column("ref").to_numpy()[doc[first]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ref), pa.array(pair[first].view(np.int64)), pa.array(many)], names=["ref", "pair", "n"]
+        )
+
+
+def _lengths(batches):
+    for batch in slices(batches, SLICE_BYTES):
+        _, doc = word_hashes(batch.column("text"))
+        many = np.bincount(doc, minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("ref"), pa.array(many, pa.int64())], names=["doc_id", "ref", "n_words"]
+        )
+
+
+def _with_all(docs: DataFrame, flagged: DataFrame, prior: float) -> DataFrame:
+    """Scores by models of all words and bigrams, which stay tables: only totals come to the driver."""
+    both = [F.sum(c).alias(c) for c in ("target", "background")]
+    ddl = "pair bigint, before bigint, word bigint, target bigint, background bigint"
+    counted = flagged.mapInArrow(_count_all, ddl).groupBy("pair").agg(
+        F.min("before").alias("before"), F.min("word").alias("word"), *both
+    )
+    counted = stored(counted, "bigrams")
+    single = stored(counted.groupBy("word").agg(*both), "words")
+    total = single.agg(*both, F.count("*").alias("size")).first()
+    sums = [total.target or 0, total.background or 0]
+    scale = [1.0, sums[0] / sums[1] if sums[1] else 1.0]
+    follows = counted.groupBy("before").agg(*both)
+    single, follows = (
+        x.select(key, F.col("target").alias(f"{key}_target"), F.col("background").alias(f"{key}_background"))
+        for x, key in ((single, "word"), (follows, "before"))
+    )
+    losses = []
+    for name, factor, size in zip(("target", "background"), scale, sums, strict=True):
+        one = (F.col(f"word_{name}") * F.lit(factor) + 1.0) / F.lit(size * factor + total["size"] + 1.0)
+        two = F.col(name) * F.lit(factor) + F.lit(float(prior)) * one
+        losses.append((-F.log(two / (F.col(f"before_{name}") * F.lit(factor) + F.lit(float(prior))))).alias(f"loss_{name}"))
+    model = stored(counted.join(single, "word").join(follows, "before").select("pair", *losses), "losses")
+    docs = referenced(docs)
+    # Rows of one ref are alike: together they have the same mean.
+    means = docs.mapInArrow(_bigrams_of_texts, "ref bigint, pair bigint, n int").join(model, "pair").groupBy("ref").agg(
+        *((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in ("loss_target", "loss_background"))
+    )
+    rows = docs.mapInArrow(_lengths, "doc_id bigint, ref bigint, n_words bigint").join(means, "ref", "left")
+    target, background = (F.coalesce(c, F.lit(0.0)) for c in ("loss_target", "loss_background"))
+    return rows.select(
+        "doc_id", "n_words", target.alias("loss_target"), background.alias("loss_background"), (target - background).alias("score")
+    )
+
+
 def cross_entropy_difference(
     docs: DataFrame,
     target: DataFrame,
@@ -169,19 +253,23 @@ def cross_entropy_difference(
     Repeated rows count as often as they occur, repeated target ids once.
     Without target texts the target model is uniform over the vocabulary.
 
-    All words of all texts are counted. What is broadcast has no more than
+    All words and bigrams of all texts are in the models, which are stored
+    tables joined with the distinct bigrams of each text. With shares above 0,
+    rarer entries are left out and the models are broadcast: no more than
     ``1 / word_share`` words and ``1 / bigram_share`` bigrams.
     """
     docs = keyed_texts(docs, id_col, text_col)
     spark = docs.sparkSession
+    aims = target.select(F.col(id_col).alias("doc_id")).dropna().distinct().withColumn("target", F.lit(True))
+    # The same join at every size: target ids are never few by nature.
+    flagged = docs.join(aims.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    if word_share <= 0 and bigram_share <= 0:
+        return _with_all(docs, flagged, prior)
     words = docs.select("text").mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     words = stored(words, "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     kept = words.where(F.col("n") >= F.lit(word_share) * total).select("word").toPandas()
     vocabulary = np.sort(kept["word"].to_numpy(np.int64).view(np.uint64))
-    aims = target.select(F.col(id_col).alias("doc_id")).dropna().distinct().withColumn("target", F.lit(True))
-    # The same join at every size: target ids are never few by nature.
-    flagged = docs.join(aims.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counted = flagged.mapInArrow(
         _count_bigrams(spark.sparkContext.broadcast(vocabulary)), "pair bigint, target bigint, background bigint"
     )
