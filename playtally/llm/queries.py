@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from playtally.llm.decontaminate import op6_decontamination
 from playtally.llm.editprint import op4_fingerprints
+from playtally.llm.hash_tree import op13_shards
 from playtally.llm.language import op10_language
 from playtally.llm.license_scan import ORACLE_SQL as LICENSE_SQL
 from playtally.llm.license_scan import op2_license_scan
@@ -31,6 +32,7 @@ _QUERIES: tuple[Query, ...] = (
     op8_substring_dedup,
     op9_lm_score,
     op10_language,
+    op13_shards,
 )
 
 
