@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from playtally.llm.decontaminate import op6_decontamination
+from playtally.llm.divergence import ORACLE_SQL as DIVERGENCE_SQL
+from playtally.llm.divergence import op11_divergence
 from playtally.llm.editprint import op4_fingerprints
 from playtally.llm.hash_tree import op13_shards
 from playtally.llm.language import op10_language
@@ -32,6 +34,7 @@ _QUERIES: tuple[Query, ...] = (
     op8_substring_dedup,
     op9_lm_score,
     op10_language,
+    op11_divergence,
     op13_shards,
 )
 
@@ -42,4 +45,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Queries that DuckDB can answer as well; the others are tested by brute force."""
-    return {"op2_license_scan": LICENSE_SQL}
+    return {"op2_license_scan": LICENSE_SQL, "op11_divergence": DIVERGENCE_SQL}
