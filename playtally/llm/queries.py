@@ -15,6 +15,8 @@ from playtally.llm.language import op10_language
 from playtally.llm.license_scan import ORACLE_SQL as LICENSE_SQL
 from playtally.llm.license_scan import op2_license_scan
 from playtally.llm.lm_score import op9_lm_score
+from playtally.llm.mask_search import ORACLE_SQL as SEARCH_SQL
+from playtally.llm.mask_search import op12_search
 from playtally.llm.phrase_dedup import op8_substring_dedup
 from playtally.llm.pieces import op3_pieces
 from playtally.llm.simhash import op5_simhash
@@ -35,6 +37,7 @@ _QUERIES: tuple[Query, ...] = (
     op9_lm_score,
     op10_language,
     op11_divergence,
+    op12_search,
     op13_shards,
 )
 
@@ -45,4 +48,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Queries that DuckDB can answer as well; the others are tested by brute force."""
-    return {"op2_license_scan": LICENSE_SQL, "op11_divergence": DIVERGENCE_SQL}
+    return {"op2_license_scan": LICENSE_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_search": SEARCH_SQL}
