@@ -5,9 +5,8 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from playtally.llm import decontaminate, suffix_dedup, toxicity
+from playtally.llm import decontaminate, near_copies, suffix_dedup, toxicity
 from playtally.llm.shared import documents, stored
-from tests.llm.test_simhash import plain_groups, plain_print
 
 
 @pytest.fixture(scope="module")
@@ -35,8 +34,10 @@ def test_toxicity(spark, sf_dir, stages):
 
 def test_near_copies(stages):
     before, after, _ = stages["simhash near-dedup"]
-    groups = plain_groups([plain_print(r.text) for r in before], [r.doc_id for r in before], 4)
-    assert sorted(r.doc_id for r in after) == sorted(set(groups))
+    first: dict[int, int] = {}
+    for row, group in zip(before, near_copies.brute_force([r.text for r in before]), strict=True):
+        first[group] = min(row.doc_id, first.get(group, row.doc_id))
+    assert sorted(r.doc_id for r in after) == sorted(first.values())
     assert {tuple(r) for r in after} <= {tuple(r) for r in before}
 
 
