@@ -14,8 +14,10 @@ from playtally.llm.shared import documents, slices, stored, text_batches, text_b
 
 MIN_DOCS = 30
 TOP_TERMS = 50
-#: Terms times sources of the table that one task holds at a time.
-CELLS = 1 << 20
+#: Terms times sources of a block of the vocabulary, so that a language of few sources spreads too.
+CELLS = 1 << 15
+#: Terms of a block for each source at least, as a block sends a row for each pair of sources.
+TERMS_OF_SOURCE = 8
 #: Distinct (group, term) pairs that a task counts before it hands them on.
 HELD_TERMS = 200_000
 _SLICE_BYTES = 8_000_000
@@ -96,7 +98,8 @@ def groups_of(counts: DataFrame, cells: int = CELLS) -> DataFrame:
     """(lang, source, place, n_group, n_lang, terms, sources, blocks) of every group of ``term_counts``; stored.
 
     ``blocks`` is the number of parts that a language's vocabulary takes, so that a
-    part's terms times the sources are about ``cells``.
+    part's terms times the sources are about ``cells``, or what the pairs of very
+    many sources warrant.
     """
     groups = counts.where("term is null").select("lang", "source")
     own = counts.where("term is not null").groupBy("lang", "source").agg(F.sum("n").alias("n_group"))
@@ -122,7 +125,7 @@ def groups_of(counts: DataFrame, cells: int = CELLS) -> DataFrame:
             F.count("*").over(whole).alias("sources"),
         )
     )
-    blocks = F.expr(f"1 + (terms * sources) div {cells}")
+    blocks = F.expr(f"1 + (terms * sources) div greatest({cells}L, {TERMS_OF_SOURCE} * sources * sources)")
     return stored(found.withColumn("blocks", blocks), "groups")
 
 
