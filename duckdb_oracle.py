@@ -596,6 +596,51 @@ skels AS (
           ORDER BY live, seen, lab LIMIT {R.RESTORE_CAP.max_segments})""",
     )
 
+    cap = R.STORE_CAP.max_segments
+    added = lambda side: (
+        f"SELECT '{side}' AS dimension, name, {_METRICS} FROM (SELECT coalesce(slot, '__other__') AS name, {_MERGE}"
+        f" FROM {side}s LEFT JOIN {side}_slots ON lab = slot GROUP BY 1)"
+    )
+    o["restore_store_capped"] = _with(
+        f"{added('player')} UNION ALL {added('device')}",
+        f"old AS ({_labels('player')})",
+        f"live AS (SELECT session_id AS lab, min(event_id) AS seen, {_FOLD} FROM pe GROUP BY 1)",
+        f"dev AS ({_labels('device')})",
+        f"""first_slots AS (SELECT name AS slot FROM old WHERE name <> '__other__' ORDER BY name LIMIT {cap})""",
+        """later AS (SELECT lab AS slot, row_number() OVER (ORDER BY seen, lab) AS k FROM live
+          WHERE lab NOT IN (SELECT slot FROM first_slots))""",
+        f"""player_slots AS (SELECT slot FROM first_slots UNION ALL
+          SELECT slot FROM later WHERE k <= {cap} - (SELECT count(*) FROM first_slots))""",
+        f"device_slots AS (SELECT name AS slot FROM dev WHERE name <> '__other__' ORDER BY name LIMIT {cap})",
+        f"""players AS (SELECT name AS lab, {_LIST} FROM old
+          UNION ALL SELECT lab, {_LIST} FROM live UNION ALL SELECT lab, {_LIST} FROM live)""",
+        f"""devices AS (SELECT name AS lab, {_LIST} FROM dev
+          UNION ALL SELECT name, {_LIST} FROM dev UNION ALL SELECT name, {_LIST} FROM dev)""",
+    )
+    order = f"CAST(batch_id AS BIGINT) % {R.EPOCHS}, ingest_time_ms, batch_id, idx"
+    folds = lambda side: (
+        f"(SELECT count(*) FROM accepted WHERE {side} NOT IN ('', '__other__') AND {side} NOT IN (SELECT lab FROM"
+        f" (SELECT {side} AS lab, min(({order})) AS seen FROM accepted"
+        f" WHERE {side} NOT IN ('', '__other__') GROUP BY 1 ORDER BY seen, lab LIMIT {R.LEDGER_CAP.max_segments})))"
+    )
+    o["ingest_ledger"] = _raw(
+        f"""SELECT CAST(count(*) AS BIGINT) AS batches,
+          CAST(count(*) FILTER (WHERE status = 'accepted') AS BIGINT) AS accepted_batches,
+          CAST(count(*) FILTER (WHERE status <> 'accepted') AS BIGINT) AS rejected_batches,
+          CAST(count(*) FILTER (WHERE status = 'invalid_json') AS BIGINT) AS unparseable_batches,
+          CAST(coalesce(sum(n_events) FILTER (WHERE status = 'accepted'), 0) AS BIGINT) AS events,
+          CAST(0 AS BIGINT) AS parse_failures, CAST(0 AS BIGINT) AS process_errors,
+          CAST({folds('player')} + {folds('device')} AS BIGINT) AS segment_overflows
+        FROM judged"""
+    )
+    o["ingest_quarantine"] = _raw(
+        f"""SELECT j.batch_id, CAST(NULL AS INTEGER) AS idx, j.reason, j.message, CAST(strlen(b.body) AS INTEGER) AS n_bytes,
+          CAST(j.batch_no % {R.EPOCHS} AS BIGINT) AS epoch_id
+        FROM judged j JOIN bodies b USING (batch_no) WHERE j.status <> 'accepted'""",
+        _TEXTS,
+    )
+    o["store_recent"] = o["live_recent"]
+
     o["doc_overall"] = o["overall"]
     pos = "CAST(row_number() OVER (ORDER BY minute_ms) - 1 AS INTEGER) AS pos"
     doc_rows = f"SELECT {pos}, {_iso('minute_ms')} AS minute, {_MINUTE_METRICS}"

@@ -159,6 +159,28 @@ def capped_rollup(
     return tracked.select("name", *COUNTERS).unionByName(rest)
 
 
+def capped_rows(segments: DataFrame, options: RollupOptions = RollupOptions()) -> DataFrame:
+    """Merged label rows under the cap: the first by name, all others in the shared row.
+
+    Rows that are within the cap come back as they are. The shared row itself
+    takes no place among the first.
+    """
+    reserved = F.col("name") == OVERFLOW_LABEL
+    first = segments.where(~reserved).orderBy("name").limit(options.max_segments)
+    signed = lambda frame, sign: frame.select(
+        *[(F.lit(sign) * F.col(c)).alias(c) for c in COUNTERS], F.lit(sign).alias("_n"), (F.lit(sign) * reserved.cast("int")).alias("_r")
+    )
+    # All rows less the first ones: those folded, and the shared row.
+    rest = (
+        signed(segments, 1)
+        .unionByName(signed(first, -1))
+        .agg(*merge_aggs(), F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))
+        .where("_n > 0 AND _r >= 0")
+        .select(F.lit(OVERFLOW_LABEL).alias("name"), *COUNTERS)
+    )
+    return first.select("name", *COUNTERS).unionByName(rest)
+
+
 def overflow_count(
     events: DataFrame, label: str, arrival: Column | str, options: RollupOptions = RollupOptions()
 ) -> DataFrame:

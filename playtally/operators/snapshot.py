@@ -243,25 +243,12 @@ def check_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def sound_snapshots(checked: DataFrame) -> DataFrame:
-    """Documents of snapshots without an unsound document.
+def judged_rows(checked: DataFrame, *units: Column) -> DataFrame:
+    """Counter rows of every sound document, and one row of ``reason`` alone for an unsound one.
 
-    A snapshot is all documents of one ``snapshot_id``, or all there are where
-    the documents have no such column: it is applied whole or not at all.
-    """
-    unit = "snapshot_id" if "snapshot_id" in checked.columns else None
-    # Not a literal, or the join below would have no key.
-    every = F.coalesce(F.length("body") * 0, F.lit(0))
-    own = checked.withColumn("_unit", F.col(unit) if unit else every)
-    bad = own.where("reason IS NOT NULL").select(F.col("_unit").alias("_bad")).distinct()
-    return own.join(bad, F.col("_unit").eqNullSafe(F.col("_bad")), "left_anti").drop("_unit")
-
-
-def document_rows(checked: DataFrame) -> DataFrame:
-    """Counter rows of all snapshots whose documents are sound, see :func:`sound_snapshots`.
-
-    A counter that came with a later version than the document reads as 0, so
-    a mean over it says "no data" rather than something made up.
+    ``units`` are carried along. A counter that came with a later version than
+    the document reads as 0, so a mean over it says "no data" rather than
+    something made up. A sound document without entries leaves no row.
     """
     # Sound documents hold the right types throughout, so one cast is exact.
     # All entries go into one list: every document is exploded once.
@@ -275,16 +262,40 @@ def document_rows(checked: DataFrame) -> DataFrame:
     ]
     typed = f"try_variant_get(doc, '$', '{_TYPED_DOC}')"
     entries = (
-        sound_snapshots(checked)
-        .selectExpr(f"{typed} AS t")
-        .select(F.explode_outer(F.expr(f"concat({', '.join(lists)})")).alias("x"))
-        .where("x IS NOT NULL")
+        checked.select(*units, "reason", F.expr(typed).alias("t"))
+        .select("*", F.explode_outer(F.expr(f"IF(reason IS NULL, concat({', '.join(lists)}), NULL)")).alias("x"))
+        .drop("t")
+        .where("x IS NOT NULL OR reason IS NOT NULL")
     )
+    kept = [c for c in entries.columns if c != "x"]
     return entries.selectExpr(
-        "x.grain", "x.minute_ms", "x.name", *[f"coalesce(x.m.{c}, 0L) AS {c}" for c in COUNTERS]
+        *kept, "x.grain", "x.minute_ms", "x.name", *[f"coalesce(x.m.{c}, 0L) AS {c}" for c in COUNTERS]
     )
 
 
+def document_rows(checked: DataFrame) -> DataFrame:
+    """Counter rows of all snapshots whose documents are sound, see :func:`judged_rows`.
+
+    A snapshot is all documents of one ``snapshot_id``, or all there are where
+    the documents have no such column: it is applied whole or not at all. Every
+    document is checked once: refusals and rows come out of one exchange, which
+    the search for refused snapshots and the rows themselves both read.
+    """
+    # Not a literal, or the join below would have no key.
+    every = F.coalesce(F.length("body") * 0, F.lit(0))
+    unit = F.col("snapshot_id") if "snapshot_id" in checked.columns else every
+    keys = ["grain", "minute_ms", "name"]
+    rows = judged_rows(checked, unit.alias("_unit")).repartition("_unit", *keys)
+    # All columns are counted, as the exchange would differ without one.
+    counts = [F.count(c).alias(f"_{c}") for c in (*keys, *COUNTERS)]
+    bad = rows.groupBy("_unit").agg(F.max("reason").alias("_reason"), *counts)
+    whole = " + ".join(f"`_{c}`" for c in (*keys, *COUNTERS))
+    bad = bad.where(f"_reason IS NOT NULL AND {whole} >= 0").select(F.col("_unit").alias("_bad"))
+    sound = rows.join(bad, F.col("_unit").eqNullSafe(F.col("_bad")), "left_anti")
+    # Rows with a reason went with their snapshot; naming it here keeps the column.
+    return sound.select(F.coalesce("grain", "reason").alias("grain"), "minute_ms", "name", *COUNTERS)
+
+
 def _minute_ms(e: str) -> str:
     days = f"CAST(unix_date(make_date(CAST({e}.y AS INT), CAST({e}.mo AS INT), CAST({e}.d AS INT))) AS BIGINT)"
     return f"{days} * 86400000 + {e}.h * 3600000 + {e}.mi * 60000"

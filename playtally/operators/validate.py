@@ -19,7 +19,7 @@ from playtally.functions import jsonshape
 from playtally.functions.members import integer, is_integer, is_text, let, text
 from playtally.functions.minutes import LONG_MAX, LONG_MIN
 from playtally.options import IngestLimits
-from playtally.schema import EVENT_TYPES
+from playtally.schema import EVENT_TYPES, QUARANTINE
 
 ACCEPTED = "accepted"
 INVALID_JSON = "invalid_json"
@@ -368,21 +368,42 @@ def verdict_counts(judged: DataFrame) -> DataFrame:
     )
 
 
-def accepted_events(judged: DataFrame) -> DataFrame:
-    """Events of accepted batches, one row each, in arrival columns.
+def judged_elements(judged: DataFrame) -> DataFrame:
+    """Everything a judged batch comes to, in one pass: typed events, and what was refused.
 
-    An event without a timestamp gets the receipt time of its batch. A refused
-    batch has no events and leaves one row without index, which is dropped
-    after the explode: a filter on the status itself would be pushed below the
-    projection and judge every batch twice.
+    ``outcome`` is ``event``, ``element`` (of an accepted batch, of no known
+    type) or ``batch`` (a refused one, in one row without ``idx``). Refused rows
+    have ``reason``, ``message`` and the ``raw`` text; ``n_events`` is in the first row
+    of a batch alone, and ``lost`` counts samples that a typed event cannot hold.
+    An event without a timestamp gets the receipt time of its batch.
     """
     rows = judged.select(
-        "batch_id", "ingest_time_ms", F.posexplode_outer("events").alias("idx", "e")
-    ).where(f"idx IS NOT NULL AND e.event_type IN ({_names()})")
+        "batch_id",
+        "ingest_time_ms",
+        "body",
+        *VERDICT_FIELDS,
+        F.posexplode_outer("events").alias("idx", "e"),
+    )
+    outcome = f"CASE WHEN idx IS NULL THEN 'batch' WHEN e.event_type IN ({_names()}) THEN 'event' ELSE 'element' END"
+    int32 = ("startup_time_ms", "buffer_duration_ms", "bitrate_kbps")
+    lost = " + ".join(f"CAST(e.{m} IS NOT NULL AND try_cast(e.{m} AS INT) IS NULL AS INT)" for m in int32)
     return rows.selectExpr(
         "batch_id",
         "ingest_time_ms",
         "idx",
+        f"{outcome} AS outcome",
+        "status",
+        "IF(coalesce(idx, 0) = 0, n_events, NULL) AS n_events",
+        f"CASE {outcome} WHEN 'batch' THEN reason WHEN 'element' THEN 'unknown_event_type' END AS reason",
+        f"CASE {outcome} WHEN 'batch' THEN message WHEN 'element' THEN concat('element ', idx, ' has no known event type') END AS message",
+        f"CASE {outcome} WHEN 'batch' THEN body WHEN 'element' THEN coalesce(to_json(e), 'null') END AS raw",
+        f"IF(idx IS NULL, 0, {lost}) AS lost",
+        *_event_columns(),
+    )
+
+
+def _event_columns() -> list[str]:
+    return [
         "e.event_type",
         "coalesce(e.session_id, '') AS session_id",
         "coalesce(e.player, '') AS player",
@@ -393,9 +414,53 @@ def accepted_events(judged: DataFrame) -> DataFrame:
         "try_cast(e.bitrate_kbps AS INT) AS bitrate_kbps",
         "e.watch_time_ms",
         "e.error_code",
+    ]
+
+
+_ARRIVAL_FIELDS = ("batch_id", "ingest_time_ms", "idx")
+
+
+def events_of(elements: DataFrame) -> DataFrame:
+    """The typed events of :func:`judged_elements`, in the columns of :func:`accepted_events`."""
+    named = [sql.rsplit(" AS ", 1)[-1].removeprefix("e.") for sql in _event_columns()]
+    return elements.where("outcome = 'event'").select(*_ARRIVAL_FIELDS, *named)
+
+
+def refused(elements: DataFrame) -> DataFrame:
+    """Batches and elements that were refused, with reason and raw text."""
+    return elements.where("outcome <> 'event'").select(*QUARANTINE.names)
+
+
+def ledger_of(elements: DataFrame) -> DataFrame:
+    """Ingest counters of :func:`judged_elements`, one row; folds of labels are counted elsewhere."""
+    first = F.coalesce(F.col("idx"), F.lit(0)) == 0
+    ok = F.col("status") == ACCEPTED
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return elements.agg(
+        F.count_if(first).alias("batches"),
+        F.count_if(first & ok).alias("accepted_batches"),
+        F.count_if(first & ~ok).alias("rejected_batches"),
+        F.count_if(first & (F.col("status") == INVALID_JSON)).alias("unparseable_batches"),
+        F.count_if(F.col("outcome") == "event").alias("events"),
+        F.count_if(F.col("outcome") == "element").alias("parse_failures"),
+        whole("lost").alias("process_errors"),
     )
 
 
+def accepted_events(judged: DataFrame) -> DataFrame:
+    """Events of accepted batches, one row each, in arrival columns.
+
+    An event without a timestamp gets the receipt time of its batch. A refused
+    batch has no events and leaves one row without index, which is dropped
+    after the explode: a filter on the status itself would be pushed below the
+    projection and judge every batch twice.
+    """
+    rows = judged.select(
+        "batch_id", "ingest_time_ms", F.posexplode_outer("events").alias("idx", "e")
+    ).where(f"idx IS NOT NULL AND e.event_type IN ({_names()})")
+    return rows.selectExpr(*_ARRIVAL_FIELDS, *_event_columns())
+
+
 def untyped_events() -> str:
     """Number of elements of an accepted batch that are no events."""
     return f"size(filter(events, e -> NOT coalesce(e.event_type IN ({_names()}), false)))"

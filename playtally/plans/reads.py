@@ -17,7 +17,8 @@ class PlaybackMetrics:
     """Answers from minute buckets and capped label rollups.
 
     ``minutes`` gives the buckets of an optional inclusive range, so that a
-    range read touches only what it asks for.
+    range read touches only what it asks for. ``recent`` gives buckets that hold
+    the latest N, where there is a shorter way to them than through all.
     """
 
     def __init__(
@@ -27,12 +28,14 @@ class PlaybackMetrics:
         sessions: Callable[[], DataFrame] | None = None,
         limits: QueryLimits = QueryLimits(),
         capped: bool = True,
+        recent: Callable[[int], DataFrame] | None = None,
     ):
         self._minutes = minutes
         self._segments = segments
         self._sessions = sessions
         self.limits = limits
         self.capped = capped
+        self._recent = recent or (lambda n: minutes())
 
     @classmethod
     def from_events(
@@ -67,13 +70,23 @@ class PlaybackMetrics:
 
     @classmethod
     def from_store(
-        cls, store: RollupStore, active_sessions: int = 0, limits: QueryLimits = QueryLimits()
+        cls,
+        store: RollupStore,
+        active_sessions: int = 0,
+        limits: QueryLimits = QueryLimits(),
+        options: RollupOptions = RollupOptions(),
     ) -> PlaybackMetrics:
-        """From stored rollups, without touching events."""
+        """From stored rollups, without touching events.
+
+        A store whose rows came by ingest and restore is capped already; one that
+        was written with more labels shows the first ``max_segments`` by name, so
+        that a document of all labels has a bound whatever is stored.
+        """
         current = lambda: store.spark.createDataFrame(
             [(active_sessions,)], "active_sessions bigint"
         )
-        return cls(store.minutes, store.segments, current, limits)
+        segments = lambda dimension: labels.capped_rows(store.segments(dimension), options)
+        return cls(store.minutes, segments, current, limits, recent=store.recent)
 
     def overall(self) -> DataFrame:
         return as_metrics(rollups.overall(self._minutes()), ("minutes_tracked",))
@@ -84,7 +97,7 @@ class PlaybackMetrics:
 
     def live(self, minutes: object = None) -> DataFrame:
         n = timeseries.live_minutes(minutes, self.limits)
-        return timeseries.minute_metrics(timeseries.recent(self._minutes(), n))
+        return timeseries.minute_metrics(timeseries.recent(self._recent(n), n))
 
     def range(self, from_ms: object, to_ms: object) -> DataFrame:
         low, high = timeseries.range_bounds(from_ms, to_ms, self.limits)
@@ -100,11 +113,13 @@ class PlaybackMetrics:
         return timeseries.rank_segments(self._segments(dimension), metric)
 
     def kpi_panel(self, window: str = "15m") -> DataFrame:
-        return timeseries.kpi_panel(self._minutes(), timeseries.PRESET_WINDOWS[window], self.limits.gap_fill_minutes)
+        n = timeseries.PRESET_WINDOWS[window]
+        return timeseries.kpi_panel(self._recent(n), n, self.limits.gap_fill_minutes)
 
     def kpi_panels(self) -> DataFrame:
         """The panel of every preset window."""
-        return timeseries.kpi_panels(self._minutes(), timeseries.PRESET_WINDOWS, self.limits.gap_fill_minutes)
+        latest = self._recent(max(timeseries.PRESET_WINDOWS.values()))
+        return timeseries.kpi_panels(latest, timeseries.PRESET_WINDOWS, self.limits.gap_fill_minutes)
 
     def status(self) -> DataFrame:
         if self._sessions is None:
@@ -118,7 +133,7 @@ class PlaybackMetrics:
 
     def live_document(self, minutes: object = None) -> DataFrame:
         n = timeseries.live_minutes(minutes, self.limits)
-        return documents.live_document(timeseries.recent(self._minutes(), n))
+        return documents.live_document(timeseries.recent(self._recent(n), n))
 
     def range_document(self, from_ms: object, to_ms: object) -> DataFrame:
         low, high = timeseries.range_bounds(from_ms, to_ms, self.limits)

@@ -23,8 +23,11 @@ from playtally.operators import (
 from playtally.options import IngestLimits, QueryLimits, RollupOptions
 from playtally.plans.reads import PlaybackMetrics
 from playtally.schema import COUNTERS, METRICS, MINUTE_METRICS, OVERFLOW_LABEL
+from playtally.session import scratch
 from playtally.sources import raw
+from playtally.sources.store import RollupStore
 from playtally.sources.testdata import playback_events, raw_batches, wide_labels
+from playtally.streaming.ingest import EpochWriter, LabelSlots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +40,9 @@ CLAMP = QueryLimits(max_minutes=100)
 PLAYER_CAP = RollupOptions(max_segments=10)
 DEVICE_CAP = RollupOptions(max_segments=3)
 RESTORE_CAP = RollupOptions(max_segments=8)
+STORE_CAP = RollupOptions(max_segments=8)
+LEDGER_CAP = RollupOptions(max_segments=3)
+EPOCHS = 3
 BACKLOG = 100
 TIGHT = IngestLimits(
     max_body_bytes=60_000, max_structural_tokens=5_000, max_events_per_batch=60
@@ -518,6 +524,63 @@ def restore_capped(spark, sf_dir):
     return as_metrics(capped, ("name",))
 
 
+@query
+def restore_store_capped(spark, sf_dir):
+    """A history restored under a cap, an epoch of live labels, and a restore of them: rows of both dimensions."""
+    events = playback_events(spark, sf_dir)
+    live = wide_labels(events).withColumns(
+        {"ingest_time_ms": F.lit(0).cast("bigint"), "batch_id": F.lit(""), "idx": F.col(ARRIVAL)}
+    )
+    root = scratch(spark, "restored")
+    store = RollupStore(spark, root)
+    store.restore(snapshot.to_documents(rollups.multi_rollup(events)), STORE_CAP)
+    slots = LabelSlots(spark, f"{root}/label_slots", STORE_CAP, store)
+    store.write_epoch(rollups.multi_rollup(slots.assign(live, 0)), 0)
+    store.restore(snapshot.to_documents(rollups.multi_rollup(live)), STORE_CAP)
+    return _both_dimensions(store)
+
+
+def _both_dimensions(store: RollupStore) -> DataFrame:
+    parts = [
+        as_metrics(store.segments(d), ("name",)).withColumn("dimension", F.lit(d)) for d in rollups.DIMENSIONS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _ingested(spark, sf_dir) -> RollupStore:
+    """All batches ingested in epochs, one of them twice, with a compaction between."""
+    root = scratch(spark, "ingested")
+    writer = EpochWriter(spark, root, LEDGER_CAP)
+    batches = raw_batches(spark, sf_dir)
+    for epoch in (0, 1, 1, 2):
+        own = batches.where(F.col("batch_id").cast("bigint") % EPOCHS == epoch)
+        writer.write(validate.with_verdict(own), epoch)
+        if epoch == 0:
+            writer.store.compact(0)
+    return writer.store
+
+
+@query
+def ingest_ledger(spark, sf_dir):
+    return _ingested(spark, sf_dir).ledger()
+
+
+@query
+def ingest_quarantine(spark, sf_dir):
+    """What ingest refused: with the events in the ledger, all that came in."""
+    return _ingested(spark, sf_dir).quarantine().select(
+        "batch_id", "idx", "reason", "message", F.octet_length("raw").alias("n_bytes"), "epoch_id"
+    )
+
+
+@query
+def store_recent(spark, sf_dir):
+    """The latest buckets of a stored history, from the newest days alone."""
+    store = RollupStore(spark, scratch(spark, "recent"))
+    store.write_snapshot(rollups.multi_rollup(playback_events(spark, sf_dir)), 0)
+    return PlaybackMetrics.from_store(store).live(LIVE_BUCKETS)
+
+
 # -- documents ------------------------------------------------------------------------------
 
 

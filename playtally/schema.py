@@ -87,6 +87,35 @@ PARTIALS = T.StructType(
     ]
 )
 
+# Ingest counters of an epoch, or summed over epochs.
+LEDGER = T.StructType(
+    [
+        T.StructField(name, T.LongType(), False)
+        for name in (
+            "batches",
+            "accepted_batches",
+            "rejected_batches",
+            "unparseable_batches",
+            "events",
+            "parse_failures",
+            "process_errors",
+            "segment_overflows",
+        )
+    ]
+)
+
+# What ingest refused: whole batches (no index) or single elements.
+QUARANTINE = T.StructType(
+    [
+        T.StructField("batch_id", T.StringType(), True),
+        T.StructField("ingest_time_ms", T.LongType(), True),
+        T.StructField("idx", T.IntegerType(), True),
+        T.StructField("reason", T.StringType(), True),
+        T.StructField("message", T.StringType(), True),
+        T.StructField("raw", T.StringType(), True),
+    ]
+)
+
 _METRIC_FIELDS = [
     ("total_events", T.LongType()),
     ("total_views", T.LongType()),

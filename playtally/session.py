@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +28,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path that driver and executors share, below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder and any other
+    one a folder in the warehouse.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = (spark.conf.get("spark.master", None) or "").startswith("local")
+        root = _local_scratch() if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_playtally"
+    return f"{root.rstrip('/')}/playtally-{label}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="spark-playtally-")
+
+
 def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
     """A single-JVM session for tests and the benchmark."""
     builder = (

@@ -11,13 +11,20 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from playtally.functions.counters import counter_aggs
 from playtally.operators import gauge, labels, rollups
-from playtally.operators.validate import ACCEPTED, accepted_events, untyped_events, with_verdict
+from playtally.operators.validate import (
+    ACCEPTED,
+    events_of,
+    judged_elements,
+    ledger_of,
+    refused,
+    untyped_events,
+    with_verdict,
+)
 from playtally.options import IngestLimits, RollupOptions
 from playtally.schema import OVERFLOW_LABEL
 from playtally.sources.store import RollupStore, only_missing_path
@@ -34,37 +41,30 @@ class LabelSlots:
 
     _SCHEMA = "dimension string, name string, epoch_id bigint"
 
-    def __init__(self, spark: SparkSession, path: str, options: RollupOptions):
+    def __init__(
+        self, spark: SparkSession, path: str, options: RollupOptions, store: RollupStore | None = None
+    ):
         self.spark = spark
         self.path = path
         self.options = options
-
-    def _small(self, names: DataFrame) -> DataFrame:
-        """At most ``max_segments`` names: broadcast where that is a bound worth the name."""
-        return F.broadcast(names) if self.options.max_segments <= self.options.broadcast_segments else names
-
-    def seed(self, segments: DataFrame) -> None:
-        """Give slots to restored names (``dimension``, ``name``) before any live one.
-
-        Done once, before the first epoch; later calls change nothing.
-        """
-        if not self.taken(1 << 62).isEmpty():
-            return
-        rank = F.row_number().over(W.partitionBy("dimension").orderBy("name"))
-        named = segments.where((F.col("name") != "") & (F.col("name") != OVERFLOW_LABEL)).distinct()
-        first = named.withColumn("_n", rank).where(F.col("_n") <= self.options.max_segments)
-        first.select("dimension", "name").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/epoch_id=-1")
+        self.store = store
 
     def taken(self, before_epoch: int) -> DataFrame:
+        """Slots taken before an epoch, and those of published labels: restored ones have no other place."""
         try:
             table = self.spark.read.schema(self._SCHEMA).parquet(self.path)
         except AnalysisException as error:
             only_missing_path(error)
             table = self.spark.createDataFrame([], self._SCHEMA)
-        return table.where(F.col("epoch_id") < before_epoch).select("dimension", "name")
+        table = table.where(F.col("epoch_id") < before_epoch).select("dimension", "name")
+        return table if self.store is None else table.unionByName(self.store.published_names()).distinct()
 
     def assign(self, events: DataFrame, epoch_id: int) -> DataFrame:
-        """Events of a micro-batch with labels beyond the cap folded."""
+        """Events of a micro-batch with labels beyond the cap folded.
+
+        ``folds`` is the number of labels of the event that were; the reserved
+        name is no fold.
+        """
         taken = self.taken(epoch_id)
         counts = taken.groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).collect()
         used = {r["dimension"]: r["n"] for r in counts}
@@ -73,7 +73,7 @@ class LabelSlots:
             free = max(self.options.max_segments - used.get(dimension, 0), 0)
             if free == 0:
                 continue
-            old = self._small(taken.where(F.col("dimension") == dimension).select("name"))
+            old = taken.where(F.col("dimension") == dimension).select("name")
             new = (
                 labels.first_seen(events, dimension, labels.arrival_key())
                 .join(old, "name", "left_anti")
@@ -89,13 +89,14 @@ class LabelSlots:
                 fresh.write.mode("overwrite").parquet(f"{self.path}/epoch_id={epoch_id}")
             fresh.unpersist()
         slots = self.taken(epoch_id + 1)
+        events = events.withColumn("folds", F.lit(0))
         for dimension in rollups.DIMENSIONS:
-            known = self._small(
-                slots.where(F.col("dimension") == dimension).select(F.col("name").alias("_known"))
-            )
+            known = slots.where(F.col("dimension") == dimension).select(F.col("name").alias("_known"))
             label = F.col(dimension)
+            folded = F.col("_known").isNull() & ~label.isin("", OVERFLOW_LABEL)
             events = (
                 events.join(known, label == F.col("_known"), "left")
+                .withColumn("folds", F.col("folds") + folded.cast("int"))
                 .withColumn(
                     dimension,
                     F.when((label == "") | F.col("_known").isNotNull(), label).otherwise(
@@ -164,6 +165,65 @@ def observed(judged: DataFrame) -> DataFrame:
     )
 
 
+class EpochWriter:
+    """Stores one judged micro-batch: gauge, slots, rollup, ledger and quarantine.
+
+    All of it comes from one pass over the bodies, whose outcome is kept until
+    the epoch is written. Every table replaces its epoch, so an epoch that is
+    run again leaves what one run leaves.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, options: RollupOptions = RollupOptions()):
+        self.store = RollupStore(spark, root)
+        self.slots = LabelSlots(spark, f"{root}/label_slots", options, self.store)
+        self.sessions = SessionGauge(spark, f"{root}/session_gauge")
+
+    def write(self, judged: DataFrame, epoch_id: int) -> None:
+        elements = judged_elements(judged).persist()
+        try:
+            events = events_of(elements)
+            self.sessions.advance(events, epoch_id)
+            assigned = self.slots.assign(events, epoch_id)
+            self.store.write_epoch(rollups.multi_rollup(assigned), epoch_id)
+            folds = assigned.agg(F.coalesce(F.sum("folds"), F.lit(0))).first()[0]
+            counts = ledger_of(elements).first().asDict()
+            self.store.write_ledger({**counts, "segment_overflows": folds}, epoch_id)
+            self.store.write_quarantine(refused(elements), epoch_id)
+        finally:
+            elements.unpersist()
+
+
+class Ingest:
+    """A running ingest. It behaves as its streaming query, and leaves no partial unpublished at a clean end.
+
+    ``stop`` and a return of ``awaitTermination`` after the query ended without
+    an error fold what is left into a published snapshot, once. After an error
+    nothing is folded; the restarted stream goes on from its checkpoint.
+    """
+
+    def __init__(self, query: StreamingQuery, store: RollupStore, publish_at_end: bool):
+        self.query = query
+        self.store = store
+        self._open = publish_at_end
+
+    def __getattr__(self, name: str):
+        return getattr(self.query, name)
+
+    def _finish(self) -> None:
+        if self._open and not self.query.isActive and self.query.exception() is None:
+            self._open = False
+            self.store.compact(self.store.last_epoch())
+
+    def stop(self) -> None:
+        self.query.stop()
+        self._finish()
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:  # noqa: N802
+        ended = self.query.awaitTermination() if timeout is None else self.query.awaitTermination(timeout)
+        self._finish()
+        return ended
+
+
 def start_ingest(
     batches: DataFrame,
     root: str,
@@ -172,43 +232,31 @@ def start_ingest(
     options: RollupOptions = RollupOptions(),
     interval: str | None = None,
     compact_every: int = 100,
-) -> StreamingQuery:
+) -> Ingest:
     """Judge, roll up and store a stream of raw batches.
 
     ``interval`` is the trigger period; without one everything available is
-    processed and the query ends. Every ``compact_every`` epochs the partials
-    are folded into a new published snapshot and what it replaces is deleted;
-    0 leaves that to the caller. Labels of a history that was restored before
-    (:meth:`RollupStore.restore`) keep their slots ahead of live ones.
+    processed and the query ends. Every ``compact_every`` epochs, and at a clean
+    end, the partials are folded into a new published snapshot and what it
+    replaces is deleted; 0 leaves that to the caller. Labels that were restored
+    (:meth:`RollupStore.restore`), before the stream or between two of its epochs,
+    hold their slots.
     """
-    spark = batches.sparkSession
-    store = RollupStore(spark, root)
-    slots = LabelSlots(spark, f"{root}/label_slots", options)
-    sessions = SessionGauge(spark, f"{root}/session_gauge")
-
-    stored = [
-        store.segments(d).select(F.lit(d).alias("dimension"), "name") for d in rollups.DIMENSIONS
-    ]
-    slots.seed(stored[0].unionByName(stored[1]))
+    writer = EpochWriter(batches.sparkSession, root, options)
 
     def handle(judged: DataFrame, epoch_id: int) -> None:
-        events = accepted_events(judged).persist()
-        try:
-            sessions.advance(events, epoch_id)
-            store.write_epoch(rollups.multi_rollup(slots.assign(events, epoch_id)), epoch_id)
-        finally:
-            events.unpersist()
+        writer.write(judged, epoch_id)
         if compact_every and (epoch_id + 1) % compact_every == 0:
-            store.compact(epoch_id)
-            store.vacuum()
+            writer.store.compact(epoch_id)
+            writer.store.vacuum()
 
-    writer = (
+    sink = (
         observed(with_verdict(batches, limits))
         .writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(handle)
     )
-    writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
-    return writer.start()
+    sink = sink.trigger(processingTime=interval) if interval else sink.trigger(availableNow=True)
+    return Ingest(sink.start(), writer.store, compact_every > 0)
 
 
 def minute_windows(events: DataFrame, limits: IngestLimits = IngestLimits()) -> DataFrame:

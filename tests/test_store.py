@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import pytest
 
-from playtally.operators import rollups
+from playtally.operators import rollups, snapshot
+from playtally.options import RollupOptions
 from playtally.plans.reads import PlaybackMetrics
 from playtally.sources import raw
 from playtally.sources.store import RollupStore
@@ -145,3 +146,92 @@ def test_files_that_share_a_number_are_counted_one_by_one(spark):
     assert one(raw.backlog_counts(numbered, 1)) == {"numbered": 4, "evicted": 3, "unusable": 1}
     replay = [r["batch_id"][20:] for r in rows(raw.replayed(numbered, A).orderBy("batch_id"))]
     assert replay == ["-batch-003.json", "-batch-03.json", "-batch-3.json"]
+
+
+def labelled(spark, *names):
+    return snapshot.to_documents(epoch(spark, *[{"player": n, "device": "d"} for n in names]))
+
+
+def players(store):
+    return {r["name"]: r["total_events"] for r in rows(store.segments("player"))}
+
+
+def test_restored_labels_beyond_the_cap_are_folded_and_counted(spark, tmp_path):
+    store, cap = RollupStore(spark, str(tmp_path)), RollupOptions(max_segments=4)
+    store.restore(labelled(spark, *(f"p{i:02d}" for i in range(30)), "p07"), cap)
+    assert players(store) == {"p00": 1, "p01": 1, "p02": 1, "p03": 1, "__other__": 27}
+    assert one(store.ledger())["segment_overflows"] == 26
+    # Tracked labels keep their rows, and the shared row is restored into itself and is no fold.
+    store.restore(labelled(spark, "p02", "p99", "__other__"), cap)
+    assert players(store) == {"p00": 1, "p01": 1, "p02": 2, "p03": 1, "__other__": 29}
+    assert one(store.ledger())["segment_overflows"] == 27
+    assert one(PlaybackMetrics.from_store(store).overall())["total_events"] == 34
+
+
+def test_restore_after_live_epochs_takes_what_is_free(spark, tmp_path):
+    store, cap = RollupStore(spark, str(tmp_path)), RollupOptions(max_segments=3)
+    store.write_epoch(epoch(spark, {"player": "z"}, {"player": "y"}), 0)
+    store.restore(labelled(spark, "b", "a", "y"), cap)
+    assert players(store) == {"z": 1, "y": 2, "a": 1, "__other__": 1}
+    assert store.published()[1] == -1
+    store.compact(0)
+    assert players(store) == {"z": 1, "y": 2, "a": 1, "__other__": 1}
+    assert one(store.ledger())["segment_overflows"] == 1
+
+
+def test_a_store_with_more_labels_shows_the_first(spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path))
+    store.write_epoch(epoch(spark, *[{"player": p} for p in ("a", "b", "c", "c", "__other__")]), 0)
+    read = lambda n: {
+        r["name"]: r["total_events"]
+        for r in rows(PlaybackMetrics.from_store(store, options=RollupOptions(max_segments=n)).by_player())
+    }
+    assert read(1) == {"a": 1, "__other__": 4}
+    assert read(3) == {"a": 1, "b": 1, "c": 2, "__other__": 1}
+    assert read(1000) == read(3)
+    (document,) = rows(PlaybackMetrics.from_store(store, options=RollupOptions(max_segments=1)).players_document())
+    assert '"name":"b"' not in str(document)
+
+
+def test_compaction_writes_touched_days_only(spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path))
+    store.write_epoch(epoch(spark, *[{"timestamp_ms": A + i * DAY, "player": "p"} for i in range(5)]), 0)
+    store.compact(0)
+    store.write_epoch(epoch(spark, {"timestamp_ms": A + DAY}, {"timestamp_ms": A + DAY + 60_000}), 1)
+    before = counters(store.minutes())
+    store.compact(1)
+    days = lambda n: sorted(p.name for p in (tmp_path / f"snapshots/snapshot_id={n}").glob("day=*"))
+    assert len(days(0)) == 6 and days(1) == ["day=2026-07-21"]
+    assert counters(store.minutes()) == before
+    assert counters(store.read_snapshot().where("grain = 'minute'")) == before
+    # An epoch without rows is published all the same and rewrites nothing.
+    store.write_epoch(epoch(spark).limit(0), 2)
+    store.compact(2)
+    assert store.published() == (2, 2) and not (tmp_path / "snapshots/snapshot_id=2").exists()
+    # Of the replaced snapshot the days in use stay.
+    store.compact(3)
+    store.vacuum()
+    assert len(days(0)) == 5 and counters(store.minutes()) == before
+    assert players(store) == {"p": 5}
+
+
+def test_latest_buckets_open_the_newest_days(spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path))
+    store.write_epoch(
+        epoch(spark, *[{"timestamp_ms": A + i * DAY + j * 60_000} for i in range(8) for j in range(4)]), 0
+    )
+    store.compact(0)
+    metrics = PlaybackMetrics.from_store(store)
+    opened = lambda frame: {f.rsplit("day=", 1)[1][:10] for f in frame.inputFiles()}
+    for n, wanted in ((1, 1), (4, 1), (5, 2), (13, 4), (32, 8), (100, 8)):
+        want = sorted(r["minute_ms"] for r in rows(store.minutes()))[-n:]
+        assert [r["minute_ms"] for r in rows(metrics.live(n))] == want
+        assert len(opened(store.recent(n))) == wanted
+    # Later partials: an older day gets a bucket, a newer one comes up.
+    store.write_epoch(epoch(spark, {"timestamp_ms": A + 2 * DAY + 9 * 60_000}, {"timestamp_ms": A + 9 * DAY}), 1)
+    want = sorted(r["minute_ms"] for r in rows(store.minutes()))
+    for n in (1, 2, 6, 21, 22, 40):
+        assert [r["minute_ms"] for r in rows(metrics.live(n))] == want[-n:]
+    assert len(opened(store.recent(2))) == 2
+    assert one(metrics.kpi_panel())["total_events"] == 15
+    assert RollupStore(spark, str(tmp_path / "none")).recent(5).count() == 0

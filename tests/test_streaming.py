@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from playtally.operators import gauge, labels, rollups, snapshot
 from playtally.operators.validate import accepted_events, with_verdict
-from playtally.options import RollupOptions
+from playtally.options import IngestLimits, RollupOptions
 from playtally.plans.reads import PlaybackMetrics
 from playtally.schema import COUNTERS, PLAYBACK_EVENTS
 from playtally.sources import raw
 from playtally.sources.store import RollupStore
 from playtally.streaming.ingest import (
+    EpochWriter,
     LabelSlots,
     SessionGauge,
     drop_resent,
@@ -87,7 +88,13 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     for dimension in rollups.DIMENSIONS:
         want = labels.capped_rollup(flat, dimension, labels.arrival_key(), options)
         assert keyed(store.segments(dimension), "name") == keyed(want, "name")
-    assert store.published()[0] >= 0
+    # Nothing is left unpublished at a clean end.
+    assert store.published() == (store.published()[0], store.last_epoch())
+    assert store._later(store._current()).isEmpty()
+    ledger = one(store.ledger())
+    assert (ledger["batches"], ledger["rejected_batches"], ledger["events"]) == (12, 2, flat.count())
+    folded = sum(one(labels.overflow_count(flat, d, labels.arrival_key(), options))["overflows"] for d in rollups.DIMENSIONS)
+    assert ledger["segment_overflows"] == folded > 0
 
     in_time = gauge.active_sessions(flat, ("timestamp_ms", *gauge.ARRIVAL))
     want = one(gauge.current_sessions(in_time))
@@ -198,3 +205,86 @@ def test_a_refused_restore_leaves_the_history(spark, tmp_path):
     assert {r["total_events"] for r in rows(store.segments("player"))} == {1}
     store.restore(documents)
     assert {r["total_events"] for r in rows(store.segments("player"))} == {2}
+
+
+def test_an_epoch_run_again_leaves_one_ledger_and_quarantine(spark, tmp_path):
+    writer = EpochWriter(spark, str(tmp_path), RollupOptions(max_segments=1))
+    limits = IngestLimits(require_event_type=False, max_bitrate_kbps=2**40)
+    first = batch(
+        spark,
+        [event(player="a"), event(player="b"), {"player": "c", "timestamp": A}, event(player="__other__")],
+        "[",
+        [event(bitrate_kbps=2**35, event_type="bitrate_change")],
+    )
+    for _ in range(2):
+        writer.write(with_verdict(first, limits), 0)
+    writer.write(with_verdict(batch(spark, [event(player="b")])), 1)
+    want = {
+        "batches": 4,
+        "accepted_batches": 3,
+        "rejected_batches": 1,
+        "unparseable_batches": 1,
+        "events": 5,
+        "parse_failures": 1,
+        "process_errors": 1,
+        "segment_overflows": 2,
+    }
+    assert one(writer.store.ledger()) == want
+    refused = rows(writer.store.quarantine().orderBy("batch_id", "idx"))
+    assert [(r["batch_id"], r["idx"], r["reason"], r["epoch_id"]) for r in refused] == [
+        ("0", 2, "unknown_event_type", 0),
+        ("1", None, "not_json", 0),
+    ]
+    assert refused[1]["raw"] == "[" and json.loads(refused[0]["raw"])["player"] == "c"
+    # Published or not, the counters are the same; vacuum drops what is summed up.
+    for epoch in (0, 1, 2):
+        writer.store.compact(epoch)
+        writer.store.vacuum()
+        assert one(writer.store.ledger()) == want
+    assert not list((tmp_path / "ledger").glob("epoch_id=0*"))
+
+
+def test_bodies_are_judged_once_an_epoch(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(body):
+        seen.add(1)
+        return body
+
+    source = batch(spark, *([event(player=f"p{i}")] for i in range(10))).withColumn("body", F.udf(counted)("body").alias("body"))
+    source = source.coalesce(1)
+    EpochWriter(spark, str(tmp_path)).write(with_verdict(source), 0)
+    assert seen.value == 10
+
+
+def test_a_stopped_stream_publishes_its_partials(spark, tmp_path):
+    source, root, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    spool(spark, source, bodies(3))
+    query = start_ingest(raw.stream_batches(spark, source), root, check, interval="0 seconds")
+    query.processAllAvailable()
+    store = RollupStore(spark, root)
+    assert store.published() == (-1, -1)
+    query.stop()
+    assert store.published() == (0, store.last_epoch()) and store.last_epoch() >= 0
+    assert store._later(store._current()).isEmpty()
+    query.stop()
+    assert store.published()[0] == 0
+
+
+def test_a_restore_between_two_runs_of_the_stream(spark, tmp_path):
+    """Restored names take the free slots; live labels that come later are folded."""
+    source, root, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    options = RollupOptions(max_segments=3)
+    store = RollupStore(spark, root)
+    run = lambda: start_ingest(raw.stream_batches(spark, source), root, check, options=options, compact_every=0)
+    spool(spark, source, [json.dumps([event(player="live1"), event(player="live2")])])
+    run().awaitTermination()
+    old = rollups.multi_rollup(events(spark, *[{"player": f"old{i}"} for i in range(30)]))
+    store.restore(snapshot.to_documents(old), options)
+    spool(spark, source, [json.dumps([event(player=p) for p in ("new", "old0", "old1", "live1")])], 1)
+    query = run()
+    query.awaitTermination()
+    assert query.exception() is None
+    got = {r["name"]: r["total_events"] for r in rows(store.segments("player"))}
+    assert got == {"live1": 2, "live2": 1, "old0": 2, "__other__": 31}
+    assert one(store.ledger())["segment_overflows"] == 31
