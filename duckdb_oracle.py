@@ -640,6 +640,26 @@ skels AS (
         _TEXTS,
     )
     o["store_recent"] = o["live_recent"]
+    o["range_requests"] = _minute_sql(
+        f"""SELECT request_id, outcome,
+          CASE WHEN outcome = 'ok' THEN {_iso('lo')} END AS from_minute,
+          CASE WHEN outcome = 'ok' THEN {_iso('hi')} END AS to_minute, buckets, {_METRICS}
+        FROM (SELECT request_id, outcome, lo, hi, CAST(count(minute_ms) AS BIGINT) AS buckets, {_MERGE}
+          FROM asked LEFT JOIN minutes ON outcome = 'ok'
+            AND minute_ms BETWEEN lo // 60000 * 60000 AND hi // 60000 * 60000
+          GROUP BY 1, 2, 3, 4)""",
+        """texts AS (SELECT event_id AS request_id, event_id % 11 AS c,
+          CAST(timestamp_ms - (event_id % 90) * 60000 AS VARCHAR) AS low,
+          CAST(timestamp_ms + (event_id % 1500) * 60000 AS VARCHAR) AS high FROM pe)""",
+        """bounds AS (SELECT request_id,
+          CASE WHEN c IN (3, 5) THEN NULL WHEN c = 7 THEN CAST(high || '0' AS BIGINT)
+               WHEN c = 9 THEN -1 ELSE CAST(low AS BIGINT) END AS lo,
+          CASE WHEN c = 4 THEN NULL WHEN c = 8 THEN 1 ELSE CAST(high AS BIGINT) END AS hi FROM texts)""",
+        """asked AS (SELECT request_id, lo, hi, CASE WHEN lo IS NULL OR hi IS NULL THEN 'missing_bound'
+          WHEN lo < 0 OR lo > 253402300799999 OR hi < 0 OR hi > 253402300799999 THEN 'out_of_domain'
+          WHEN lo > hi THEN 'reversed' WHEN (hi - lo) // 60000 + 1 > 1440 THEN 'too_wide' ELSE 'ok' END AS outcome
+          FROM bounds)""",
+    )
 
     o["doc_overall"] = o["overall"]
     pos = "CAST(row_number() OVER (ORDER BY minute_ms) - 1 AS INTEGER) AS pos"

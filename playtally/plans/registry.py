@@ -249,6 +249,21 @@ def minute_range(spark, sf_dir):
     return PlaybackMetrics.from_events(events).range(low, high)
 
 
+@query
+def range_requests(spark, sf_dir):
+    """A range around every event, some of them asked for wrongly."""
+    events = playback_events(spark, sf_dir)
+    case = "event_id % 11"
+    low = "CAST(timestamp_ms - (event_id % 90) * 60000 AS STRING)"
+    high = "CAST(timestamp_ms + (event_id % 1500) * 60000 AS STRING)"
+    requests = events.selectExpr(
+        "event_id AS request_id",
+        f"CASE {case} WHEN 3 THEN concat('x', {low}) WHEN 5 THEN NULL WHEN 7 THEN concat({high}, '0') WHEN 9 THEN '-1' ELSE {low} END AS from_ms",
+        f"CASE {case} WHEN 4 THEN '99999999999999999999' WHEN 8 THEN '1' ELSE {high} END AS to_ms",
+    )
+    return timeseries.range_requests(rollups.by_minute(events), requests)
+
+
 @query
 def fill_gaps(spark, sf_dir):
     points = timeseries.recent(_minutes(spark, sf_dir), FILL_BUCKETS)

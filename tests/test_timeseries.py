@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from playtally.functions import minutes as M
 from playtally.operators import rollups, timeseries
@@ -196,3 +199,37 @@ def test_labels_do_not_depend_on_the_session_time_zone(spark):
         assert one(frame.select(M.iso_minute(M.F.col("ms")).alias("x")))["x"] == "2023-11-14T22:13"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_many_ranges_at_once(spark):
+    """Every request as a single range read has it, and its reason where that one refuses."""
+    rnd = random.Random(6)
+    made = events(spark, *[{"timestamp_ms": A + rnd.randrange(9000) * 60_000, "player": "p"} for _ in range(300)])
+    limits = QueryLimits(max_minutes=400)
+    asked = []
+    for i in range(60):
+        low = A + rnd.randrange(9000) * 60_000 + rnd.randrange(60_000)
+        asked.append((i, str(low), str(low + rnd.choice([0, 1, 59, 60, 61, 119, 300, 399]) * 60_000)))
+    asked += [(100, "x", "1"), (101, None, "5"), (102, "5", None), (103, "-1", "5"), (104, "9", "3"), (105, "0", "99999999999999999999")]
+    asked += [(106, "0", str(400 * 60_000)), (107, "0", str(400 * 60_000 - 1)), (108, " 5", "9"), (109, "007", "8"), (None, "1", "2")]
+    asked += [(110, "0", "253402300800000"), asked[0]]
+    frame = spark.createDataFrame(asked, "request_id int, from_ms string, to_ms string").withColumn("lo", F.lit("clash"))
+    minutes = rollups.by_minute(made)
+    got = {r["request_id"]: r for r in rows(timeseries.range_requests(minutes, frame, limits))}
+    assert len(got) == len(asked) - 1
+    metrics = PlaybackMetrics.from_events(made, limits=limits)
+    reasons = {"required": "missing_bound", "lie within": "out_of_domain", "after": "reversed", "covers": "too_wide"}
+    for request, low, high in asked:
+        row = got[request]
+        try:
+            want = rows(metrics.range(low, high)) if request is None or request < 8 or request > 99 else None
+        except ValueError as refused:
+            assert row["outcome"] == next(v for k, v in reasons.items() if k in str(refused))
+            assert row["buckets"] == 0 and row["from_minute"] is None
+            continue
+        assert row["outcome"] == "ok"
+        if want is not None:
+            assert (row["buckets"], row["total_events"]) == (len(want), sum(w["total_events"] for w in want))
+            assert not want or (row["from_minute"], row["to_minute"]) == (want[0]["from_minute"], want[0]["to_minute"])
+    assert timeseries.range_requests(minutes, frame.limit(0)).count() == 0
+    assert {r["buckets"] for r in rows(timeseries.range_requests(minutes.limit(0), frame))} == {0}
