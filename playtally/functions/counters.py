@@ -99,3 +99,16 @@ def as_metrics(
 ) -> DataFrame:
     """``keys`` plus the published metrics of every counter row."""
     return counters.select(*keys, *metric_columns(with_ratio))
+
+
+def used(*columns: str) -> list[Column]:
+    """Aggregates that keep ``columns`` in the input of a branch, see :func:`all_used`."""
+    return [F.max(c).alias(f"_used_{c}") for c in columns]
+
+
+def all_used(*columns: str) -> Column:
+    """A test that always holds and needs what :func:`used` made.
+
+    Two branches read one exchange only if neither leaves out a column of it.
+    """
+    return F.hash(*[F.col(f"_used_{c}") for c in columns]) >= F.lit(-(1 << 31))

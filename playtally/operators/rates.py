@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from playtally.functions.counters import error_rate, merge_aggs
+from playtally.functions.counters import all_used, error_rate, merge_aggs, used
 from playtally.functions.minutes import day_start
 from playtally.options import DAY_MS
+from playtally.schema import COUNTERS
 
 
 def counter_rate(
@@ -110,17 +111,19 @@ def latest_rate(minutes: DataFrame) -> DataFrame:
     last_two = minutes.orderBy(F.col("minute_ms").desc()).limit(2)
     span = (F.max("minute_ms") - F.min("minute_ms")).cast("double") / F.lit(1000.0)
     newest = F.max_by("total_events", "minute_ms").cast("double")
-    return last_two.agg(
-        F.when(F.count(F.lit(1)) == 2, newest / span).otherwise(F.lit(0.0)).alias("events_per_sec")
-    )
+    rate = F.when(F.count(F.lit(1)) == 2, newest / span).otherwise(F.lit(0.0)).alias("events_per_sec")
+    return last_two.agg(rate, *used(*COUNTERS)).where(all_used(*COUNTERS)).select("events_per_sec")
 
 
 def status_row(minutes: DataFrame, current: DataFrame) -> DataFrame:
     """Totals, error rate, latest event rate and active sessions in one row.
 
     The three one-row inputs are stacked and collapsed, which needs no join.
+    Totals and the latest rate read one exchange, so the events are rolled up once.
     """
-    totals = minutes.agg(*merge_aggs()).select("total_events", "error_count", error_rate())
+    keys = ("minute_ms", *COUNTERS)
+    totals = minutes.agg(*merge_aggs(), *used(*keys)).where(all_used(*keys))
+    totals = totals.select("total_events", "error_count", error_rate())
     parts = totals.unionByName(latest_rate(minutes), allowMissingColumns=True).unionByName(
         current, allowMissingColumns=True
     )

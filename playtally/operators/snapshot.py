@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtally.functions.counters import merge_aggs
+from playtally.functions.counters import all_used, merge_aggs, used
 from playtally.functions.members import is_integer, is_object, is_text, let, member
 from playtally.functions.minutes import calendar, day_of
 from playtally.operators import rollups
@@ -286,12 +286,12 @@ def document_rows(checked: DataFrame) -> DataFrame:
     unit = F.col("snapshot_id") if "snapshot_id" in checked.columns else every
     keys = ["grain", "minute_ms", "name"]
     rows = judged_rows(checked, unit.alias("_unit")).repartition("_unit", *keys)
-    # All columns are counted, as the exchange would differ without one.
-    counts = [F.count(c).alias(f"_{c}") for c in (*keys, *COUNTERS)]
-    bad = rows.groupBy("_unit").agg(F.max("reason").alias("_reason"), *counts)
-    whole = " + ".join(f"`_{c}`" for c in (*keys, *COUNTERS))
-    bad = bad.where(f"_reason IS NOT NULL AND {whole} >= 0").select(F.col("_unit").alias("_bad"))
-    sound = rows.join(bad, F.col("_unit").eqNullSafe(F.col("_bad")), "left_anti")
+    # All columns take part, as the exchange would differ without one.
+    bad = rows.groupBy("_unit").agg(F.max("reason").alias("_reason"), *used(*keys, *COUNTERS))
+    bad = bad.where(F.col("_reason").isNotNull() & all_used(*keys, *COUNTERS))
+    bad = bad.select(F.col("_unit").alias("_bad"), F.lit(True).alias("_refused"))
+    # An anti join would be pushed below the exchange, which then served one branch only.
+    sound = rows.join(bad, F.col("_unit").eqNullSafe(F.col("_bad")), "left").where("_refused IS NULL")
     # Rows with a reason went with their snapshot; naming it here keeps the column.
     return sound.select(F.coalesce("grain", "reason").alias("grain"), "minute_ms", "name", *COUNTERS)
 

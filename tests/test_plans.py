@@ -120,3 +120,11 @@ def test_no_cross_joins_and_no_row_functions_in_python(spark, sf_dir):
         text = plan(query(spark, sf_dir))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
         assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text, name
+
+
+def test_status_row_rolls_the_events_up_once(spark, sf_dir):
+    """One scan for totals and rate together, one for the gauge."""
+    frame = registry()["status_row"](spark, sf_dir)
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 2

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from playtally.functions.counters import as_metrics
 from playtally.operators import rollups, snapshot
@@ -179,3 +180,23 @@ def test_one_unsound_document_refuses_its_snapshot(spark):
     units = [("s1", good), ("s1", bad), ("s2", good), (None, good)]
     named = spark.createDataFrame([(u, json.dumps(d)) for u, d in units], "snapshot_id string, body string")
     assert snapshot.document_rows(snapshot.check_documents(named)).count() == 2
+
+
+def test_documents_are_checked_once(spark):
+    """Finding refused snapshots and giving the rows of the others takes one pass over the documents."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(body):
+        seen.add(1)
+        return body
+
+    made = events(spark, *[{"timestamp_ms": A + i * 86_400_000, "player": f"p{i}"} for i in range(6)])
+    documents = snapshot.to_documents(rollups.multi_rollup(made)).withColumn("snapshot_id", F.monotonically_increasing_id() % 3)
+    whole = documents.collect()
+    kept = spark.createDataFrame(whole, documents.schema).coalesce(1)
+    damaged = F.when(F.col("snapshot_id") == 1, F.lit("[")).otherwise(F.col("body"))
+    frame = kept.withColumn("body", F.udf(counted)(damaged))
+    found = snapshot.document_rows(snapshot.check_documents(frame)).collect()
+    assert found and seen.value == len(whole)
+    want = snapshot.document_rows(snapshot.check_documents(kept.where("snapshot_id <> 1"))).collect()
+    assert sorted(map(str, found)) == sorted(map(str, want))
