@@ -1,28 +1,35 @@
-"""Cross-entropy difference of two bigram models over one vocabulary (9)."""
+"""Cross-entropy difference of two bigram models over one vocabulary (9).
 
-from __future__ import annotations
+Texts are put together to slices, each stored as one compressed row. A slice
+sends the distinct words and bigrams it holds to buckets by their hash: one row
+for a slice and bucket, of sorted hashes as packed differences, with the slice's
+counts. A bucket adds up the counts of all slices and sends every slice the sums
+for its own hashes, in the order in which they came. There the losses of each
+word are worked out from the text. Neither model is ever in one place.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally.llm.decontaminate import _WORD_BYTES
-from playtally.llm.repeats import referenced
 from playtally.llm.shared import documents, keyed_texts, mix, slices, stored, text_bytes
 from playtally.llm.windows import Sums
 
-#: Share of all words that a word or bigram must make up to be in the models: none, all are in them.
-WORD_SHARE, BIGRAM_SHARE = 0.0, 0.0
 #: Weight of the unigram model, in words.
 PRIOR = 50.0
-SLICE_BYTES = 2_000_000
-#: Distinct entries that a task gathers before it passes them on.
-_GATHERED = 1_000_000
+#: Text that is turned into hashes at a time, and text of a slice, longer rows apart.
+STEP_BYTES, SLICE_BYTES = 2_000_000, 8_000_000
+#: Words of text whose hashes a bucket is made for.
+BUCKET_WORDS = 1_000_000
 
 _LOWER = np.frombuffer(_WORD_BYTES, np.uint8)
+#: Kinds of counted entries: words, each also as the word before another, and bigrams.
+_WORDS, _PAIRS = 0, 1
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,256 +46,266 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return Sums(text.astype(np.uint64) + np.uint64(1))(first, stop), doc
 
 
-class _Gathered:
-    """Counts of numbers, in one or two columns, merged as they come."""
-
-    def __init__(self) -> None:
-        self.parts: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
-        found, at = np.unique(keys, return_inverse=True)
-        counts = np.stack([np.bincount(at, w, len(found)) for w in weights]).astype(np.int64)
-        self.parts.append(np.vstack([found.view(np.int64), counts]))
-        self.size += len(found)
-
-    def merged(self) -> np.ndarray:
-        every = np.hstack(self.parts)
-        found, at = np.unique(every[0], return_inverse=True)
-        out = np.vstack([found, *(np.bincount(at, row, len(found)).astype(np.int64) for row in every[1:])])
-        self.parts, self.size = [out], out.shape[1]
-        return out
-
-    def batches(self, names: list[str], last: bool) -> Iterator[pa.RecordBatch]:
-        if self.parts and (last or self.size > 2 * _GATHERED):
-            out = self.merged()
-            if last or self.size > _GATHERED:
-                self.parts, self.size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(row) for row in out], names=names)
-
-
-def _count_words(batches):
-    gathered = _Gathered()
-    for batch in slices(batches, SLICE_BYTES):
-        hashes, _ = word_hashes(batch.column("text"))
-        if len(hashes):
-            gathered.add(hashes, np.ones((1, len(hashes))))
-            yield from gathered.batches(["word", "n"], False)
-    yield from gathered.batches(["word", "n"], True)
-
-
-def _numbers(hashes: np.ndarray, doc: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's number and that of the word before it; V is any other word, V + 1 a text's start."""
-    size = len(vocabulary)
-    at = np.searchsorted(vocabulary, hashes)
-    if size:
-        at = np.where(vocabulary[np.minimum(at, size - 1)] == hashes, at, size)
-    before = np.append(size + 1, at[:-1])[: len(at)]
-    before[np.append(True, doc[1:] != doc[:-1])[: len(at)]] = size + 1
-    return at, before
-
-
-def _count_bigrams(held):
-    def count(batches):
-        vocabulary = held.value
-        gathered = _Gathered()
-        for batch in slices(batches, SLICE_BYTES):
-            hashes, doc = word_hashes(batch.column("text"))
-            if len(hashes):
-                at, before = _numbers(hashes, doc, vocabulary)
-                aim = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)[doc]
-                gathered.add(before * (len(vocabulary) + 2) + at, np.stack([aim, np.ones(len(at))]))
-                yield from gathered.batches(["pair", "target", "background"], False)
-        yield from gathered.batches(["pair", "target", "background"], True)
-
-    return count
-
-
-class Models:
-    """Target and background model; a column of each table for either."""
-
-    def __init__(self, vocabulary, singles, pairs, counts, prior: float = PRIOR):
-        """``singles`` (words + 1, 2) counts; ``counts`` of the sorted ``pairs``.
-
-        The background's counts are scaled to the target's size, so that the
-        prior weighs the same in both.
-        """
-        size = len(vocabulary)
-        total = singles.sum(axis=0)
-        scale = np.array([1.0, total[0] / total[1] if total[1] else 1.0])
-        self.vocabulary, self.pairs, self.prior = vocabulary, pairs, prior
-        self.single = (singles * scale + 1.0) / (total * scale + size + 1.0)
-        self.pair = np.vstack([counts * scale, np.zeros((1, 2))])
-        self.before = np.zeros((size + 2, 2))
-        np.add.at(self.before, pairs // (size + 2), self.pair[:-1])
-
-    def losses(self, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """(words, 2) negative logarithms of each word's probability after the one before."""
-        at, before = _numbers(hashes, doc, self.vocabulary)
-        key = before * (len(self.vocabulary) + 2) + at
-        place = np.searchsorted(self.pairs, key)
-        if len(self.pairs):
-            place = np.where(self.pairs[np.minimum(place, len(self.pairs) - 1)] == key, place, len(self.pairs))
-        p = (self.pair[place] + self.prior * self.single[at]) / (self.before[before] + self.prior)
-        return -np.log(p)
-
-
-def _score(held):
-    def score(batches):
-        models = Models.__new__(Models)
-        vars(models).update(held.value)
-        for batch in slices(batches, SLICE_BYTES):
-            hashes, doc = word_hashes(batch.column("text"))
-            n = batch.num_rows
-            words = np.bincount(doc, minlength=n)
-            loss = models.losses(hashes, doc) if len(hashes) else np.zeros((0, 2))
-            mean = np.stack([np.bincount(doc, loss[:, k], n) for k in (0, 1)]) / np.maximum(words, 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(words), *(pa.array(x) for x in (*mean, mean[0] - mean[1]))],
-                names=["doc_id", "n_words", "loss_target", "loss_background", "score"],
-            )
-
-    return score
+def _all_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, of a large batch, some rows at a time."""
+    parts, base = [], 0
+    for part in slices(iter([batch]), STEP_BYTES):
+        hashes, doc = word_hashes(part.column("text"))
+        parts.append((hashes, (doc + base).astype(np.int32)))
+        base += part.num_rows
+    return np.concatenate([h for h, _ in parts]), np.concatenate([d for _, d in parts])
 
 
 def _bigrams(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the word before each word, 0 at a text's start, and of both together."""
-    before = np.append(np.uint64(0), hashes[:-1])
-    before[np.append(True, doc[1:] != doc[:-1])] = 0
+    before = np.append(np.uint64(0), hashes[:-1])[: len(hashes)]
+    before[np.append(True, doc[1:] != doc[:-1])[: len(hashes)]] = 0
     return before, mix(mix(before + np.uint64(1)) ^ hashes)
 
 
-def _count_all(batches):
-    """Counts of all bigrams, slice by slice; the aggregation adds them up."""
-    for batch in slices(batches, SLICE_BYTES):
-        hashes, doc = word_hashes(batch.column("text"))
-        if not len(hashes):
-            continue
-        before, pair = _bigrams(hashes, doc)
-        aim = batch.column("target").to_numpy(zero_copy_only=False).astype(float)[doc]
-        found, first, at = np.unique(pair, return_index=True, return_inverse=True)
-        counts = [np.bincount(at, w, len(found)).astype(np.int64) for w in (aim, None)]
-        keys = [x.view(np.int64) for x in (found, before[first], hashes[first])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (*keys, *counts)], names=["pair", "before", "word", "target", "background"]
-        )
-
-
-def _bigrams_of_texts(batches):
-    """(ref, pair, n): the distinct bigrams of each text."""
-    for batch in slices(batches, SLICE_BYTES):
-        hashes, doc = word_hashes(batch.column("text"))
-        if not len(hashes):
-            continue
-        _, pair = _bigrams(hashes, doc)
-        order = np.lexsort((pair, doc))
-        pair, doc = pair[order], doc[order]
-        first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])))
-        many = np.diff(np.append(first, len(pair))).astype(np.int32)
-        ref = batch.column("ref").to_numpy()[doc[first]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ref), pa.array(pair[first].view(np.int64)), pa.array(many)], names=["ref", "pair", "n"]
-        )
-
-
-def _lengths(batches):
-    for batch in slices(batches, SLICE_BYTES):
-        _, doc = word_hashes(batch.column("text"))
-        many = np.bincount(doc, minlength=batch.num_rows)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("ref"), pa.array(many, pa.int64())], names=["doc_id", "ref", "n_words"]
-        )
-
-
-def _with_all(docs: DataFrame, flagged: DataFrame, prior: float) -> DataFrame:
-    """Scores by models of all words and bigrams, which stay tables: only totals come to the driver."""
-    both = [F.sum(c).alias(c) for c in ("target", "background")]
-    ddl = "pair bigint, before bigint, word bigint, target bigint, background bigint"
-    counted = flagged.mapInArrow(_count_all, ddl).groupBy("pair").agg(
-        F.min("before").alias("before"), F.min("word").alias("word"), *both
-    )
-    counted = stored(counted, "bigrams")
-    single = stored(counted.groupBy("word").agg(*both), "words")
-    total = single.agg(*both, F.count("*").alias("size")).first()
-    sums = [total.target or 0, total.background or 0]
-    scale = [1.0, sums[0] / sums[1] if sums[1] else 1.0]
-    follows = counted.groupBy("before").agg(*both)
-    single, follows = (
-        x.select(key, F.col("target").alias(f"{key}_target"), F.col("background").alias(f"{key}_background"))
-        for x, key in ((single, "word"), (follows, "before"))
-    )
-    losses = []
-    for name, factor, size in zip(("target", "background"), scale, sums, strict=True):
-        one = (F.col(f"word_{name}") * F.lit(factor) + 1.0) / F.lit(size * factor + total["size"] + 1.0)
-        two = F.col(name) * F.lit(factor) + F.lit(float(prior)) * one
-        losses.append((-F.log(two / (F.col(f"before_{name}") * F.lit(factor) + F.lit(float(prior))))).alias(f"loss_{name}"))
-    model = stored(counted.join(single, "word").join(follows, "before").select("pair", *losses), "losses")
-    docs = referenced(docs)
-    # Rows of one ref are alike: together they have the same mean.
-    means = docs.mapInArrow(_bigrams_of_texts, "ref bigint, pair bigint, n int").join(model, "pair").groupBy("ref").agg(
-        *((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in ("loss_target", "loss_background"))
+def pack_hashes(ordered: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as differences of as few bytes as the greatest needs; the first byte tells."""
+    steps = np.diff(ordered, prepend=np.uint64(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_hashes(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    steps = np.zeros((len(raw), 8), np.uint8)
+    steps[:, :width] = raw
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count below 255, eight more behind for any other."""
+    flat = counts.ravel()
+    return np.minimum(flat, 255).astype(np.uint8).tobytes() + flat[flat >= 255].astype("<i8").tobytes()
+
+
+def unpack_counts(blob: bytes, rows: int, size: int) -> np.ndarray:
+    """(rows, size) counts."""
+    out = np.frombuffer(blob, np.uint8, rows * size).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<i8", offset=rows * size)
+    return out.reshape(rows, size)
+
+
+_SLICE = (
+    "slice bigint, doc_ids array<bigint>, targets array<boolean>, n_words array<bigint>, texts binary,"
+    " n_target bigint, n_background bigint"
+)
+
+
+def _grouped(batches, most: int):
+    """Batches put together until they hold a slice's text."""
+    held, size = [], 0
+    for batch in slices(batches, most):
+        own = int(text_bytes(batch.column("text"))[1][-1])
+        if held and size + own > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _slices(most: int):
+    def cut(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in _grouped(batches, most):
+            _, doc = _all_hashes(batch)
+            words = np.bincount(doc, minlength=batch.num_rows)
+            aim = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+            data, ends = text_bytes(batch.column("text"))
+            blob = np.diff(ends).astype("<i8").tobytes() + data.tobytes()
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "slice": pa.array([number], pa.int64()),
+                    "doc_ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    "targets": pa.array([aim.tolist()], pa.list_(pa.bool_())),
+                    "n_words": pa.array([words.tolist()], pa.list_(pa.int64())),
+                    "texts": pa.array([squeeze.compress(blob)], pa.binary()),
+                    "n_target": pa.array([int(words[aim].sum())], pa.int64()),
+                    "n_background": pa.array([int(words.sum())], pa.int64()),
+                }
+            )
+            number += 1
+
+    return cut
+
+
+def _texts(blob: bytes, rows: int) -> pa.RecordBatch:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    ends = np.append(0, np.cumsum(np.frombuffer(raw, "<i8", rows)))
+    column = pa.Array.from_buffers(
+        pa.large_string(), rows, [None, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(raw[8 * rows :])]
     )
-    rows = docs.mapInArrow(_lengths, "doc_id bigint, ref bigint, n_words bigint").join(means, "ref", "left")
-    target, background = (F.coalesce(c, F.lit(0.0)) for c in ("loss_target", "loss_background"))
-    return rows.select(
-        "doc_id", "n_words", target.alias("loss_target"), background.alias("loss_background"), (target - background).alias("score")
+    return pa.RecordBatch.from_arrays([column], names=["text"])
+
+
+def _each_slice(batches):
+    """(slice, doc_ids, targets, hashes, doc, before, pair, other columns) of each stored row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            hashes, doc = _all_hashes(_texts(row["texts"], len(row["doc_ids"])))
+            yield row, hashes, doc, *_bigrams(hashes, doc)
+
+
+def _entries(kind: int, hashes: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The distinct entries of a slice in order; those of kind _WORDS have the start, 0, among them."""
+    return np.unique(pair) if kind == _PAIRS else np.union1d(hashes, before)
+
+
+def _bounds(entries: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's entries begin: buckets are equal ranges of hashes."""
+    shift = 64 - (buckets.bit_length() - 1)
+    # A shift by all 64 bits is undefined.
+    at = (entries >> np.uint64(shift - 1)) >> np.uint64(1)
+    return np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _ask(buckets: int):
+    """Rows (bucket, slice, hashes, counts), the counts of target and background in the slice."""
+
+    def ask(batches):
+        for row, hashes, doc, before, pair in _each_slice(batches):
+            aim = np.array(row["targets"], bool)[doc]
+            for kind in (_WORDS, _PAIRS):
+                entries = _entries(kind, hashes, before, pair)
+                counts = []
+                for keys in (pair,) if kind == _PAIRS else (hashes, before):
+                    at = np.searchsorted(entries, keys)
+                    counts += [np.bincount(at[aim], minlength=len(entries)), np.bincount(at, minlength=len(entries))]
+                counts = np.stack(counts)
+                bounds = _bounds(entries, buckets)
+                have = np.flatnonzero(np.diff(bounds))
+                spans = [(int(bounds[b]), int(bounds[b + 1])) for b in have]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "bucket": pa.array(2 * have + kind, pa.int64()),
+                        "slice": pa.array([row["slice"]] * len(have), pa.int64()),
+                        "hashes": pa.array([pack_hashes(entries[a:b]) for a, b in spans], pa.binary()),
+                        "counts": pa.array([pack_counts(counts[:, a:b]) for a, b in spans], pa.binary()),
+                    }
+                )
+
+    return ask
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """What the slices sent to one bucket, answered with the counts of all of them.
+
+    ``n_new`` of a bucket's first row is the number of its distinct words.
+    """
+    bucket = asked.column("bucket")[0].as_py()
+    kinds = 2 if bucket % 2 == _PAIRS else 4
+    own = [unpack_hashes(x.as_buffer()) for x in asked.column("hashes")]
+    bounds = np.append(0, np.cumsum([len(x) for x in own]))
+    counts = [
+        unpack_counts(x.as_buffer(), kinds, len(h)) for x, h in zip(asked.column("counts"), own, strict=True)
+    ]
+    entries, at = np.unique(np.concatenate(own), return_inverse=True)
+    total = np.zeros((kinds, len(entries)), np.int64)
+    for k in range(kinds):
+        np.add.at(total[k], at, np.concatenate([c[k] for c in counts]))
+    sums = [pack_counts(total[:, at[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    words = int((total[1] > 0).sum()) if bucket % 2 == _WORDS else 0
+    return pa.table(
+        {
+            "slice": asked.column("slice"),
+            "bucket": asked.column("bucket"),
+            "sums": pa.array(sums, pa.binary()),
+            "n_new": pa.array([words] + [0] * (len(own) - 1), pa.int64()),
+        }
     )
 
 
+def _score(buckets: int, vocabulary: int, totals: list[int], prior: float):
+    scale = [1.0, totals[0] / totals[1] if totals[1] else 1.0]
+
+    def score(batches):
+        for row, hashes, doc, before, pair in _each_slice(batches):
+            n = len(row["doc_ids"])
+            known = {a["bucket"]: a["sums"] for a in row["answers"] or ()}
+            found = []
+            for kind in (_WORDS, _PAIRS):
+                entries = _entries(kind, hashes, before, pair)
+                bounds = _bounds(entries, buckets)
+                rows = 2 if kind == _PAIRS else 4
+                parts = [
+                    unpack_counts(known[2 * int(b) + kind], rows, int(bounds[b + 1] - bounds[b]))
+                    for b in np.flatnonzero(np.diff(bounds))
+                ]
+                found.append((entries, np.hstack(parts) if parts else np.zeros((rows, 0), np.int64)))
+            (words, singles), (pairs, both) = found
+            at, ahead, two = np.searchsorted(words, hashes), np.searchsorted(words, before), np.searchsorted(pairs, pair)
+            mean = []
+            for k in (0, 1):
+                one = (singles[k][at] * scale[k] + 1.0) / (totals[k] * scale[k] + vocabulary + 1.0)
+                p = (both[k][two] * scale[k] + prior * one) / (singles[2 + k][ahead] * scale[k] + prior)
+                mean.append(np.bincount(doc, -np.log(p), n) / np.maximum(row["n_words"], 1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(row["doc_ids"], pa.int64()),
+                    pa.array(row["n_words"], pa.int64()),
+                    *(pa.array(x, pa.float64()) for x in (*mean, mean[0] - mean[1])),
+                ],
+                names=["doc_id", "n_words", "loss_target", "loss_background", "score"],
+            )
+
+    return score
+
+
 def cross_entropy_difference(
     docs: DataFrame,
     target: DataFrame,
-    word_share: float = WORD_SHARE,
-    bigram_share: float = BIGRAM_SHARE,
     prior: float = PRIOR,
     id_col: str = "doc_id",
     text_col: str = "text",
+    slice_bytes: int = SLICE_BYTES,
+    bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
     """(doc_id, n_words, loss_target, loss_background, score) for every row of ``docs``.
 
     ``target`` holds the doc_ids of the target texts; the background is all of
-    ``docs``. Both bigram models have one vocabulary and one prior. Losses are
-    means over words, in nats; ``score`` is their difference, below 0 for texts
-    more like the target. Texts without words, null or empty, have 0 in all.
+    ``docs``. Both bigram models have one vocabulary and one prior; all words and
+    bigrams of all texts are in them. The background's counts are scaled to the
+    target's size, so that the prior weighs the same in both. Losses are means
+    over words, in nats; ``score`` is their difference, below 0 for texts more
+    like the target. Texts without words, null or empty, have 0 in all.
     Repeated rows count as often as they occur, repeated target ids once.
     Without target texts the target model is uniform over the vocabulary.
+    A text of any length is a row of its slice; other columns are ignored.
 
-    All words and bigrams of all texts are in the models, which are stored
-    tables joined with the distinct bigrams of each text. With shares above 0,
-    rarer entries are left out and the models are broadcast: no more than
-    ``1 / word_share`` words and ``1 / bigram_share`` bigrams.
+    The driver gets three sums. A bucket holds the hashes of about
+    ``bucket_words`` words of text, and of a word that is in every slice one
+    entry for each. Neither number changes the result.
     """
     docs = keyed_texts(docs, id_col, text_col)
-    spark = docs.sparkSession
     aims = target.select(F.col(id_col).alias("doc_id")).dropna().distinct().withColumn("target", F.lit(True))
     # The same join at every size: target ids are never few by nature.
-    flagged = docs.join(aims.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    if word_share <= 0 and bigram_share <= 0:
-        return _with_all(docs, flagged, prior)
-    words = docs.select("text").mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = stored(words, "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    kept = words.where(F.col("n") >= F.lit(word_share) * total).select("word").toPandas()
-    vocabulary = np.sort(kept["word"].to_numpy(np.int64).view(np.uint64))
-    counted = flagged.mapInArrow(
-        _count_bigrams(spark.sparkContext.broadcast(vocabulary)), "pair bigint, target bigint, background bigint"
-    )
-    counted = stored(
-        counted.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "bigrams"
+    flagged = docs.join(aims.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    parts = stored(flagged.mapInArrow(_slices(slice_bytes), _SLICE), "slices")
+    sums = parts.agg(F.sum("n_target"), F.sum("n_background")).first()
+    totals = [x or 0 for x in sums]
+    buckets = 1 << max(0, (totals[1] // bucket_words).bit_length())
+    asked = parts.select("slice", "doc_ids", "targets", "texts").mapInArrow(
+        _ask(buckets), "bucket bigint, slice bigint, hashes binary, counts binary"
     )
-    size = len(vocabulary) + 2
-    single = counted.groupBy((F.col("pair") % size).alias("word")).agg(
-        F.sum("target").alias("target"), F.sum("background").alias("background")
+    answers = stored(
+        asked.groupBy("bucket").applyInArrow(_answer, "slice bigint, bucket bigint, sums binary, n_new bigint"), "sums"
     )
-    singles = np.zeros((size - 1, 2))
-    found = single.toPandas()
-    singles[found["word"].to_numpy(np.int64)] = found[["target", "background"]].to_numpy(float)
-    kept = counted.where(F.col("background") >= F.lit(bigram_share) * total).toPandas().sort_values("pair")
-    models = Models(
-        vocabulary, singles, kept["pair"].to_numpy(np.int64), kept[["target", "background"]].to_numpy(float), prior
-    )
-    return docs.mapInArrow(
-        _score(spark.sparkContext.broadcast(vars(models))),
+    vocabulary = answers.agg(F.sum("n_new")).first()[0] or 0
+    told = answers.groupBy("slice").agg(F.collect_list(F.struct("bucket", "sums")).alias("answers"))
+    rows = parts.select("slice", "doc_ids", "targets", "n_words", "texts").join(told.hint("merge"), "slice", "left")
+    return rows.mapInArrow(
+        _score(buckets, vocabulary, totals, float(prior)),
         "doc_id bigint, n_words bigint, loss_target double, loss_background double, score double",
     )
 
@@ -298,36 +315,29 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(documents(spark, sf_dir), labels.where("quality = 1").select("doc_id"))
 
 
-def brute_force(texts: list[bytes], target: list[bool], word_share: float, bigram_share: float, prior: float):
+def brute_force(texts: list[bytes], target: list[bool], prior: float):
     """The same with dictionaries, for tests."""
     from collections import Counter
     from math import log
 
     split = [t.translate(_WORD_BYTES).split() for t in texts]
-    words = Counter(w for t in split for w in t)
-    total = sum(words.values())
-    known = {w for w, n in words.items() if n >= word_share * total}
-    ids = [[w if w in known else None for w in t] for t in split]
-    pairs, singles = [Counter(), Counter()], [Counter(), Counter()]
-    for t, aim in zip(ids, target, strict=True):
+    pairs, singles, before = ([Counter(), Counter()] for _ in range(3))
+    for t, aim in zip(split, target, strict=True):
         for k in ([0, 1] if aim else [1]):
             pairs[k].update(zip([0, *t[:-1]], t, strict=True) if t else ())
             singles[k].update(t)
-    kept = {p for p, n in pairs[1].items() if n >= bigram_share * total}
-    out = []
+            before[k].update([0, *t[:-1]] if t else ())
+    known = len(singles[1])
     sums = [sum(s.values()) for s in singles]
-    before = [Counter(), Counter()]
     scale = [1.0, sums[0] / sums[1] if sums[1] else 1.0]
-    for k in (0, 1):
-        for p in kept:
-            before[k][p[0]] += pairs[k][p] * scale[k]
-    for t in ids:
+    out = []
+    for t in split:
         loss = [0.0, 0.0]
         for k in (0, 1):
             for a, b in zip([0, *t[:-1]], t, strict=True) if t else ():
-                one = (singles[k][b] * scale[k] + 1) / (sums[k] * scale[k] + len(known) + 1)
-                two = pairs[k][a, b] * scale[k] if (a, b) in kept else 0.0
-                loss[k] -= log((two + prior * one) / (before[k][a] + prior))
+                one = (singles[k][b] * scale[k] + 1) / (sums[k] * scale[k] + known + 1)
+                two = pairs[k][a, b] * scale[k]
+                loss[k] -= log((two + prior * one) / (before[k][a] * scale[k] + prior))
         n = max(1, len(t))
         out.append((len(t), loss[0] / n, loss[1] / n, loss[0] / n - loss[1] / n))
     return out

@@ -10,15 +10,15 @@ from playtally.llm.shared import documents
 from tests.llm.cases import EDGE, clashing, ordered, table
 
 
-@pytest.mark.parametrize("word_share, bigram_share", [(1e-3, 1e-3), (1e-2, 1e-3), (0.0, 0.0)])
-def test_scores(spark, sf_dir, word_share, bigram_share):
+@pytest.mark.parametrize("slice_bytes, bucket_words", [(lm_score.SLICE_BYTES, lm_score.BUCKET_WORDS), (20_000, 500)])
+def test_scores(spark, sf_dir, slice_bytes, bucket_words):
     docs = [(r.doc_id, r.text) for r in documents(spark, sf_dir).limit(60).collect()] + EDGE[:5]
     target = {d for d, _ in docs[:20]} | {None}
     ids = spark.createDataFrame([(d,) for d in target] * 2, "doc_id bigint")
-    found = lm_score.cross_entropy_difference(clashing(table(spark, docs)), ids, word_share, bigram_share).collect()
+    found = lm_score.cross_entropy_difference(clashing(table(spark, docs)), ids, slice_bytes=slice_bytes, bucket_words=bucket_words).collect()
     texts = [(t or "").encode() for _, t in docs]
     aims = [d in target and d is not None for d, _ in docs]
-    want = lm_score.brute_force(texts, aims, word_share, bigram_share, lm_score.PRIOR)
+    want = lm_score.brute_force(texts, aims, lm_score.PRIOR)
     got = ordered(((r.doc_id, r.n_words), tuple(r)[2:]) for r in found)
     for (key, values), (doc, expected) in zip(got, ordered(((d, w[0]), w[1:]) for (d, _), w in zip(docs, want, strict=True)), strict=True):
         assert key == doc and values == pytest.approx(expected, abs=1e-9)
