@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playtally.llm.crf import Model, Words, fit
@@ -19,33 +20,46 @@ UNKNOWN = "und"
 _SCALE = 1 << 30
 
 
-def chosen(key: Column, share: Column) -> Column:
-    """A sample of about ``share`` of the rows, the same ones every time."""
-    return F.pmod(F.xxhash64(key), F.lit(_SCALE)) < share * _SCALE
+def first_of_each(rows: DataFrame, label: str, wanted: dict[str, int], counts: dict, least: int = 1) -> DataFrame:
+    """Of each label the first rows in the order of a hash of the other columns: ``least`` times ``wanted``.
+
+    ``counts`` of the labels' rows bound what is put in order to about twice
+    as many. Equal rows count once.
+    """
+    others = [c for c in rows.columns if c != label]
+    place = F.pmod(F.xxhash64(*others), F.lit(_SCALE))
+    share, most = F.lit(0.0), F.lit(0)
+    for value, count in counts.items():
+        number = least * wanted.get(str(value), 0)
+        # Twice the number and some more: by chance practically never too few.
+        share = F.when(F.col(label) == value, F.lit((2 * number + 20) / count)).otherwise(share)
+        most = F.when(F.col(label) == value, F.lit(number)).otherwise(most)
+    drawn = rows.where(place < share * _SCALE).distinct()
+    ranked = drawn.withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy(place, *others)))
+    return ranked.where(F.col("_rank") <= most).select(*rows.columns)
 
 
 def sample_texts(docs: DataFrame, label: str, per_label: int | dict[str, int], max_chars: int) -> DataFrame:
-    """(text, label): up to some ``per_label`` texts of each label.
+    """(text, label): the first ``per_label`` texts of each label in the order of a hash.
 
-    ``docs`` has (doc_id, text) and ``label``. The share taken of each label
-    follows from a count over all rows.
+    ``docs`` has (doc_id, text) and ``label``. Texts above ``max_chars`` are not
+    drawn; of more than ``MAX_LANGUAGES`` labels, those with the most texts are.
     """
-    docs = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
-    counts = docs.groupBy(label).count().sort(F.desc("count"), label).limit(MAX_LANGUAGES).collect()
-    wanted = per_label if isinstance(per_label, dict) else {str(row[label]): per_label for row in counts}
-    share = F.lit(0.0)
-    for row in counts:
-        own = wanted.get(str(row[label]), 0) / row["count"]
-        share = F.when(F.col(label) == row[label], F.lit(own)).otherwise(share)
-    drawn = docs.where(chosen(F.col("doc_id"), share) & (F.length("text") <= max_chars))
-    return drawn.select("text", label).limit(2 * sum(wanted.values()))
+    docs = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    docs = docs.select("doc_id", "text", label)
+    found = docs.groupBy(label).count().sort(F.desc("count"), label).limit(MAX_LANGUAGES).collect()
+    counts = {row[label]: row["count"] for row in found}
+    wanted = per_label if isinstance(per_label, dict) else {str(x): per_label for x in counts}
+    return first_of_each(docs, label, wanted, counts).select("text", label)
 
 
 def learn(docs: DataFrame, per_label: int = SAMPLE, max_chars: int = SAMPLE_CHARS, rounds: int = ROUNDS) -> Model:
     """A model from (doc_id, text, lang); each word of a training text bears its language.
 
-    Rows without text or language are no training rows. Without any the model
-    has no languages and predicts none.
+    Rows without text or language are no training rows, nor are texts above
+    ``max_chars``. Of each language ``per_label`` texts are learned from, of at
+    most ``MAX_LANGUAGES`` languages: those with the most texts. Without any the
+    model has no languages and predicts none.
     """
 
     def train(texts: list[str], langs: list[str]) -> dict:

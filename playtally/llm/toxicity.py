@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally.llm.crf import Model, Words, calibrate, fit
-from playtally.llm.language import remainder, sample_texts
+from playtally.llm.language import first_of_each, remainder, sample_texts
 from playtally.llm.shared import documents, fitted, keyed_texts, mix, packed, schema_with, slices, text_bytes, unpacked
 
 CLEAN, TOXIC = "0", "1"
 #: Training texts of either label, and their greatest length: the sample that one task holds.
-SAMPLE, SAMPLE_CHARS = {TOXIC: 400, CLEAN: 1200}, 4000
+SAMPLE, SAMPLE_CHARS = {TOXIC: 800, CLEAN: 2000}, 6000
 THRESHOLD = 0.3
 ROUNDS, RATE = 14, 1.0
 #: A word of toxic texts is toxic if so many of its texts are toxic, and if that
@@ -68,8 +68,9 @@ def learn(docs: DataFrame, per_label: dict[str, int] = SAMPLE, max_chars: int =
     """A model from (doc_id, text, toxic).
 
     The labels are of documents; ``token_labels`` makes them labels of words.
-    Rows without text or label are no training rows. If either label is
-    missing every score is 0.
+    Rows without text or label are no training rows, nor are texts above
+    ``max_chars``; of the others ``per_label`` are learned from. If either label
+    is missing every score is 0.
     """
 
     def train(texts: list[str], labels: list[str]) -> dict:
@@ -167,17 +168,14 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: dict[str, int] = SAM
 
     Training rows are those whose crc32(doc_id) modulo 4 is not 2. A document
     that is labelled several times is toxic if any label says so. Only the ids
-    drawn, at most four times the sample, are sent to the documents.
+    drawn, four for each text that ``learn`` can take (some have no text, or one
+    that is too long), are sent to the documents.
     """
     train = labels.where(F.col("doc_id").isNotNull() & (remainder("doc_id", 4) != 2)).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")
     )
     counts = {r["toxic"]: r["count"] for r in train.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
-    share = F.lit(0.0)
-    for label, count in counts.items():
-        # Some labels have no text, or one that is too long.
-        share = F.when(F.col("toxic") == label, F.lit(2 * per_label[str(label)] / count)).otherwise(share)
-    drawn = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).limit(4 * sum(per_label.values()))
+    drawn = first_of_each(train, "toxic", per_label, counts, least=4)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
 
 
