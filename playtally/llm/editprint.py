@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
+from operator import getitem, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,11 @@ from pyspark.sql import functions as F
 from playtally.llm.components import components
 from playtally.llm.shared import documents, keyed_texts, slices, stored
 
-#: Characters that a walk covers before the next one starts, and its steps:
-#: twice as many, and four standard deviations for the slowest walks.
-BLOCK = 512
-STEPS = 2 * BLOCK + 4 * int(BLOCK**0.5)
+#: Random bits of a step and a character come again after so many steps. Characters
+#: are told apart by one byte of their hash.
+PERIOD, MARKS = 4096, 256
+#: Characters of a text walked through at a time.
+CHUNK = 1 << 20
 #: Sampled steps, one byte each, and the bytes of a band.
 SLOTS, BAND = 128, 8
 SEED = 42
@@ -48,46 +52,76 @@ def _records(slot: int) -> np.ndarray:
 
 
 class Embedding:
-    """Fingerprints of many texts at a time; all walks advance together."""
+    """Fingerprints of texts, each by one walk from its first to its last character.
+
+    At a step the walk stays or goes on by the random bit of the step and the
+    character's mark. How long it stays on a character is thus known from the
+    step (modulo ``PERIOD``) at which it comes there, and a walk is a finite
+    automaton that reads marks: ``start`` is its first state, a state is the list
+    of the states that follow, by mark, and its own number at the end.
+    """
 
     def __init__(self) -> None:
         draw = np.random.Generator(np.random.PCG64(SEED))
-        self.factor = draw.integers(0, 1 << 32, STEPS, np.uint32) | np.uint32(1)
-        self.offset = draw.integers(0, 1 << 32, STEPS, np.uint32)
-        self.records = [_records(k) for k in range(SLOTS)]
+        go = draw.integers(0, 2, (PERIOD, MARKS), np.uint8).astype(bool)
+        go[-1] = True
+        follows = np.empty((PERIOD, MARKS), np.int64)
+        after = np.zeros(MARKS, np.int64)
+        for t in range(PERIOD - 1, -1, -1):
+            after = np.where(go[t], (t + 1) % PERIOD, after)
+            follows[t] = after
+        states: list[list] = [[] for _ in range(PERIOD)]
+        for number, row in enumerate(follows.tolist()):
+            states[number].extend([states[i] for i in row])
+            states[number].append(number)
+        self.states = states
+        records = [_records(k) for k in range(SLOTS)]
+        self.records = np.full((SLOTS, max(map(len, records))), np.iinfo(np.int64).max)
+        for row, record in zip(self.records, records, strict=True):
+            row[: len(record)] = record
+
+    def sampled(self, n: int) -> np.ndarray:
+        """The step of each slot, for a text of ``n`` characters, which take two steps on average."""
+        last = (self.records < 2 * n).sum(axis=1) - 1
+        return self.records[np.arange(SLOTS), last]
+
+    def arrivals(self, marks: np.ndarray, step: int) -> np.ndarray:
+        """Steps at which the walk comes to each character and, last, behind them; the first is ``step``."""
+        walk = accumulate(marks.tobytes(), getitem, initial=self.states[step % PERIOD])
+        numbers = np.fromiter(map(itemgetter(MARKS), walk), np.int64, len(marks) + 1)
+        # No stay is longer than PERIOD; one of that length ends in the state it began in.
+        stays = (np.diff(numbers) - 1) % PERIOD + 1
+        return step + np.append(0, np.cumsum(stays))
+
+    def print(self, chars: np.ndarray) -> np.ndarray:
+        """SLOTS bytes: the marks written at the sampled steps, 0 beyond the end of the walk."""
+        out = np.zeros(SLOTS, np.uint8)
+        if not len(chars):
+            return out
+        steps = self.sampled(len(chars))
+        step = 0
+        for begin in range(0, len(chars), CHUNK):
+            marks = (chars[begin : begin + CHUNK] * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+            came = self.arrivals(marks, step)
+            own = np.flatnonzero((steps >= step) & (steps < came[-1]))
+            out[own] = marks[np.searchsorted(came, steps[own], "right") - 1]
+            step = int(came[-1])
+        return out
 
     def prints(self, texts: list[np.ndarray]) -> np.ndarray:
         """(texts, SLOTS) bytes; a text without characters has zeros."""
         out = np.zeros((len(texts), SLOTS), np.uint8)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        if not sizes.sum():
-            return out
-        chars = np.concatenate(texts).astype(np.uint32, copy=False)
-        first = np.append(0, np.cumsum(sizes))[:-1]
-        blocks = -(-sizes // BLOCK)
-        lane = np.append(0, np.cumsum(blocks))[:-1]
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        inner = np.arange(len(owner)) - lane[owner]
-        base = first[owner] + inner * BLOCK
-        room = np.minimum(sizes[owner] - inner * BLOCK, BLOCK)
-        at = np.zeros(len(owner), np.int64)
-        places = np.empty((STEPS, len(owner)), np.int16)
-        for t in range(STEPS):
-            places[t] = at
-            now = chars[base + np.minimum(at, room - 1)]
-            go = (now * self.factor[t] + self.offset[t]) >> np.uint32(31)
-            at = np.minimum(at + go, room)
-        steps = (blocks - 1) * STEPS + -(-(sizes - (blocks - 1) * BLOCK) * STEPS // BLOCK)
-        have = np.flatnonzero(sizes)
-        for k, record in enumerate(self.records):
-            step = record[np.searchsorted(record, steps[have]) - 1]
-            row, t = lane[have] + step // STEPS, step % STEPS
-            place = places[t, row].astype(np.int64)
-            value = chars[base[row] + np.minimum(place, room[row] - 1)] * np.uint32(0x9E3779B1) >> np.uint32(24)
-            out[have, k] = np.where(place < room[row], value, 0)
+        for row, text in zip(out, texts, strict=True):
+            row[:] = self.print(text)
         return out
 
 
+@cache
+def embedding() -> Embedding:
+    """The one of this worker."""
+    return Embedding()
+
+
 def points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
 
@@ -113,11 +147,11 @@ _RESULT = (
 )
 
 
-def _judge(embedding: Embedding, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
+def _judge(walks: Embedding | _Nothing, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
     """Results of all texts but the last, each with the one after it."""
-    own = embedding.prints(texts)
+    own = walks.prints(texts)
     changed = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
-    other = embedding.prints(changed)
+    other = walks.prints(changed)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()),
@@ -153,7 +187,6 @@ class _Nothing:
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order, each judged with the next; a partition's first and last row go on as edges."""
-    embedding = Embedding()
     held = None
     for batch in slices(batches, 1_500_000):
         ids, ties = batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist()
@@ -165,16 +198,15 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = ids[-1], texts[-1], ties[-1]
         if len(ids) > 1:
             n = len(ids) - 1
-            yield _with_edge(_judge(embedding, ids[:-1], [points(t) for t in texts]), None, [None] * n, [None] * n)
+            yield _with_edge(_judge(embedding(), ids[:-1], [points(t) for t in texts]), None, [None] * n, [None] * n)
     if held is not None:
         yield _bare(held[0], 1, held[1], held[2])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    embedding = Embedding()
     for batch in batches:
         for doc_id, own, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after")), strict=True):
-            yield _judge(embedding, [doc_id], [points(own), points(after)])
+            yield _judge(embedding(), [doc_id], [points(own), points(after)])
 
 
 def edit_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,8 +220,8 @@ def edit_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     steps on which two fingerprints agree. A null text counts as empty; empty
     texts have a fingerprint of zeros, two of them are alike.
 
-    Rows are range-partitioned and streamed in order, one text held. Only the
-    first and last row of each partition meet in a second, small step.
+    Rows are range-partitioned and streamed in order, a slice of texts held. A text is
+    walked through unbroken, however long, a chunk at a time. Only the first and last row of each partition meet in a second, small step.
     """
     docs = keyed_texts(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     ordered = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")

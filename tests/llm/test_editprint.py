@@ -40,6 +40,53 @@ def test_small_edits_show_as_small_distance():
     assert (prints[0] == prints[2]).mean() > 0.8 > 0.4 > (prints[0] == prints[3]).mean()
 
 
+def plain_print(walks, text):
+    """Step by step: where the walk is, and what it writes there."""
+    marks = (editprint.points(text) * np.uint32(0x9E3779B1) >> np.uint32(24)).tolist()
+    state, at, written = walks.states[0], 0, []
+    while at < len(marks):
+        after = state[marks[at]]
+        stay = (after[-1] - state[-1] - 1) % editprint.PERIOD + 1
+        written += [marks[at]] * stay
+        state, at = after, at + 1
+    steps = [max(s for s in r if s < 2 * len(marks)) for r in walks.records.tolist()]
+    return [written[s] if s < len(written) else 0 for s in steps]
+
+
+def test_chunks_do_not_break_a_walk(monkeypatch):
+    rnd = random.Random(5)
+    walks = editprint.Embedding()
+    texts = ["".join(rnd.choice("abcdé 日😀") for _ in range(n)) for n in (1, 2, 3, 63, 64, 65, 1000, 9000)]
+    whole = walks.prints([editprint.points(t) for t in texts])
+    assert whole.tolist() == [plain_print(walks, t) for t in texts]
+    monkeypatch.setattr(editprint, "CHUNK", 64)
+    assert (walks.prints([editprint.points(t) for t in texts]) == whole).all()
+
+
+def test_insertions_at_the_start_of_long_texts():
+    rnd = random.Random(6)
+    walks = editprint.Embedding()
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(900)]
+    text = lambda: " ".join(rnd.choice(words) for _ in range(4000))
+    near = {change: [] for change in ("in 1", "in 10", "in 60", "out 10", "other 20", "unlike")}
+    for _ in range(16):
+        base, other = text(), text()
+        own = walks.print(editprint.points(base))
+        for change, changed in (
+            ("in 1", other[:1] + base),
+            ("in 10", other[:10] + base),
+            ("in 60", other[:60] + base),
+            ("out 10", base[10:]),
+            ("other 20", other[:20] + base[20:]),
+            ("unlike", other),
+        ):
+            near[change].append((own == walks.print(editprint.points(changed))).mean())
+    mean = {change: np.mean(values) for change, values in near.items()}
+    assert min(mean["in 1"], mean["other 20"]) > 0.9 and min(mean["in 10"], mean["out 10"]) > 0.75, mean
+    # A walk that is 60 characters off meets the other one only after thousands of steps, or not at all.
+    assert mean["in 60"] > 0.4 > 0.15 > mean["unlike"], mean
+
+
 def test_edges(spark):
     docs = [*EDGE, (2, "zz"), (2, ""), (2, "")]
     found = editprint.edit_prints(clashing(table(spark, docs))).collect()
