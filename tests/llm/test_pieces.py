@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -42,6 +43,25 @@ def test_same_as_library(spark, sf_dir, merge):
     assert cut(merge, texts) == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(texts)
 
 
+def test_long_words_same_as_rounds(merge):
+    rnd = random.Random(4)
+    words = ["e" * 700, "日本" * 300, "☃😀" * 200, "ab" * 400 + "é" * 50]
+    words += ["".join(rnd.choice(letters) for _ in range(rnd.randint(257, 900))) for letters in ("ethan", "in", "aé日☃x", "0123/-")]
+    for word in words:
+        points = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        assert merge.merged_alone(word).tolist() == merge.merged(points[None, :])[0].tolist(), word[:20]
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert cut(merge, words) == library.encode(words)
+
+
+def test_time_of_a_run_grows_with_its_length(merge):
+    text = "e" * 400_000
+    (ids,) = cut(merge, [text])
+    # Rounds over the whole run took minutes here.
+    assert ids == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(text)
+    assert merge.decode(np.array(ids), np.array([0, len(ids)])) == [text]
+
+
 def plain_best(score, text, longest, unknown):
     best = [0.0]
     for end in range(1, len(text) + 1):
