@@ -18,6 +18,7 @@ one row held, so a group of any size needs no memory.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtally.llm.shared import mix, slices, stored, text_bytes
-from playtally.llm.windows import Sums, runs
+from playtally.llm.windows import Runs, Sums, runs
 
 SLICE_BYTES = 2_000_000
+#: Units in which windows are named at a time; a longer text goes piece by piece.
+PIECE_UNITS = 1 << 22
 #: A place in a document, a number of starts and the distance to the anchor share one number.
 _BITS = 12
 _MASK = (1 << _BITS) - 1
@@ -132,12 +135,24 @@ def referenced(docs: DataFrame) -> DataFrame:
     return docs.withColumn("ref", F.xxhash64("doc_id", "text"))
 
 
-def _runs_of(units: Units, length: int, gram: int):
+def runs_by_pieces(values: np.ndarray, ends: np.ndarray, length: int, gram: int, piece: int) -> Iterator[Runs]:
+    """The runs of each ``piece`` starts; ``low`` counts from the beginning of the document.
+
+    A run over a border comes as two. They have spans of their own, so their
+    starts are compared in cells with those of whole runs.
+    """
+    for begin in range(0, max(1, len(values) - length + 1), piece):
+        part = values[begin : begin + piece + length - 1]
+        found = runs(part, np.clip(ends - begin, 0, len(part)), length, gram)
+        if len(found.doc):
+            yield replace(found, low=found.low + np.maximum(0, begin - ends[found.doc]))
+
+
+def _runs_of(units: Units, length: int, gram: int, piece: int):
     def cut(batches):
         for batch in slices(batches, SLICE_BYTES):
             values, ends = units(batch.column("text"))
-            found = runs(values, ends, length, gram)
-            if len(found.doc):
+            for found in runs_by_pieces(values, ends, length, gram, piece):
                 ref = batch.column("ref").to_numpy()[found.doc]
                 yield _rows(found.anchor, found.span, ref, pack(found.low, found.count, found.offset))
 
@@ -211,17 +226,20 @@ def _starts_of(cell: int):
     return cut
 
 
-def repeated_starts(docs: DataFrame, units: Units, length: int, gram: int, cell: int) -> DataFrame:
+def repeated_starts(
+    docs: DataFrame, units: Units, length: int, gram: int, cell: int, piece: int = PIECE_UNITS
+) -> DataFrame:
     """Start ranges of all windows that occur at another place as well.
 
     ``docs`` has (doc_id, text, ref). Returns (ref, places), ``places`` for
     ``unpack``. A text without a repeated window gives no row; null and empty
-    texts have no window. A row that is there twice repeats all its windows.
+    texts have no window. A row that is there twice repeats all its windows. A
+    text may be of any length.
     """
     if not 1 <= gram <= length < MAX_LENGTH:
         raise ValueError(f"1 <= gram <= length < {MAX_LENGTH} is required")
     docs = docs.select("ref", "text")
-    first = _judged(docs.mapInArrow(_runs_of(units, length, gram), _RUN), _RUN)
+    first = _judged(docs.mapInArrow(_runs_of(units, length, gram, piece), _RUN), _RUN)
     first = stored(first.select("g", "ref", "place", "hit", "open"), "runs")
     opens = first.where("open").groupBy("ref").agg(F.collect_set(F.struct("g", "place")).alias("opens"))
     schema = _CELL if cell > 1 else _RUN

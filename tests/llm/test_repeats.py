@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from playtally.llm import phrase_dedup, suffix_dedup
+from playtally.llm import phrase_dedup, repeats, suffix_dedup
 from playtally.llm.shared import documents
 from tests.llm.cases import EDGE, ordered, table
 
@@ -43,6 +44,31 @@ def test_words(spark, length, gram):
     assert ordered(got) == ordered((d, *w) for (d, _), w in zip(docs, want, strict=True))
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_pieces_of_long_texts(spark, piece):
+    """No border between pieces hides a repeated window."""
+    docs = collection(9, "", "abcdé ")
+    rows = repeats.referenced(table(spark, docs)).select("ref", "text")
+
+    def starts(**more):
+        found = repeats.repeated_starts(rows, repeats.byte_units, 20, 8, 4, **more).collect()
+        out = set()
+        for ref, places in found:
+            for low, count, _ in zip(*(x.tolist() for x in repeats.unpack(np.array(places))), strict=True):
+                out.update((ref, low + i) for i in range(count))
+        return out
+
+    assert starts(piece=piece) == starts()
+
+
+def test_text_beyond_positions():
+    """2^26 units and more in one text; every start belongs to one run."""
+    units = np.random.default_rng(1).integers(0, 1 << 62, (1 << 26) + 5).astype(np.uint64)
+    ends = np.array([0, 3, len(units)])
+    counts = [int(r.count.sum()) for r in repeats.runs_by_pieces(units, ends, 200, 64, 1 << 22)]
+    assert sum(counts) == len(units) - 3 - 199
+
+
 def test_one_hot_passage(spark):
     """A passage in every document, alone and among other words."""
     passage = " ".join(f"w{i}" for i in range(50))
