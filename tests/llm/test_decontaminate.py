@@ -77,3 +77,11 @@ def test_empty_tables(spark):
     assert decontaminate.matches(none, items).count() == 0
     assert decontaminate.matches(some, items.limit(0)).collect()[0].ranges == []
     assert decontaminate.clean(some, items.limit(0)).count() == 1
+
+
+@pytest.mark.parametrize("automaton_words", [200_000, 4])
+def test_item_ids_of_any_kind(spark, automaton_words):
+    items = spark.createDataFrame([("it-1", "a b c"), ("9", "b c d"), ("10", "a b c"), ("é", "x"), ("none", "q r")], "item_id string, text string")
+    docs = table(spark, [(1, "z a b c d"), (2, "x"), (3, "z")])
+    found = decontaminate.matches(docs, items, 3, automaton_words=automaton_words).collect()
+    assert {r.doc_id: r["items"] for r in found} == {1: ["10", "9", "it-1"], 2: ["é"], 3: []}
