@@ -40,16 +40,27 @@ def by_label(events: DataFrame, label: str) -> DataFrame:
     )
 
 
-def multi_rollup(events: DataFrame) -> DataFrame:
-    """Minute, player and device rollup in one scan and one shuffle.
+def multi_rollup(events: DataFrame, fold_first: bool = False) -> DataFrame:
+    """Minute, player and device rollup in one scan.
 
     Rows carry ``grain`` and either ``minute_ms`` or ``name``.
+
+    By default every event is expanded to its three keys and there is one
+    shuffle, of rows reduced per task to one for each minute, player and device.
+    With ``fold_first`` events are reduced to their combinations of the three
+    before that, which saves the expansion but shuffles the combinations. It pays
+    where they are much fewer than events: see :func:`folds_well`. Both give the
+    same rows.
     """
     keyed = events.withColumn("minute_ms", minute_of(F.col("timestamp_ms")))
     minute, player, device = (F.col(c) for c in ("minute_ms", "player", "device"))
+    aggs = counter_aggs()
+    if fold_first:
+        keyed = keyed.groupBy(minute, player, device).agg(*aggs)
+        aggs = merge_aggs()
     grouped = keyed.groupingSets(
         [[minute], [player], [device]], minute, player, device
-    ).agg(F.grouping_id().alias("gid"), *counter_aggs())
+    ).agg(F.grouping_id().alias("gid"), *aggs)
     # Bits of gid, high to low, mark the keys that are aggregated away.
     grain = (
         F.when(F.col("gid") == 0b011, "minute").when(F.col("gid") == 0b101, "player").otherwise("device")
@@ -60,6 +71,19 @@ def multi_rollup(events: DataFrame) -> DataFrame:
     ).where((F.col("grain") == "minute") | (F.col("name") != ""))
 
 
+def folds_well(events: DataFrame, rows: int = 100_000, least: int = 8) -> bool:
+    """Whether the first ``rows`` events have ``least`` or more to a combination of minute, player and device.
+
+    That is how far a task shrinks its share before the shuffle of
+    ``multi_rollup(events, fold_first=True)``. A job over a bounded number of
+    rows; it decides on the plan alone, never on the outcome. False for no events.
+    """
+    head = events.select(minute_of(F.col("timestamp_ms")).alias("minute_ms"), "player", "device").limit(rows)
+    sizes = head.groupBy("minute_ms", "player", "device").agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("combinations")).first()
+    return bool(found.n) and found.n >= least * found.combinations
+
+
 def minutes_of(partials: DataFrame) -> DataFrame:
     """The minute rows of a (merged or unmerged) multi rollup."""
     return partials.where(F.col("grain") == "minute").select("minute_ms", *COUNTERS)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -165,3 +167,29 @@ def test_rollup_of_a_union_is_the_merge_of_rollups(spark, sample, cut):
     assert counters(rollups.minutes_of(whole)) == counters(
         rollups.by_minute(events(spark, *made)).drop("minute_ms")
     )
+
+
+def test_folding_combinations_first_changes_nothing(spark):
+    rnd = random.Random(8)
+    types = ("video_start", "startup_complete", "buffer_start", "buffer_end", "drm_error", "playback_end", "bitrate_change")
+    made = [
+        {
+            "event_type": rnd.choice(types),
+            "player": rnd.choice(("", "a", "b", "é")),
+            "device": rnd.choice(("", "tv", "a")),
+            "timestamp_ms": A + rnd.randrange(5) * 60_000 + rnd.randrange(60_000),
+            "startup_time_ms": rnd.choice((None, -1, 5)),
+            "buffer_duration_ms": rnd.choice((None, 7)),
+            "watch_time_ms": rnd.choice((None, 11)),
+            "bitrate_kbps": rnd.choice((None, 900)),
+        }
+        for _ in range(400)
+    ]
+    typed = events(spark, *made)
+    plain, folded = (sorted(map(tuple, rollups.multi_rollup(typed, f).collect()), key=str) for f in (False, True))
+    assert plain == folded and len(plain) == 5 + 3 + 2
+    none = typed.limit(0)
+    assert rollups.multi_rollup(none, fold_first=True).count() == 0
+    assert not rollups.folds_well(none)
+    assert rollups.folds_well(typed, least=6) and not rollups.folds_well(typed, least=7)
+    assert not rollups.folds_well(typed, rows=20, least=6)

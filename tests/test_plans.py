@@ -62,6 +62,15 @@ def test_a_rollup_is_one_shuffle_of_partial_hash_aggregates(typed, make):
     assert "SortAggregate" not in text and "Python" not in text
 
 
+def test_combinations_are_folded_below_the_expansion(typed):
+    text = plan(rollups.multi_rollup(typed, fold_first=True))
+    # Printed from the top: the expansion reads aggregated rows, and aggregates are partial below each exchange.
+    above, below = text.split("Expand", 1)
+    assert exchanges(text) == 2 and exchanges(above) == exchanges(below) == 1
+    assert "count_if" not in above and "partial_count" not in above
+    assert below.count("HashAggregate") == 2 and text.count("FileScan") == 1
+
+
 def test_a_rollup_reads_only_its_columns(typed):
     text = plan(rollups.by_minute(typed))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
