@@ -44,6 +44,22 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def wide_print(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Majority bits of distinct shingle hashes: 64 for each of ``salts``, as 64-bit words.
+
+    Where as many shingles have a bit as have it not, one shingle of them decides, the
+    one with the smallest word: short texts have as many bits on as long ones. Not for no shingles.
+    """
+    ones = np.zeros(64 * len(salts), np.int64)
+    least = np.full(len(salts), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(hashes), 255):
+        part = mix(hashes[at : at + 255, None] ^ salts)
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+        least = np.minimum(least, part.min(axis=0))
+    ties = np.unpackbits(mix(least).view(np.uint8), bitorder="little")
+    return np.packbits(2 * ones + ties > len(hashes), bitorder="little").view(np.uint64)
+
+
 def _fingerprints(shingle: int):
     def compute(batches):
         for batch in slices(batches, 4_000_000):
