@@ -115,20 +115,38 @@ def range_bounds(
     return low, high
 
 
-_HOUR_MS = 60 * MINUTE_MS
+_HOUR, _DAY = 60, 1440
+
+
+def _running(rows: DataFrame, unit: str, per: int) -> DataFrame:
+    """For every step ``at`` from the first row of a block of ``per`` steps to the block's end, what the block has up to it."""
+    order = W.partitionBy(F.expr(f"at div {per}")).orderBy("at")
+    sums = [F.sum(c).over(order).alias(c) for c in (*COUNTERS, "buckets")]
+    until = F.lead("at").over(order)
+    # Of rows of one step the last has the step after it next, and the sums of all.
+    found = rows.select("at", until.alias("until"), *sums).where("until IS NULL OR until > at")
+    steps = F.expr(f"explode(sequence(at, coalesce(until, (at div {per} + 1) * {per}) - 1)) AS step")
+    return found.select(F.lit(unit).alias("unit"), steps, *COUNTERS, "buckets").withColumnRenamed("step", "at")
 
 
 def _pieces() -> str:
-    """The whole hours, and the minutes before and after them, that make up minutes ``a`` to ``b``."""
-    steps = lambda unit, low, high: (
-        f"IF({low} <= {high}, transform(sequence({low}, {high}), x -> named_struct('unit', '{unit}', 'at', x)), array())"
+    """What makes up minutes ``a`` to ``b``: whole days from that of ``a``, the day of ``b`` up to it, less that of ``a`` before it.
+
+    A day up to a minute is its hours up to the one before, and the minute's hour up to it.
+    """
+    piece = lambda unit, at, sign: f"named_struct('unit', '{unit}', 'at', {at}, 'sign', {sign}L)"
+    some = lambda test, unit, at, sign: f"IF({test}, array({piece(unit, at, sign)}), array())"
+    day_a, day_b, hour_a, hour_b = f"a div {_DAY}", f"b div {_DAY}", f"a div {_HOUR}", f"b div {_HOUR}"
+    # Within one hour the hours before it cancel out.
+    apart = f"{hour_a} <> {hour_b}"
+    days = (
+        f"IF({day_a} < {day_b}, transform(sequence({day_a}, {day_b} - 1), x -> {piece('day', 'x', 1)}), array())"
     )
-    first, last = "((a + 59) div 60)", "((b + 1) div 60 - 1)"
-    whole = (
-        f"concat({steps('hour', first, last)}, {steps('minute', 'a', f'{first} * 60 - 1')},"
-        f" {steps('minute', f'({last} + 1) * 60', 'b')})"
+    return (
+        f"concat(array({piece('minute', 'b', 1)}), {some(f'a % {_HOUR} <> 0', 'minute', 'a - 1', -1)},"
+        f" {some(f'{apart} AND b % {_DAY} >= {_HOUR}', 'hour', f'{hour_b} - 1', 1)},"
+        f" {some(f'{apart} AND a % {_DAY} >= {_HOUR}', 'hour', f'{hour_a} - 1', -1)}, {days})"
     )
-    return f"IF({first} <= {last}, {whole}, {steps('minute', 'a', 'b')})"
 
 
 def range_requests(
@@ -142,9 +160,10 @@ def range_requests(
     number of buckets in the range and their metrics; the others have none and
     zeroes. A request without an id is one like any other.
 
-    A range is cut into whole hours and the minutes at its ends, at most some 140
-    pieces, which meet the rollup by equal keys: no range join, and a request
-    costs the same however many events a minute holds.
+    A range is the difference of running sums of a day, looked up at its two ends by
+    equal keys, and the whole days between: no range join, at most four pieces and one a
+    day, and a request costs the same however many events a minute holds. Sums of a
+    day must fit 64 bits. Only the request itself goes with its pieces.
     """
     number = lambda c: f"IF({c} RLIKE r'\\A-?[0-9]+\\z', try_cast({c} AS BIGINT), NULL)"
     inside = lambda c: f"{c} BETWEEN {MIN_TIMESTAMP_MS} AND {MAX_TIMESTAMP_MS}"
@@ -155,23 +174,32 @@ def range_requests(
         " WHEN lo > hi THEN 'reversed'"
         f" WHEN (hi - lo) div {MINUTE_MS} + 1 > {limits.max_minutes} THEN 'too_wide' ELSE 'ok' END"
     )
-    keys = ["request_id", "from_ms", "to_ms", "lo", "hi", "outcome"]
+    keys = ["request_id", "from_ms", "to_ms"]
+    judged = ["*", f"{number('from_ms')} AS lo", f"{number('to_ms')} AS hi"]
+    # A refused request has one piece that meets nothing, by a key of its own: no task gets all of them.
+    nothing = f"array(named_struct('unit', 'none', 'at', xxhash64({', '.join(keys)}), 'sign', 0L))"
     asked = (
         requests.selectExpr("request_id", "CAST(from_ms AS STRING) AS from_ms", "CAST(to_ms AS STRING) AS to_ms")
         .distinct()
-        .selectExpr("*", f"{number('from_ms')} AS lo", f"{number('to_ms')} AS hi")
+        .selectExpr(*judged)
         .selectExpr("*", f"{outcome} AS outcome")
         .selectExpr("*", f"IF(outcome = 'ok', {minute('lo')}, NULL) AS a", f"IF(outcome = 'ok', {minute('hi')}, NULL) AS b")
-        .selectExpr(*keys, f"explode_outer(IF(outcome = 'ok', {_pieces()}, NULL)) AS p")
-        .selectExpr(*keys, "p.unit AS unit", "p.at AS at")
+        .selectExpr(*keys, f"explode(IF(outcome = 'ok', {_pieces()}, {nothing})) AS p")
+        .selectExpr(*keys, "p.unit AS unit", "p.at AS at", "p.sign AS sign")
     )
-    unit = lambda name, ms: minutes.select(
-        F.lit(name).alias("unit"), F.expr(f"minute_ms div {ms}").alias("at"), *COUNTERS, F.lit(1).alias("buckets")
+    # No range asks for more.
+    inside_domain = minutes.where(F.col("minute_ms").between(MIN_TIMESTAMP_MS, MAX_TIMESTAMP_MS))
+    by_minute = inside_domain.select(F.expr(f"minute_ms div {MINUTE_MS}").alias("at"), *COUNTERS, F.lit(1).alias("buckets"))
+    totals = lambda rows, per: rows.groupBy(F.expr(f"at div {per}").alias("at")).agg(
+        *merge_aggs(), F.sum("buckets").alias("buckets")
     )
-    hours = unit("hour", _HOUR_MS).groupBy("unit", "at").agg(*merge_aggs(), F.sum("buckets").alias("buckets"))
-    rollup = unit("minute", MINUTE_MS).unionByName(hours)
-    found = asked.join(rollup, ["unit", "at"], "left").groupBy(*keys)
+    by_hour = totals(by_minute, _HOUR)
+    by_day = totals(by_hour, _DAY // _HOUR).select(F.lit("day").alias("unit"), "at", *COUNTERS, "buckets")
+    rollup = _running(by_minute, "minute", _HOUR).unionByName(_running(by_hour, "hour", _DAY // _HOUR)).unionByName(by_day)
+    signed = [(F.col("sign") * F.col(c)).alias(c) for c in (*COUNTERS, "buckets")]
+    found = asked.join(rollup, ["unit", "at"], "left").select(*keys, *signed).groupBy(*keys)
     found = found.agg(*merge_aggs(), F.coalesce(F.sum("buckets"), F.lit(0)).cast("bigint").alias("buckets"))
+    found = found.selectExpr(*judged).selectExpr("*", f"{outcome} AS outcome")
     ok = F.col("outcome") == "ok"
     echo = [F.when(ok, iso_minute(F.col(c))).alias(n) for c, n in (("lo", "from_minute"), ("hi", "to_minute"))]
     return as_metrics(found.withColumns({"from_minute": echo[0], "to_minute": echo[1]}), (

@@ -233,3 +233,26 @@ def test_many_ranges_at_once(spark):
             assert not want or (row["from_minute"], row["to_minute"]) == (want[0]["from_minute"], want[0]["to_minute"])
     assert timeseries.range_requests(minutes, frame.limit(0)).count() == 0
     assert {r["buckets"] for r in rows(timeseries.range_requests(minutes.limit(0), frame))} == {0}
+
+
+def test_ranges_are_few_pieces(spark):
+    """However long, a range is looked up at its ends: hours, days and their borders, over gaps."""
+    rnd = random.Random(8)
+    at = sorted({rnd.randrange(4 * 1440) for _ in range(150)} | {0, 59, 60, 1439, 1440, 2880})
+    day = A // 86_400_000 * 86_400_000
+    minutes = rollups.by_minute(events(spark, *[{"timestamp_ms": day + m * 60_000} for m in at]))
+    marks = [0, 1, 59, 60, 61, 119, 120, 1379, 1380, 1439, 1440, 1441, 1499, 1500, 2879, 2880, 2881, 4319, 4320, 5759]
+    spans = [(a, b) for a in marks for b in marks if a <= b]
+    asked = [(i, str(day + a * 60_000), str(day + b * 60_000)) for i, (a, b) in enumerate(spans)]
+    frame = spark.createDataFrame(asked, "request_id int, from_ms string, to_ms string")
+    got = {r["request_id"]: r for r in rows(timeseries.range_requests(minutes, frame, QueryLimits(max_minutes=9000)))}
+    for i, (a, b) in enumerate(spans):
+        want = sum(a <= m <= b for m in at)
+        assert (got[i]["outcome"], got[i]["buckets"], got[i]["total_events"]) == ("ok", want, want), (a, b)
+    cut = spark.createDataFrame(spans, "a bigint, b bigint").selectExpr("a", "b", f"size({timeseries._pieces()}) AS n")
+    assert all(r["n"] <= 4 + r["b"] // 1440 - r["a"] // 1440 for r in rows(cut))
+    # A minute in several rows counts as often; what lies before the domain belongs to no range.
+    twice = minutes.unionByName(minutes).unionByName(minutes.limit(1).withColumn("minute_ms", F.lit(-60_000).cast("bigint")))
+    early = frame.unionByName(spark.createDataFrame([(-1, "0", "3599999")], frame.schema))
+    for r in rows(timeseries.range_requests(twice, early, QueryLimits(max_minutes=9000))):
+        assert r["total_events"] == (2 * got[r["request_id"]]["total_events"] if r["request_id"] >= 0 else 0)
